@@ -38,12 +38,12 @@ def ks_normal(
     if not cols:
         raise ValueError("no column varies")
     n = float(stats[cols[0]].count)
-    view = df.select(
-        *[normal_cdf((number(df, c) - stats[c].mean) / stats[c].stddev).alias(c) for c in cols]
-    )
+    view = df.select(*[((number(df, c) - stats[c].mean) / stats[c].stddev).alias(c) for c in cols])
     # The probability grows with the value, so it can stand in for it in all that follows.
-    cells = view.unpivot([], [named(c) for c in cols], "column", "p").withColumn(
-        "bucket", F.least(F.floor(F.col("p") * buckets), F.lit(buckets - 1)).cast("int")
+    cells = (
+        view.unpivot([], [named(c) for c in cols], "column", "z")
+        .select("column", normal_cdf(F.col("z")).alias("p"))
+        .withColumn("bucket", F.least(F.floor(F.col("p") * buckets), F.lit(buckets - 1)).cast("int"))
     )
 
     # At most `buckets` rows per column from here to `open_buckets`.

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ashlar.functions.names import named
-from ashlar.functions.text import lenient_double, parsed_double
+from ashlar.functions.text import parsed_double
 
-# Above this many columns the summary groups the long form instead of generating one
-# aggregate expression per column and statistic.
-WIDE_LIMIT = 64
+# Spark compiles a stage only up to 100 fields (spark.sql.codegen.maxFields). A column's
+# summary takes about this many, without and with moments; wider tables are summarized in
+# long form, where the number of fields does not depend on the number of columns.
+STAGE_FIELDS = 96
+SUMMARY_FIELDS = {False: 12, True: 21}
 
 NUMERIC_TYPES = ("Int", "Double", "NumLabel")
 SCALED_TYPES = ("Int", "Double")
@@ -42,17 +44,19 @@ class ColumnStats:
     kurtosis: float | None = None
 
 
-def _as_written(df: DataFrame, name: str) -> Column:
-    """Numbers as they are; anything else as its text."""
-    numeric = isinstance(df.schema[name].dataType, T.NumericType)
-    return named(name) if numeric else named(name).cast("string")
+def found_number(df: DataFrame, name: str) -> Column:
+    """The column as doubles, NULL where a text is no number. Other types hold none."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.NumericType):
+        return named(name).cast("double")
+    if isinstance(kind, T.StringType):
+        return parsed_double(named(name))
+    return F.lit(None).cast("double")
 
 
 def number(df: DataFrame, name: str) -> Column:
     """The column as doubles; text that is no number, and NULL, count as 0.0."""
-    if isinstance(df.schema[name].dataType, T.NumericType):
-        return F.coalesce(named(name).cast("double"), F.lit(0.0))
-    return lenient_double(_as_written(df, name))
+    return F.coalesce(found_number(df, name), F.lit(0.0))
 
 
 def numeric_view(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -73,96 +77,87 @@ def column_index(cols: Sequence[str]) -> Column:
     return F.element_at(F.create_map(*pairs), F.col("column"))
 
 
-def _summary(value: Column, parsed: Column, moments: bool) -> list[Column]:
+def _summary(found: str, moments: bool) -> list[str]:
+    """The aggregates of one column, as SQL: one call to Spark instead of hundreds."""
+    value = f"coalesce({found}, 0D)"
     parts = [
-        F.count(F.lit(1)).alias("count"),
-        F.count(parsed).alias("parsed"),
-        F.avg(value).alias("mean"),
-        F.coalesce(F.var_samp(value), F.lit(0.0)).alias("variance"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.sum(F.abs(value)).alias("l1"),
-        F.sqrt(F.sum(value * value)).alias("l2"),
-        F.count_if(value != 0).alias("nonzeros"),
-        F.bool_and(F.rint(value) == value).alias("all_whole"),
+        "count(1) AS count",
+        f"count({found}) AS parsed",
+        f"avg({value}) AS mean",
+        f"coalesce(var_samp({value}), 0D) AS variance",
+        f"min({value}) AS min",
+        f"max({value}) AS max",
+        f"sum(abs({value})) AS l1",
+        f"sqrt(sum({value} * {value})) AS l2",
+        f"count_if({value} <> 0) AS nonzeros",
+        f"bool_and(rint({value}) = {value}) AS all_whole",
     ]
     if moments:
         # Spark divides by the population deviation; these definitions use the sample one.
-        n = F.count(F.lit(1)).cast("double")
-        shrink = (n - 1) / n
+        shrink = "(1 - 1 / double(count(1)))"
         parts += [
-            (F.skewness(value) * F.pow(shrink, F.lit(1.5))).alias("skewness"),
-            ((F.kurtosis(value) + 3) * shrink * shrink - 3).alias("kurtosis"),
-            F.avg(value * value * value).alias("raw_moment3"),
-            (F.avg(value * value * value * value) - 3).alias("raw_moment4_minus3"),
+            f"skewness({value}) * power({shrink}, 1.5D) AS skewness",
+            f"(kurtosis({value}) + 3) * power({shrink}, 2) - 3 AS kurtosis",
         ]
     return parts
 
 
-def text_rule() -> Column:
-    """A column is text if every summary of its numbers is zero."""
-    return (
-        (F.col("l1") == 0)
-        & (F.col("l2") == 0)
-        & (F.col("mean") == 0)
-        & (F.col("variance") == 0)
-        & (F.col("max") == 0)
-        & (F.col("min") == 0)
-    )
-
-
-def exact_type() -> Column:
-    """``Int`` where every single value is whole."""
-    return F.when(text_rule(), "String").when(F.col("all_whole"), "Int").otherwise("Double")
-
-
-def coarse_type() -> Column:
-    """``Int`` where L1 norm, max and min are whole; two halves can fool it."""
-    whole = F.lit(True)
-    for name in ("l1", "max", "min"):
-        whole = whole & (F.rint(name) == F.col(name))
-    return F.when(text_rule(), "String").when(whole, "Int").otherwise("Double")
-
-
-def label_type() -> Column:
-    """The exact type, with ``NumLabel`` for likely identifiers (needs the moments)."""
-    odd_shape = (F.col("kurtosis") < -1.2) | (F.col("kurtosis") > 3.0)
-    label = (
-        (exact_type() == "Int")
-        & (F.col("min") >= 0)
-        & ((F.col("max") > 10000) | F.coalesce(odd_shape, F.lit(False)))
-    )
-    return F.when(label, "NumLabel").otherwise(exact_type())
-
-
-def profile(df: DataFrame, cols: Sequence[str] | None = None, moments: bool = False) -> DataFrame:
+# A column is text if every summary of its numbers is zero.
+IS_TEXT = "l1 = 0 AND l2 = 0 AND mean = 0 AND variance = 0 AND max = 0 AND min = 0"
+TYPE_RULES = {
+    # Int where every single value is whole.
+    "exact": f"CASE WHEN {IS_TEXT} THEN 'String' WHEN all_whole THEN 'Int' ELSE 'Double' END",
+    # Int where L1 norm, max and min are whole; two halves can fool it.
+    "coarse": f"""CASE WHEN {IS_TEXT} THEN 'String'
+        WHEN rint(l1) = l1 AND rint(max) = max AND rint(min) = min THEN 'Int' ELSE 'Double' END""",
+    # The exact type, with likely identifiers set apart (needs the moments).
+    "label": f"""CASE WHEN {IS_TEXT} THEN 'String' WHEN NOT all_whole THEN 'Double'
+        WHEN min >= 0 AND (max > 10000 OR kurtosis < -1.2 OR kurtosis > 3.0) THEN 'NumLabel'
+        ELSE 'Int' END""",
+}
+
+
+def profile(
+    df: DataFrame,
+    cols: Sequence[str] | None = None,
+    moments: bool = False,
+    rule: str | None = None,
+) -> DataFrame:
     """One row per column: count, mean, variance, norms, extremes, inferred type.
 
     A single partial and final aggregate over one scan of the named columns; only the
-    summaries are shuffled, one row per task.
+    summaries are shuffled, one row per column and task.
     """
     cols = list(cols if cols is not None else df.columns)
-    if len(cols) <= WIDE_LIMIT:
-        rows = [
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(i).alias("col_idx"),
-                *_summary(number(df, c), parsed_double(_as_written(df, c)), moments),
-            )
-            for i, c in enumerate(cols)
-        ]
+    rule = rule or ("label" if moments else "exact")
+    if rule not in TYPE_RULES:
+        raise ValueError(f"rule must be one of {sorted(TYPE_RULES)}")
+    names = [f"found_{i}" for i in range(len(cols))]
+    found = df.select(*[found_number(df, c).alias(n) for c, n in zip(cols, names)])
+    if len(cols) * SUMMARY_FIELDS[moments] <= STAGE_FIELDS:
+        rows = [f"struct({i} AS col_idx, {', '.join(_summary(n, moments))})" for i, n in enumerate(names)]
         # An empty table gives no rows, as grouping does.
-        found = df.agg(F.array(*rows).alias("rows"))
-        table = found.select(F.inline("rows")).filter("count > 0")
+        table = found.agg(F.expr(f"array({', '.join(rows)}) AS rows")).selectExpr("inline(rows)")
+        table = table.filter("count > 0")
     else:
-        parsed = df.select(*[parsed_double(_as_written(df, c)).alias(c) for c in cols])
-        cells = parsed.unpivot([], [named(c) for c in cols], "column", "found")
-        value = F.coalesce("found", F.lit(0.0))
-        grouped = cells.groupBy("column").agg(*_summary(value, F.col("found"), moments))
-        rest = [c for c in grouped.columns if c != "column"]
-        table = grouped.select("column", column_index(cols).alias("col_idx"), *rest)
-    return table.withColumn("stddev", F.sqrt("variance")).withColumn(
-        "inferred_type", label_type() if moments else exact_type()
+        cells = found.unpivot([], names, "cell", "found")
+        table = cells.groupBy(F.expr("int(substring(cell, 7)) AS col_idx")).agg(
+            *[F.expr(part) for part in _summary("found", moments)]
+        )
+    texts = F.array(*[F.lit(c) for c in cols])
+    return table.select(
+        texts[F.col("col_idx")].alias("column"),
+        "*",
+        F.expr("sqrt(variance) AS stddev"),
+        F.expr(f"{TYPE_RULES[rule]} AS inferred_type"),
+    )
+
+
+def raw_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``column, raw_moment3, raw_moment4_minus3``: means of the cubes and fourth powers."""
+    cube = F.col("value") * F.col("value") * F.col("value")
+    return long_values(df, cols).groupBy("column").agg(
+        F.avg(cube).alias("raw_moment3"), (F.avg(cube * F.col("value")) - 3).alias("raw_moment4_minus3")
     )
 
 
@@ -182,12 +177,6 @@ def of_type(stats: dict[str, ColumnStats], types: Sequence[str] = NUMERIC_TYPES)
 
 def infer_types(df: DataFrame, cols: Sequence[str] | None = None, rule: str = "exact") -> DataFrame:
     """``column, col_idx, inferred_type, parse_rate`` by the exact, coarse or label rule."""
-    rules = {"exact": exact_type, "coarse": coarse_type, "label": label_type}
-    if rule not in rules:
-        raise ValueError(f"rule must be one of {sorted(rules)}")
-    return profile(df, cols, moments=rule == "label").select(
-        "column",
-        "col_idx",
-        rules[rule]().alias("inferred_type"),
-        (F.col("parsed") / F.col("count")).alias("parse_rate"),
+    return profile(df, cols, moments=rule == "label", rule=rule).selectExpr(
+        "column", "col_idx", "inferred_type", "parsed / count AS parse_rate"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ashlar.functions.text import field_count, lenient_double, look_alike, unquote
 from ashlar.operators import anonymize as anon
 from ashlar.operators import clean, distribution, normalize, outliers, ranks, relate, synth
-from ashlar.operators.profile import fit, infer_types, numeric_view, profile
+from ashlar.operators.profile import fit, infer_types, profile, raw_moments
 from ashlar.session import shared_path
 from ashlar.sources import lines as src
 from ashlar.sources import sinks
@@ -61,8 +61,13 @@ def _profile(name: str, cols: list[str], moments: bool = False) -> Query:
 
 def _moments(spark, folder):
     found = profile(table(spark, folder, "lineitem"), LINEITEM, moments=True)
-    kept = found.select("column", "skewness", "kurtosis", "raw_moment3", "raw_moment4_minus3")
-    return shown(kept, places={"skewness": 8, "kurtosis": 8})
+    return shown(
+        found.select("column", "skewness", "kurtosis"), places={"skewness": 8, "kurtosis": 8}
+    )
+
+
+def _raw_moments(spark, folder):
+    return shown(raw_moments(table(spark, folder, "lineitem"), LINEITEM))
 
 
 def _types(name: str, cols: list[str], rule: str) -> Query:
@@ -445,6 +450,7 @@ QUERIES: dict[str, Query] = {
     "infer_types_coarse": _types("lineitem", LINEITEM, "coarse"),
     "infer_types_label": _types("orders", ORDERS, "label"),
     "skewness_kurtosis": _moments,
+    "raw_moments": _raw_moments,
     # Association and distribution
     "correlation_matrix": _corr_matrix,
     "correlation_matrix_wide": _corr_vectors,

@@ -527,10 +527,10 @@ ORACLES: dict[str, str] = {
     "infer_types_coarse": types("lineitem", LINEITEM, COARSE),
     "infer_types_label": types("orders", ORDERS, LABEL),
     "skewness_kurtosis": show(
-        summaries("lineitem", LINEITEM, True),
-        ["column"],
-        sig=["raw_moment3", "raw_moment4_minus3"],
-        places={"skewness": 8, "kurtosis": 8},
+        summaries("lineitem", LINEITEM, True), ["column"], places={"skewness": 8, "kurtosis": 8}
+    ),
+    "raw_moments": show(
+        summaries("lineitem", LINEITEM, True), ["column"], sig=["raw_moment3", "raw_moment4_minus3"]
     ),
     "correlation_matrix": show(correlation("lineitem", LINEITEM), ["col_i", "col_j"], places={"r": 8}),
     "correlation_matrix_wide": show(correlation(WIDE, WIDE_COLUMNS), ["col_i", "col_j"], places={"r": 7}),
