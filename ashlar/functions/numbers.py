@@ -61,15 +61,23 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z > 0, 1.0 - tail).otherwise(tail)
 
 
-def gaussian_draws(key: Column, seed: int, count: int) -> list[Column]:
-    """``count`` independent standard normal draws per row, fixed by ``(seed, key)``.
+def draw_digests(key: Column, seed: int, count: int) -> list[Column]:
+    """The digests behind ``count`` draws per row, four draws to a digest."""
+    return [
+        F.md5(F.concat_ws("|", F.lit(str(seed)), key, F.lit(str(block))))
+        for block in range((count + 3) // 4)
+    ]
 
-    The draws come from MD5 digests of seed, key and block number, four draws to a digest
-    (two Box-Muller pairs), so they do not depend on partitioning, retries or file order.
+
+def gaussian_draws(digests: list[Column], count: int) -> list[Column]:
+    """``count`` independent standard normal draws per row, by the Box-Muller transform.
+
+    Seed and row key fix the digests and so the draws: they depend neither on partitioning
+    nor on retries or file order. Pass digests that are columns already, not expressions,
+    for each is used up to four times.
     """
     draws: list[Column] = []
-    for block in range((count + 3) // 4):
-        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key, F.lit(str(block))))
+    for digest in digests:
         for half in (1, 17):
             first, second = (
                 (F.conv(F.substring(digest, start, 8), 16, 10).cast("double") + 1) / 4294967297.0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.functions.names import named
-from ashlar.functions.numbers import gaussian_draws
+from ashlar.functions.numbers import draw_digests, gaussian_draws
 from ashlar.functions.text import look_alike
 from ashlar.operators.profile import ColumnStats, fit, of_type, profile
 
@@ -19,19 +19,21 @@ def row_key(keys: Sequence[str]) -> Column:
 
 def redraw(
     df: DataFrame, keys: Sequence[str], stats: dict[str, ColumnStats], seed: int = 0
-) -> dict[str, Column]:
-    """An independent normal draw per numeric cell, with the column's mean and deviation.
+) -> DataFrame:
+    """The table with an independent normal draw in every numeric cell of ``stats``.
 
-    Whole-number columns are truncated toward zero. ``keys`` must identify a row; the
-    draws depend on them and the seed only.
+    Draws have the column's mean and deviation; whole-number columns are truncated toward
+    zero. ``keys`` must identify a row; the draws depend on them and the seed only.
     """
     numeric = of_type(stats)
-    draws = gaussian_draws(row_key(keys), seed, len(numeric))
-    columns = {}
-    for name, draw in zip(numeric, draws):
+    digests = draw_digests(row_key(keys), seed, len(numeric))
+    hidden = [F.col(f"__digest{i}") for i in range(len(digests))]
+    wide = df.select("*", *[d.alias(f"__digest{i}") for i, d in enumerate(digests)])
+    drawn = {}
+    for name, draw in zip(numeric, gaussian_draws(hidden, len(numeric))):
         value = draw * F.lit(stats[name].stddev) + F.lit(stats[name].mean)
-        columns[name] = value if stats[name].inferred_type == "Double" else value.cast("bigint")
-    return columns
+        drawn[name] = value if stats[name].inferred_type == "Double" else value.cast("bigint")
+    return wide.select(*[(drawn[c] if c in drawn else named(c)).alias(c) for c in df.columns])
 
 
 def anonymize(
@@ -41,17 +43,15 @@ def anonymize(
     seed: int = 0,
     stats: dict[str, ColumnStats] | None = None,
 ) -> DataFrame:
-    """Look-alike text and redrawn numbers for ``cols``, in one projection.
+    """Look-alike text and redrawn numbers for ``cols`` (all by default), other columns left out.
 
-    Columns not in ``cols`` (all, by default, but no struct row id) are left out.
+    Two projections over the scan; nothing is shuffled.
     """
     stats = stats or fit(df, cols)
-    numbers = redraw(df, keys, stats, seed)
-    return df.select(
-        *[
-            (numbers[c] if c in numbers else look_alike(named(c).cast("string"))).alias(c)
-            for c in stats
-        ]
+    drawn = redraw(df, keys, stats, seed)
+    texts = set(stats) - set(of_type(stats))
+    return drawn.select(
+        *[(look_alike(named(c).cast("string")) if c in texts else named(c)).alias(c) for c in stats]
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ashlar.functions.names import named
-from ashlar.functions.numbers import gaussian_draws
+from ashlar.functions.numbers import draw_digests, gaussian_draws
 from ashlar.functions.text import digest_byte, digest_text, readable_label
 from ashlar.operators.profile import profile
 
@@ -60,14 +60,16 @@ def fill_rows(
     if not 1 <= id_length < DIGEST_BYTES or not 1 <= shortest <= longest < DIGEST_BYTES:
         raise ValueError(f"label lengths must lie between 1 and {DIGEST_BYTES - 1}")
     text = named(key).cast("string")
+    noise = draw_digests(text, seed, columns)
     digests = keys.select(
         named(key).alias("__key"),
         *[
             digest_text(F.concat_ws("|", F.lit(str(seed)), text, F.lit(f"label{j}"))).alias(f"__d{j}")
             for j in range(columns)
         ],
+        *[d.alias(f"__n{i}") for i, d in enumerate(noise)],
     )
-    draws = gaussian_draws(F.col("__key").cast("string"), seed, columns)
+    draws = gaussian_draws([F.col(f"__n{i}") for i in range(len(noise))], columns)
     output = [F.col("__key").alias(key)] if keep_key else []
     for j in range(columns):
         digest = F.col(f"__d{j}")

@@ -14,6 +14,7 @@ from ashlar.operators.profile import fit, infer_types, profile, raw_moments
 from ashlar.session import shared_path
 from ashlar.sources import lines as src
 from ashlar.sources import sinks
+from ashlar.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,8 +49,8 @@ def shown(df: DataFrame, n: int = 9, places: dict[str, int] | None = None) -> Da
     )
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    return read_table(spark, f"{folder}/{name}.parquet", spread)
 
 
 def _profile(name: str, cols: list[str], moments: bool = False) -> Query:
@@ -329,7 +330,7 @@ def _md5(spark, folder):
 
 
 def _look_alike(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", look_alike(F.col("text")).alias("text"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", look_alike(F.col("text")).alias("text"))
 
 
 def _look_alike_names(spark, folder):
@@ -339,10 +340,9 @@ def _look_alike_names(spark, folder):
 
 
 def _redraw(spark, folder):
-    orders = table(spark, folder, "orders")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     stats = fit(orders, ["o_custkey", "o_totalprice"])
-    drawn = anon.redraw(orders, ["o_orderkey"], stats, SEED)
-    return shown(orders.select("o_orderkey", *[d.alias(c) for c, d in drawn.items()]), n=8)
+    return shown(anon.redraw(orders, ["o_orderkey"], stats, SEED), n=8)
 
 
 def _anonymized(spark, folder):
@@ -360,7 +360,7 @@ def _fidelity(spark, folder):
 
 def _synth(spark, folder):
     return synth.fill_rows(
-        table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", MEANS, VARIANCES, SEED, keep_key=True
+        table(spark, folder, "orders", spread=True).select("o_orderkey"), "o_orderkey", MEANS, VARIANCES, SEED, keep_key=True
     )
 
 
