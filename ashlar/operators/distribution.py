@@ -65,7 +65,7 @@ def ks_normal(
     distinct = (
         cells.join(F.broadcast(open_buckets), ["column", "bucket"])
         .groupBy("column", "bucket", "p")
-        .agg(F.count(F.lit(1)).alias("size"), F.first("before").alias("before"))
+        .agg(F.count(F.lit(1)).alias("size"), F.min("before").alias("before"))
     )
     ranged = distinct.repartitionByRange("column", "bucket", "p").withColumn(
         "part", F.spark_partition_id()
@@ -78,7 +78,7 @@ def ks_normal(
             F.max(through / n - F.col("p")).alias("over"),
             F.max(F.col("p") - (through - F.col("size")) / n).alias("under"),
             F.sum("size").alias("size"),
-            F.first("before").alias("before"),
+            F.min("before").alias("before"),
         )
     )
     # One row per range partition and open bucket: a running offset over the partitions.
@@ -148,7 +148,7 @@ def kde(
     kernel = F.exp(-0.5 * distance * distance)
     scale = n * bandwidth * math.sqrt(2 * math.pi)
     reached = pairs.groupBy("column", "at").agg(
-        F.first("point").alias("point"), (F.sum(kernel) / scale).alias("density")
+        F.min("point").alias("point"), (F.sum(kernel) / scale).alias("density")
     )
     if least is not None:
         return reached.filter(F.col("density") >= least).select("column", "point", "density")

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ashlar.functions.names import named
 from ashlar.operators import ranks
@@ -104,7 +105,16 @@ def scan(
             return (value > lower) & (value < upper)
         return (value < lower) | (value > upper)
 
-    some = reduce(lambda a, b: a | b, [hit(number(df, c), *limits[c][:2]) for c in cols], F.lit(False))
+    def may_hit(name: str):
+        lower, upper = limits[name][:2]
+        if not isinstance(df.schema[name].dataType, T.NumericType):
+            return hit(number(df, name), lower, upper)
+        # The bare column, so that the scan can skip row groups; NULL stands for zero.
+        zero_hits = lower < 0.0 < upper if interval == "INLIER" else not lower <= 0.0 <= upper
+        found = hit(named(name), F.lit(lower), F.lit(upper))
+        return found | named(name).isNull() if zero_hits else found
+
+    some = reduce(lambda a, b: a | b, [may_hit(c) for c in cols], F.lit(False))
     cells = (
         df.filter(some)
         .select(named(key), *[number(df, c).alias(c) for c in cols])

@@ -446,6 +446,7 @@ def _synthetic_check() -> str:
     )
 
 
+REVENUE = "(SELECT *, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem)"
 WIDE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINEITEM]
 WIDE = "(SELECT {}, {}, sqrt(l_extendedprice) AS root_price FROM lineitem)".format(
     ", ".join(WIDE_NUMBERS), ", ".join(f"{c} * l_quantity AS {c}_x_quantity" for c in WIDE_NUMBERS)
@@ -455,6 +456,24 @@ PROFILE_OF_Z = f"""SELECT "column", col_idx, "count", mean, variance, inferred_t
   FROM ({summaries('(' + zscored('customer', [c for c in CUSTOMER if c not in TEXT], ['c_name', 'c_mktsegment']) + ')', CUSTOMER)}) p"""
 LABELED = norms("events", EVENTS[1:], ["event_id", "event_type"])
 
+
+
+def chi2_tail(inner: str, keep: list[str]) -> str:
+    """The cube-root normal approximation of the tail, to the four decimals asked for."""
+    z = "((pow(statistic / df, 1.0 / 3) - 1 + 2.0 / (9 * df)) / sqrt(2.0 / (9 * df)))"
+    tail = f"SELECT *, {normal_cdf('-(' + z + ')')} AS p_value FROM ({inner}) s"
+    return show(tail, keep, sig=["statistic"], places={"p_value": 4})
+
+
+def ks_tail(inner: str) -> str:
+    """The limiting distribution of the statistic, to the two decimals asked for."""
+    terms = " + ".join(
+        f"{2 * (-1) ** (k - 1)} * exp(-{2 * k * k} * n * statistic * statistic)" for k in range(1, 8)
+    )
+    tail = f"SELECT *, least(1.0::DOUBLE, {terms}) AS p_value FROM ({inner}) s"
+    return show(tail, ["column", "n"], places={"statistic": 9, "p_value": 2})
+
+
 ORACLES: dict[str, str] = {
     "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 5",
     "first_row": f"SELECT * FROM ({ORDER_LINES}) l ORDER BY row_id LIMIT 1",
@@ -540,7 +559,7 @@ ORACLES: dict[str, str] = {
         places={"r": 8},
     ),
     "correlated_pairs_half": show(
-        f"SELECT * FROM ({correlation('part', PART, True)}) c WHERE abs(r) >= 0.5",
+        f"SELECT * FROM ({correlation(REVENUE, [*LINEITEM, 'revenue'], True)}) c WHERE abs(r) >= 0.5",
         ["col_i", "col_j"],
         places={"r": 8},
     ),
@@ -553,6 +572,13 @@ ORACLES: dict[str, str] = {
     "ks_normal_events": show(
         union(ks("events", c) for c in ("user_id", "value")), ["column", "n"], places={"statistic": 9}
     ),
+    "chi2_independence_p_value": chi2_tail(
+        independence("part", ["p_size", "p_retailprice"]), ["df", "zero_rows"]
+    ),
+    "chi2_goodness_of_fit_p_value": chi2_tail(
+        union(goodness("customer", c) for c in ("c_nationkey", "c_acctbal")), ["column", "df"]
+    ),
+    "ks_normal_p_value": ks_tail(union(ks("events", c) for c in ("user_id", "value"))),
     "ks_normal_lineitem": show(
         union(ks("lineitem", c) for c in LINEITEM), ["column", "n"], places={"statistic": 9}
     ),
