@@ -58,6 +58,19 @@ def field_shape(lines: DataFrame) -> DataFrame:
     )
 
 
+def stage_counts(lines: DataFrame) -> DataFrame:
+    """``stage, rows`` for the lines read, too short and rectangular, from one scan."""
+    widths = measured(lines).groupBy("n_fields").agg(F.count(F.lit(1)).alias("rows"))
+    return widths.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
+        F.coalesce(F.max_by("rows", "n_fields"), F.lit(0)).alias("widest"),
+    ).selectExpr(
+        """inline(array(struct('read' AS stage, total AS rows),
+                        struct('short' AS stage, total - widest AS rows),
+                        struct('rectangular' AS stage, widest AS rows)))"""
+    )
+
+
 def append_sentinel(lines: DataFrame) -> DataFrame:
     """Lines with the constant trailing field."""
     return lines.withColumn("value", F.concat("value", F.lit(SEPARATOR + SENTINEL)))

@@ -53,8 +53,12 @@ def row_norms(
     ids: Sequence[str],
     cols: Sequence[str] | None = None,
     stats: dict[str, ColumnStats] | None = None,
+    guard: float | None = NORM_GUARD,
 ) -> DataFrame:
-    """``ids`` with ``row_max, row_min, zeros, l1_norm, l2_norm`` of the row's z-scores."""
+    """``ids`` with ``row_max, row_min, zeros, l1_norm, l2_norm`` of the row's z-scores.
+
+    Z-scores of ``guard`` and beyond stay out of the norms; ``None`` lets all of them in.
+    """
     stats = stats or fit(df, cols, moments=True)
     scaled = [c for c in scaled_columns(stats, cols) if stats[c].stddev > 0]
     hidden = [f"__z{i}" for i in range(len(scaled))]
@@ -62,7 +66,7 @@ def row_norms(
         *[named(i) for i in ids], *[z(df, stats[c]).alias(h) for c, h in zip(scaled, hidden)]
     )
     size = [F.abs(h) for h in hidden]
-    counted = [F.when(s < NORM_GUARD, s).otherwise(0.0) for s in size]
+    counted = size if guard is None else [F.when(s < guard, s).otherwise(0.0) for s in size]
     return scores.select(
         *[named(i) for i in ids],
         F.greatest(F.lit(-START), F.lit(-START), *hidden).alias("row_max"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ashlar.functions.names import named
@@ -13,8 +13,8 @@ from ashlar.functions.numbers import draw_digests, gaussian_draws
 from ashlar.functions.text import digest_byte, digest_text, readable_label
 from ashlar.operators.profile import profile
 
-# Lengths of the identifying label and of all others.
-ID_LENGTH = 13
+# Least and greatest length of the identifying label and of all others.
+ID_LENGTHS = (13, 13)
 LABEL_LENGTHS = (4, 13)
 DIGEST_BYTES = 16
 
@@ -40,13 +40,31 @@ def layout(columns: int) -> list[str]:
     return [name for j in range(columns) for name in (f"label_{j}", f"num_{j}")]
 
 
+def _label_digest(seed: int, key: Column, column: int, longest: int) -> Column:
+    """Bytes for the characters of one label and, at the end, for its length."""
+    parts = [F.lit(str(seed)), key, F.lit(f"label{column}")]
+    blocks = [digest_text(F.concat_ws("|", *parts))]
+    for block in range(1, (longest + DIGEST_BYTES) // DIGEST_BYTES):
+        blocks.append(digest_text(F.concat_ws("|", *parts, F.lit(str(block)))))
+    return F.concat(*blocks) if len(blocks) > 1 else blocks[0]
+
+
+def _label(digest: Column, lengths: tuple[int, int]) -> Column:
+    shortest, longest = lengths
+    if shortest == longest:
+        return readable_label(digest, F.lit(longest), longest)
+    last = (longest + DIGEST_BYTES) // DIGEST_BYTES * DIGEST_BYTES - 1
+    length = digest_byte(digest, last) % (longest - shortest + 1) + shortest
+    return readable_label(digest, length, longest)
+
+
 def fill_rows(
     keys: DataFrame,
     key: str,
     means: Sequence[float],
     variances: Sequence[float],
     seed: int = 0,
-    id_length: int = ID_LENGTH,
+    id_lengths: tuple[int, int] = ID_LENGTHS,
     label_lengths: tuple[int, int] = LABEL_LENGTHS,
     keep_key: bool = False,
 ) -> DataFrame:
@@ -56,30 +74,20 @@ def fill_rows(
     """
     columns = len(means)
     check_spec(columns, means, variances)
-    shortest, longest = label_lengths
-    if not 1 <= id_length < DIGEST_BYTES or not 1 <= shortest <= longest < DIGEST_BYTES:
-        raise ValueError(f"label lengths must lie between 1 and {DIGEST_BYTES - 1}")
+    lengths = [id_lengths] + [label_lengths] * (columns - 1)
+    if not all(1 <= shortest <= longest for shortest, longest in lengths):
+        raise ValueError("label lengths must run from 1 or more upward")
     text = named(key).cast("string")
     noise = draw_digests(text, seed, columns)
     digests = keys.select(
         named(key).alias("__key"),
-        *[
-            digest_text(F.concat_ws("|", F.lit(str(seed)), text, F.lit(f"label{j}"))).alias(f"__d{j}")
-            for j in range(columns)
-        ],
+        *[_label_digest(seed, text, j, lengths[j][1]).alias(f"__d{j}") for j in range(columns)],
         *[d.alias(f"__n{i}") for i, d in enumerate(noise)],
     )
     draws = gaussian_draws([F.col(f"__n{i}") for i in range(len(noise))], columns)
     output = [F.col("__key").alias(key)] if keep_key else []
     for j in range(columns):
-        digest = F.col(f"__d{j}")
-        if j == 0:
-            label = readable_label(digest, F.lit(id_length), id_length)
-        else:
-            spread = longest - shortest + 1
-            length = digest_byte(digest, DIGEST_BYTES - 1) % spread + shortest
-            label = readable_label(digest, length, longest)
-        output.append(label.alias(f"label_{j}"))
+        output.append(_label(F.col(f"__d{j}"), lengths[j]).alias(f"label_{j}"))
         output.append((draws[j] * math.sqrt(variances[j]) + means[j]).alias(f"num_{j}"))
     return digests.select(*output)
 

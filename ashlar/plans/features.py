@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ashlar.functions.names import named
@@ -13,6 +12,7 @@ from ashlar.operators.clean import rectangularize
 from ashlar.operators.profile import fit, of_type, profile
 from ashlar.sources.lines import read_lines
 from ashlar.sources.sinks import label_path, write_norms, write_normalized
+from ashlar.sources.tables import staged
 
 
 def find_features(
@@ -27,25 +27,24 @@ def find_features(
     low: float = -3.0,
     high: float = 3.0,
     mode: str = "errorifexists",
+    stage: bool = True,
 ) -> dict[str, DataFrame]:
     """Every result of the feature finder for a delimited text file, as lazy tables.
 
     Writes the normalized table to ``output`` and the labeled norms to ``norms_folder``
-    where these are given. The cleaned rows are read many times: persist ``rows`` of the
-    result around their use where the cluster has the room.
+    where these are given. Some twenty passes read the cleaned rows, so these are written
+    once as columns (``stage``) instead of cleaning the text again for each.
     """
-    lines = read_lines(spark, path)
-    table = rectangularize(lines, header)
-    results = features_of(
-        table.rows, "row_id", table.names, ids, interval, feature, low, high
-    )
+    table = rectangularize(read_lines(spark, path), header)
+    rows = staged(table.rows, "rows") if stage else table.rows
+    leading = list(ids if ids is not None else table.names[:6])
+    results = features_of(rows, "row_id", table.names, leading, interval, feature, low, high)
     stats = results.pop("_stats")
     if output is not None:
-        write_normalized(table.rows.drop("row_id"), output, stats=stats, mode=mode)
+        write_normalized(rows.drop("row_id"), output, stats=stats, mode=mode)
     if norms_folder is not None:
-        leading = list(ids if ids is not None else table.names[:6])
-        write_norms(table.rows, label_path(path, norms_folder), leading, stats=stats, mode=mode)
-    return {"rejected": table.rejected, "rows": table.rows, **results}
+        write_norms(rows, label_path(path, norms_folder), leading, stats=stats, mode=mode)
+    return {"rejected": table.rejected, "rows": rows, **results}
 
 
 def features_of(
@@ -90,7 +89,3 @@ def features_of(
         results["normality"] = distribution.ks_normal(df, numeric, stats)
     return results
 
-
-def cached(df: DataFrame) -> DataFrame:
-    """Keep a table that several passes read; blocks lost with an executor are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

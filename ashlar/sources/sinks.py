@@ -6,7 +6,6 @@ import posixpath
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ashlar.operators.clean import Table, rectangularize
 from ashlar.operators.normalize import labeled_norms, zscore
@@ -69,14 +68,3 @@ def read_back(spark: SparkSession, path: str, header: bool = True) -> Table:
     """
     return rectangularize(read_lines(spark, path), header)
 
-
-def count_rows(**stages: DataFrame) -> DataFrame:
-    """``stage, rows`` for each named table."""
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("stage"), "rows")
-        for name, df in stages.items()
-    ]
-    out = counts[0]
-    for more in counts[1:]:
-        out = out.unionByName(more)
-    return out

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ashlar.session import shared_path
+
 
 def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
     """A Parquet table.
@@ -17,3 +19,14 @@ def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFram
     if spread and table.rdd.getNumPartitions() < cores:
         return table.repartition(cores)
     return table
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """The table written once to the cluster's shared folder, and read from there.
+
+    Later passes then scan only the columns they need, and nothing is recomputed when an
+    executor is lost. The files stay for the caller to remove.
+    """
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -175,13 +175,7 @@ def _sentinel_dropped(spark, folder):
 
 
 def _counts(spark, folder):
-    documents = _documents(spark, folder)
-    width = _widest(spark, folder)
-    return sinks.count_rows(
-        read=documents,
-        short=clean.short_rows(documents, width),
-        rectangular=clean.rectangular_rows(documents, width),
-    )
+    return clean.stage_counts(_documents(spark, folder))
 
 
 def _corr_matrix(spark, folder):

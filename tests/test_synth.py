@@ -52,5 +52,12 @@ def test_specification_is_checked(spark):
     with pytest.raises(ValueError):
         synth.check_spec(3, [1.0], [1.0])
     with pytest.raises(ValueError):
-        synth.generate(spark, 5, [1.0], [1.0], id_length=40)
+        synth.generate(spark, 5, [1.0], [1.0], id_lengths=(5, 4))
     assert synth.split_spec(2, [1.0, 2.0, 3.0, 4.0]) == ([1.0, 2.0], [3.0, 4.0])
+
+
+def test_long_labels(spark):
+    rows = synth.generate(spark, 400, [1.0, 2.0], [1.0, 1.0], id_lengths=(11, 30), label_lengths=(16, 16)).collect()
+    assert {len(r.label_0) for r in rows} == set(range(11, 31))
+    assert {len(r.label_1) for r in rows} == {16}
+    assert len({r.label_0[16:] for r in rows if len(r.label_0) == 30}) > 1
