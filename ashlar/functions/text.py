@@ -12,6 +12,7 @@ QUOTES = "['\"]"
 NUMBER = (
     r"(?i)^[\s\p{Cntrl}]*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?[df]?|0x\S+|nan|inf(inity)?)[\s\p{Cntrl}]*$"
 )
+CHUNK = 16
 CHUNKS = "(?s).{1,16}"
 
 # The 32 characters of readable labels; the first 24 are letters.
@@ -90,11 +91,13 @@ def look_alike(text: Column) -> Column:
         )
 
     def substitute_chunk(chunk: Column) -> Column:
-        swapped = F.zip_with(F.split(chunk, ""), F.split(digest_text(chunk), ""), substitute)
-        return F.array_join(swapped, "")
+        used = F.substring(digest_text(chunk), F.lit(1), F.length(chunk))
+        return F.array_join(F.zip_with(F.split(chunk, ""), F.split(used, ""), substitute), "")
 
     chunks = F.regexp_extract_all(text, F.lit(CHUNKS), F.lit(0))
-    return F.array_join(F.transform(chunks, substitute_chunk), "")
+    return F.when(F.length(text) <= CHUNK, substitute_chunk(text)).otherwise(
+        F.array_join(F.transform(chunks, substitute_chunk), "")
+    )
 
 
 def readable_label(digest: Column, length: Column, longest: int) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,9 +12,16 @@ from ashlar.functions.names import named
 from ashlar.functions.numbers import ks_p_value, normal_cdf
 from ashlar.operators.profile import ColumnStats, fit, long_values, number, of_type
 
-KS_BUCKETS = 4096
+KS_BUCKETS = 65_536
 # exp(-x*x/2) is exactly zero in double precision beyond this many bandwidths.
 KERNEL_REACH = 38.7
+# Values in a cell of this share of a bandwidth are summed up by this many moments; the
+# first term left out is below 1e-14 of a kernel's peak.
+CELL = 1 / 3
+MOMENTS = 12
+# Below this many kernels per value, or rows per cell, the moments do not pay.
+FEW_KERNELS = 8
+FEW_ROWS = 16
 
 
 def ks_normal(
@@ -22,7 +29,7 @@ def ks_normal(
     cols: Sequence[str] | None = None,
     stats: dict[str, ColumnStats] | None = None,
     p_value: bool = True,
-    buckets: int = KS_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One-sample test of each column against the normal law with its own mean and deviation.
 
@@ -38,6 +45,9 @@ def ks_normal(
     if not cols:
         raise ValueError("no column varies")
     n = float(stats[cols[0]].count)
+    # Normal data deviate by about one over the root of the row count; buckets well below
+    # that leave few of them open.
+    buckets = buckets or min(KS_BUCKETS, 16 * math.isqrt(int(n)) + 16)
     view = df.select(*[((number(df, c) - stats[c].mean) / stats[c].stddev).alias(c) for c in cols])
     # The probability grows with the value, so it can stand in for it in all that follows.
     cells = (
@@ -108,6 +118,48 @@ def unit_grid(count: int) -> tuple[float, float, int]:
     return 0.0, 1.0, count
 
 
+def _distance_kernel(point, centre, bandwidth: float):
+    x = (point - centre) / bandwidth
+    return x, F.exp(-0.5 * x * x)
+
+
+def _direct(df: DataFrame, cols: Sequence[str], bandwidth: float) -> tuple[DataFrame, Callable]:
+    """One source per value; its mass at a point is its kernel."""
+    sources = long_values(df, cols).withColumnRenamed("value", "centre")
+    return sources, lambda point: _distance_kernel(point, F.col("centre"), bandwidth)[1]
+
+
+def _by_cell(df: DataFrame, cols: Sequence[str], bandwidth: float) -> tuple[DataFrame, Callable]:
+    """One source per cell, holding the moments of its values about the cell's middle.
+
+    With x and d the distances of point and value from the middle, in bandwidths, the
+    kernel is exp(-x*x/2) * exp(-d*d/2) * exp(x*d), the last factor as a power series in d.
+    """
+    width = bandwidth * CELL
+    cell = F.floor(F.col("value") / width)
+    placed = long_values(df, cols).select(
+        "column", cell.alias("cell"), ((F.col("value") - (cell + 0.5) * width) / bandwidth).alias("d")
+    )
+    terms, power = [], F.exp(-0.5 * F.col("d") * F.col("d"))
+    for k in range(MOMENTS):
+        terms.append(F.sum(power).alias(f"m{k}"))
+        power = power * F.col("d") / (k + 1)
+    sources = (
+        placed.groupBy("column", "cell")
+        .agg(*terms)
+        .withColumn("centre", (F.col("cell") + 0.5) * width)
+    )
+
+    def mass(point):
+        x, kernel = _distance_kernel(point, F.col("centre"), bandwidth)
+        series = F.col(f"m{MOMENTS - 1}")
+        for k in reversed(range(MOMENTS - 1)):
+            series = series * x + F.col(f"m{k}")
+        return kernel * series
+
+    return sources, mass
+
+
 def kde(
     df: DataFrame,
     cols: Sequence[str] | None = None,
@@ -119,37 +171,55 @@ def kde(
 ) -> DataFrame:
     """Gaussian kernel density ``column, point, density``.
 
-    On an evenly spaced ``grid`` each value reaches only the points where its kernel is
-    not exactly zero, so the work is rows times that reach however long the grid is, and
-    the sums are partly aggregated before the shuffle. ``points`` takes any short list.
+    On an evenly spaced ``grid`` a value visits only the points where its kernel is not
+    exactly zero, however long the grid is; ``points`` takes any short list. Where that
+    still means many kernels per value and values lie close, they are first summed into
+    cells narrower than the bandwidth, before any shuffle, and the cells visit the points.
     With ``least`` only densities at or above it are kept; points nothing reaches then
     never appear and need no row.
     """
     stats = stats or fit(df, cols)
     cols = [c for c in of_type(stats) if cols is None or c in cols]
     n = stats[cols[0]].count
-    cells = long_values(df, cols)
-    if points is None:
-        start, step, size = grid or default_grid(n)
-        reach = KERNEL_REACH * bandwidth
-        first = F.greatest(F.ceil((F.col("value") - (reach + start)) / step), F.lit(0))
-        last = F.least(F.floor((F.col("value") + (reach - start)) / step), F.lit(size - 1))
-        pairs = (
-            cells.withColumn("first", first)
+    start, step, size = grid or default_grid(n)
+    reach = KERNEL_REACH * bandwidth
+    kernels = len(points) if points is not None else min(size, 2 * reach / step + 1)
+
+    def close(c: str) -> bool:
+        cells = (stats[c].max - stats[c].min) / (bandwidth * CELL) + 1
+        return kernels > FEW_KERNELS and cells * FEW_ROWS <= n
+
+    def visits(sources: DataFrame) -> DataFrame:
+        if points is not None:
+            listed = [
+                F.struct(F.lit(i).cast("bigint").alias("at"), F.lit(float(p)).alias("point"))
+                for i, p in enumerate(points)
+            ]
+            return sources.select("*", F.inline(F.array(*listed)))
+        first = F.greatest(F.ceil((F.col("centre") - (reach + start)) / step), F.lit(0))
+        last = F.least(F.floor((F.col("centre") + (reach - start)) / step), F.lit(size - 1))
+        return (
+            sources.withColumn("first", first)
             .withColumn("last", last)
             .filter("first <= last")
-            .select("column", "value", F.explode(F.sequence("first", "last")).alias("at"))
+            .select("*", F.explode(F.sequence("first", "last")).alias("at"))
             .withColumn("point", F.lit(start) + F.col("at") * F.lit(step))
         )
-    else:
-        listed = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(float(p)).alias("point")) for i, p in enumerate(points)])
-        pairs = cells.select("column", "value", F.inline(listed))
-    distance = (F.col("point") - F.col("value")) / bandwidth
-    kernel = F.exp(-0.5 * distance * distance)
+
     scale = n * bandwidth * math.sqrt(2 * math.pi)
-    reached = pairs.groupBy("column", "at").agg(
-        F.min("point").alias("point"), (F.sum(kernel) / scale).alias("density")
-    )
+    reached = None
+    for chosen, method in (
+        ([c for c in cols if close(c)], _by_cell),
+        ([c for c in cols if not close(c)], _direct),
+    ):
+        if chosen:
+            sources, mass = method(df, chosen, bandwidth)
+            part = (
+                visits(sources)
+                .groupBy("column", "at")
+                .agg(F.min("point").alias("point"), (F.sum(mass(F.col("point"))) / scale).alias("density"))
+            )
+            reached = part if reached is None else reached.unionByName(part)
     if least is not None:
         return reached.filter(F.col("density") >= least).select("column", "point", "density")
     if points is not None:
