@@ -165,7 +165,7 @@ def rectangularize(lines: DataFrame, header: bool = True) -> Table:
     return Table(to_columns(kept, names), rejected, names, shape)
 
 
-def numeric_columns(df: DataFrame, names: Sequence[str], types: dict[str, str]) -> DataFrame:
+def typed_columns(df: DataFrame, names: Sequence[str], types: dict[str, str]) -> DataFrame:
     """The table with inferred types: whole numbers as bigint, others as double, text as is."""
     def typed(name: str) -> Column:
         value = named(name)
@@ -181,7 +181,7 @@ def numeric_columns(df: DataFrame, names: Sequence[str], types: dict[str, str])
 
 def numbers_only(df: DataFrame, names: Sequence[str], types: dict[str, str]) -> DataFrame:
     """The numeric columns alone, chosen by type; a text among numbers counts as 0.0."""
-    return numeric_columns(df, [n for n in names if types[n] != "String"], types)
+    return typed_columns(df, [n for n in names if types[n] != "String"], types)
 
 
 def parse_check(df: DataFrame, key: str, col: str) -> DataFrame:

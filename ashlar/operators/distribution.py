@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions.names import named
 from ashlar.functions.numbers import ks_p_value, normal_cdf
-from ashlar.operators.profile import ColumnStats, fit, long_values, number, of_type
+from ashlar.operators.profile import ColumnStats, fit, long_values, number, numeric_columns
 
 KS_BUCKETS = 65_536
 # exp(-x*x/2) is exactly zero in double precision beyond this many bandwidths.
@@ -41,7 +41,7 @@ def ks_normal(
     partition is scanned once and no task receives a whole column or bucket.
     """
     stats = stats or fit(df, cols)
-    cols = [c for c in of_type(stats) if (cols is None or c in cols) and stats[c].variance > 0]
+    cols = [c for c in numeric_columns(stats, cols) if stats[c].variance > 0]
     if not cols:
         raise ValueError("no column varies")
     n = float(stats[cols[0]].count)
@@ -179,7 +179,7 @@ def kde(
     never appear and need no row.
     """
     stats = stats or fit(df, cols)
-    cols = [c for c in of_type(stats) if cols is None or c in cols]
+    cols = numeric_columns(stats, cols)
     n = stats[cols[0]].count
     start, step, size = grid or default_grid(n)
     reach = KERNEL_REACH * bandwidth

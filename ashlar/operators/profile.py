@@ -129,6 +129,7 @@ def profile(
     summaries are shuffled, one row per column and task.
     """
     cols = list(cols if cols is not None else df.columns)
+    moments = moments or rule == "label"
     rule = rule or ("label" if moments else "exact")
     if rule not in TYPE_RULES:
         raise ValueError(f"rule must be one of {sorted(TYPE_RULES)}")
@@ -175,8 +176,16 @@ def of_type(stats: dict[str, ColumnStats], types: Sequence[str] = NUMERIC_TYPES)
     return [s.column for s in stats.values() if s.inferred_type in types]
 
 
+def numeric_columns(stats: dict[str, ColumnStats], cols: Sequence[str] | None = None) -> list[str]:
+    """The numeric columns among ``cols``, in table order."""
+    found = [c for c in of_type(stats) if cols is None or c in cols]
+    if not found:
+        raise ValueError("no numeric column")
+    return found
+
+
 def infer_types(df: DataFrame, cols: Sequence[str] | None = None, rule: str = "exact") -> DataFrame:
     """``column, col_idx, inferred_type, parse_rate`` by the exact, coarse or label rule."""
-    return profile(df, cols, moments=rule == "label", rule=rule).selectExpr(
+    return profile(df, cols, rule=rule).selectExpr(
         "column", "col_idx", "inferred_type", "parsed / count AS parse_rate"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ashlar.functions.names import named
-from ashlar.operators.profile import ColumnStats, fit, number, numeric_view, of_type
+from ashlar.operators.profile import ColumnStats, fit, number, numeric_columns, numeric_view
 
 # The last step ranks at most this many values per column in one aggregation buffer.
 EXACT_LIMIT = 100_000
@@ -129,7 +129,7 @@ def median(
     if side not in offsets:
         raise ValueError("side must be 'upper' or 'lower'")
     stats = stats or fit(df, cols)
-    cols = [c for c in of_type(stats) if cols is None or c in cols]
+    cols = numeric_columns(stats, cols)
     found = order_statistic(df, cols, lambda n: n // 2 + offsets[side], stats, limit)
     return found.withColumnRenamed("value", "median")
 
@@ -152,7 +152,7 @@ def bin_counts(
     bin. A constant column has no width and goes to bin 0. Counted before the shuffle.
     """
     stats = stats or fit(df, cols)
-    cols = [c for c in of_type(stats) if cols is None or c in cols]
+    cols = numeric_columns(stats, cols)
     width = {c: (stats[c].max - stats[c].min) / bin_count(stats[c].count) for c in cols}
     view = df.select(
         *[
@@ -176,7 +176,7 @@ def histogram(
 ) -> DataFrame:
     """All bins ``column, bin, count``, the extra one and empty ones included."""
     stats = stats or fit(df, cols)
-    cols = [c for c in of_type(stats) if cols is None or c in cols]
+    cols = numeric_columns(stats, cols)
     bins = bin_count(stats[cols[0]].count)
     every = df.sparkSession.range(bins + 1).select(
         F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"), F.col("id").alias("bin")
@@ -220,7 +220,7 @@ def mode(
     fullest = bin_counts(df, cols, stats).groupBy("column").agg(
         F.max_by("bin", F.struct("count", -F.col("bin"))).alias("bin")
     )
-    names = [c for c in of_type(stats) if cols is None or c in cols]
+    names = numeric_columns(stats, cols)
     low = _literal_map({c: stats[c].min for c in names})
     span = _literal_map({c: stats[c].max - stats[c].min for c in names})
     bins = _literal_map({c: bin_count(stats[c].count) for c in names})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions.names import named
 from ashlar.functions.numbers import chi2_p_value
-from ashlar.operators.profile import ColumnStats, fit, number, numeric_view, of_type
+from ashlar.operators.profile import ColumnStats, fit, number, numeric_columns, numeric_view
 
 # Above this many columns the Gram matrix of the ML library beats one expression per pair.
 PAIRWISE_LIMIT = 16
@@ -118,7 +118,7 @@ def chi2_gof(
     The expected counts are scaled to the observed total, as the test requires.
     """
     stats = stats or fit(df, cols)
-    used = [c for c in of_type(stats) if c in cols]
+    used = numeric_columns(stats, cols)
     rows = []
     for c in used:
         s = stats[c]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -27,6 +28,11 @@ def local_session(name: str = "ashlar", cpus: int = 8, **extra: str) -> SparkSes
     return session
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="ashlar-")
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder the session names in ``spark.checkpoint.dir``.
 
@@ -37,6 +43,5 @@ def shared_path(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="ashlar-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

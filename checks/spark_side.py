@@ -144,7 +144,7 @@ def _rectangular_table(spark, folder):
 def _typed_table(spark, folder):
     cleaned = clean.rectangularize(_order_lines(spark, folder), header=False)
     types = {s.column: s.inferred_type for s in fit(cleaned.rows, cleaned.names).values()}
-    return clean.numeric_columns(cleaned.rows, cleaned.names, types)
+    return clean.typed_columns(cleaned.rows, cleaned.names, types)
 
 
 def _numbers_only(spark, folder):
@@ -223,14 +223,14 @@ def _gof(spark, folder, p_value: bool = False):
 
 def _ks(spark, folder, p_value: bool = False):
     return shown(
-        distribution.ks_normal(table(spark, folder, "events"), ["user_id", "value"], p_value=p_value),
+        distribution.ks_normal(table(spark, folder, "events", spread=True), ["user_id", "value"], p_value=p_value),
         places={"statistic": 9, "p_value": 2},
     )
 
 
 def _ks_lineitem(spark, folder):
     return shown(
-        distribution.ks_normal(table(spark, folder, "lineitem"), LINEITEM, p_value=False), places={"statistic": 9}
+        distribution.ks_normal(table(spark, folder, "lineitem", spread=True), LINEITEM, p_value=False), places={"statistic": 9}
     )
 
 
@@ -343,7 +343,7 @@ def _redraw(spark, folder):
 
 
 def _anonymized(spark, folder):
-    return anon.anonymize(table(spark, folder, "customer"), ["c_custkey"], CUSTOMER, SEED)
+    return anon.anonymize(table(spark, folder, "customer", spread=True), ["c_custkey"], CUSTOMER, SEED)
 
 
 def _anonymize(spark, folder):

@@ -70,7 +70,7 @@ def test_split_fields_and_types(spark):
     table = clean.rectangularize(lines(spark, ["a,b,c", "1,2.5,x", "2,y,z"]))
     types = {s.column: s.inferred_type for s in fit(table.rows, table.names).values()}
     assert types == {"a": "Int", "b": "Double", "c": "String"}
-    typed = clean.numeric_columns(table.rows, table.names, types)
+    typed = clean.typed_columns(table.rows, table.names, types)
     assert [t for _, t in typed.dtypes] == ["bigint", "double", "string"]
     # A text among numbers is zero and later values do not move to the left.
     assert sorted(map(tuple, clean.numbers_only(table.rows, table.names, types).collect())) == [(1, 2.5), (2, 0.0)]
