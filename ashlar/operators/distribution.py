@@ -47,7 +47,7 @@ def ks_normal(
     n = float(stats[cols[0]].count)
     # Normal data deviate by about one over the root of the row count; buckets well below
     # that leave few of them open.
-    buckets = buckets or min(KS_BUCKETS, 16 * math.isqrt(int(n)) + 16)
+    buckets = buckets or min(KS_BUCKETS, 8 * math.isqrt(int(n)) + 8)
     view = df.select(*[((number(df, c) - stats[c].mean) / stats[c].stddev).alias(c) for c in cols])
     # The probability grows with the value, so it can stand in for it in all that follows.
     cells = (
