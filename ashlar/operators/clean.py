@@ -184,7 +184,11 @@ def numbers_only(df: DataFrame, names: Sequence[str], types: dict[str, str]) ->
     return typed_columns(df, [n for n in names if types[n] != "String"], types)
 
 
-def parse_check(df: DataFrame, key: str, col: str) -> DataFrame:
-    """``key, value, parsed``: the lenient number of a text and whether it was one."""
+def parse_check(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """``keys, value, parsed``: the lenient number of a text and whether it was one."""
     text = named(col).cast("string")
-    return df.select(key, lenient_double(text).alias("value"), parsed_double(text).isNotNull().alias("parsed"))
+    return df.select(
+        *[named(k) for k in keys],
+        lenient_double(text).alias("value"),
+        parsed_double(text).isNotNull().alias("parsed"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.functions.text import field_count, lenient_double, look_alike, unquote
+from ashlar.functions.text import field_count, look_alike, unquote
 from ashlar.operators import anonymize as anon
 from ashlar.operators import clean, distribution, normalize, outliers, ranks, relate, synth
 from ashlar.operators.profile import fit, infer_types, profile, raw_moments
@@ -154,12 +154,8 @@ def _numbers_only(spark, folder):
 
 
 def _lenient(spark, folder):
-    split = clean.split_fields(_customer_lines(spark, folder))
-    return split.select(
-        "row_id",
-        "col_idx",
-        lenient_double(F.col("field")).alias("value"),
-        F.col("field").try_cast("double").isNotNull().alias("parsed"),
+    return clean.parse_check(
+        clean.split_fields(_customer_lines(spark, folder)), ["row_id", "col_idx"], "field"
     )
 
 

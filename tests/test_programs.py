@@ -79,4 +79,4 @@ def test_quotes_jagged_rows_and_repeated_headers(spark, folder):
 
 
 def test_label_path():
-    assert label_path("/data/in/arran.csv", "/out") == "/out/arranLabel.csv"
+    assert label_path("/data/in/rows.csv", "/out") == "/out/rowsLabel.csv"

@@ -76,5 +76,5 @@ def test_chi_square_tail():
     # Known values of the chi-square survival function.
     assert _upper_gamma(0.5, 3.841458820694124 / 2) == pytest.approx(0.05)
     assert _upper_gamma(5.0, 18.307038053275146 / 2) == pytest.approx(0.05)
-    assert _upper_gamma(50.0, 77.92946516501728 / 2) == pytest.approx(0.978, abs=0.03)
+    assert _upper_gamma(50.0, 77.92946516501728 / 2) == pytest.approx(0.95, abs=1e-6)
     assert _upper_gamma(1e7, 1e7) == pytest.approx(_upper_gamma(1.0000001e7, 1.0000001e7), abs=1e-6)
