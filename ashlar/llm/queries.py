@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.llm import bpe, quality_rules, shards, simhash
+from ashlar.llm import bpe, quality_rules, shards, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("law", F.lit("key"))
 
 
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.without_repeats(documents(spark, folder), ["doc_id"], outputs=("kept_sha256",))
+
+
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder), [])
     return found.select(
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op1_bpe_encode_decode": op1,
     "op2_quality_rules": op2,
     "op4_rendezvous_shards": op4,
+    "op6_substring_dedup": op6,
     "op8_simhash_vp_trees": op8,
 }
 
