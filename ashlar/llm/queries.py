@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.llm import bpe, quality_rules, shards, simhash, substring_dedup
+from ashlar.llm import bpe, personal_data, quality_rules, shards, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,19 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.without_repeats(documents(spark, folder), ["doc_id"], outputs=("kept_sha256",))
 
 
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.found(documents(spark, folder), ["doc_id"])
+    of_kind = [
+        personal_data.number(F.col("base"), kind).cast("long").alias(f"n_{kind}") for kind in personal_data.KINDS
+    ]
+    return found.select(
+        "row.doc_id",
+        *of_kind,
+        F.sha2(personal_data.written_out(F.col("base")), 256).alias("base_sha256"),
+        personal_data.written_out(F.col("spans")).alias("spans"),
+    )
+
+
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder), [])
     return found.select(
@@ -56,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2,
     "op4_rendezvous_shards": op4,
     "op6_substring_dedup": op6,
+    "op7_personal_data": op7,
     "op8_simhash_vp_trees": op8,
 }
 
