@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.llm import bpe, personal_data, quality_rules, shards, simhash, substring_dedup
+from ashlar.llm import (
+    bpe,
+    compression_quality,
+    decontaminate,
+    personal_data,
+    quality_rules,
+    shards,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
+from ashlar.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,11 +44,34 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def _labelled(spark: SparkSession, folder: str, label: str) -> DataFrame:
+    """Rows to learn from: none whose id is held out."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", label)
+    learned = labels.filter(~held_out(F.col("doc_id")))
+    return documents(spark, folder).select("doc_id", "text").join(learned, "doc_id")
+
+
+def _verdicts(scores: DataFrame, limit: float) -> DataFrame:
+    return scores.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted")
+    )
+
+
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    model = toxicity.fit(_labelled(spark, folder, "toxic"), "doc_id", "text", "toxic")
+    return _verdicts(toxicity.scored(documents(spark, folder), model, ["doc_id"]), 0.5)
+
+
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = shards.shard(documents(spark, folder), [1.0] * 16, [1.0] * 17)
     return found.withColumn("law", F.lit("key"))
 
 
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    model = compression_quality.fit(_labelled(spark, folder, "quality"), "doc_id", "text", "quality")
+    return _verdicts(compression_quality.scored(documents(spark, folder), model, ["doc_id"]), 0.3)
+
+
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.without_repeats(documents(spark, folder), ["doc_id"], outputs=("kept_sha256",))
 
@@ -64,13 +98,21 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontaminate.contaminated(documents(spark, folder), benchmark, ["doc_id"])
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_encode_decode": op1,
     "op2_quality_rules": op2,
+    "op3_toxicity_ftrl": op3,
     "op4_rendezvous_shards": op4,
+    "op5_compression_quality": op5,
     "op6_substring_dedup": op6,
     "op7_personal_data": op7,
     "op8_simhash_vp_trees": op8,
+    "op10_decontaminate": op10,
 }
 
 ORACLES: dict[str, str] = {}
