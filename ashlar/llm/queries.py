@@ -15,6 +15,7 @@ from ashlar.llm import (
     quality_rules,
     shards,
     simhash,
+    site_style,
     substring_dedup,
     toxicity,
 )
@@ -98,6 +99,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    return site_style.main_text(pages, ["page_id", "url"])
+
+
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
     return decontaminate.contaminated(documents(spark, folder), benchmark, ["doc_id"])
@@ -112,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op6_substring_dedup": op6,
     "op7_personal_data": op7,
     "op8_simhash_vp_trees": op8,
+    "op9_site_style_tree": op9,
     "op10_decontaminate": op10,
 }
 
