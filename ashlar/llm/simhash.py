@@ -206,7 +206,9 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node with an edge, by large and small stars until nothing changes.
 
     Each round links larger neighbours, then smaller ones, to the smallest neighbour and is
-    written to the shared folder. The number of rounds grows with the logarithm of the longest
+    written to the shared folder, and so are the smallest neighbours before they are joined to
+    the links: then both sides of the join are shuffled for it, and Spark splits the links of a
+    node that has very many. The number of rounds grows with the logarithm of the longest
     chain, not with a component's size.
     """
     state = None
@@ -214,10 +216,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = written(least, "least")
         large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        root = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        root = written(down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "least")
         small_star = down.join(root, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small_star.union(root.select("k", "m")).filter("u <> v").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
