@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,12 +41,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint where a count proves at most ``rows`` rows; else left to shuffle joins,
-    whose skewed partitions Spark splits. ``df`` should be cheap to count, such as a written one."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels no model learns from: CRC-32 of the id as text divisible by 5."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
@@ -60,6 +55,20 @@ def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(2**32)) < limit)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, by_class: bool = False, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict]:
+    """``key, text, label`` of a bounded sample of labelled rows that are not held out, written to
+    the shared folder, and how many such labels there are of each class.
+
+    About ``rows`` labels are chosen first, of all or of each class, by the hash of their keys.
+    That bounds what is broadcast, and texts are read without moving any but the chosen.
+    """
+    learned = labels.select(key, F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & ~held_out(F.col(key)))
+    counts = {r.label: r["count"] for r in learned.groupBy("label").count().collect()}
+    parts = [learned.filter(F.col("label") == c) for c in sorted(counts)] if by_class and counts else [learned]
+    chosen = reduce(DataFrame.unionAll, [bounded_sample(p, rows, key) for p in parts])
+    return written(docs.select(key, text).join(F.broadcast(chosen), key), "sample"), counts
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, list]]:
     """A batch's values in runs of about ``most`` bytes, each with its first row's number; so
     working arrays stay small however large a batch is. A long text is a run of its own."""
@@ -74,7 +83,3 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         size += len(v or b"")
     if run:
         yield first, run
-
-
-def arrow(rows: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)

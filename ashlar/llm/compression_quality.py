@@ -89,11 +89,12 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(rows: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> Model:
+def fit(rows: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE, share: float | None = None) -> Model:
     """Dictionaries from one half of a bounded sample of each class, the curve from the other half.
 
     The sample is chosen, halved and ordered by hashes of key and text. One task per half and
-    class reads it. A class without rows has no dictionary; without any rows the score is 0.5.
+    class reads it. ``share`` is that of good rows where ``rows`` are a sample that does not show
+    it. A class without rows has no dictionary; without any rows the score is 0.5.
     """
     labelled = rows.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("body"), F.col(label).cast("int").alias("label"))
     classes = [bounded_sample(labelled.filter(F.col("label") == c), 2 * sample) for c in (0, 1)]
@@ -115,11 +116,11 @@ def fit(rows: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE)
             found = [both.difference(b.as_py()) for b in batch.column("body")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("label")], names=["x", "label"])
 
-    # Classes are sampled at different rates; weights would undo that, the share of each does it below.
     pairs = chosen.filter(half == 1).mapInArrow(measure, "x double, label int").filter("x IS NOT NULL").collect()
-    counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
-    total = counts.get(0, 0) + counts.get(1, 0)
-    share = counts.get(1, 0) / total if total else 0.5
+    if share is None:
+        counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+        total = counts.get(0, 0) + counts.get(1, 0)
+        share = counts.get(1, 0) / total if total else 0.5
     x, y = np.array([p.x for p in sorted(pairs)]), np.array([p.label for p in sorted(pairs)], float)
     if len(set(y.tolist())) < 2:
         return Model(good, bad, 0.0, math.log((share + 1e-3) / (1 - share + 1e-3)), share)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import let, same, small, written
+from ashlar.llm.common import let, same, written
 
 #: Words of a window that is looked up for repeats.
 WINDOW = 8

@@ -19,7 +19,7 @@ from ashlar.llm import (
     substring_dedup,
     toxicity,
 )
-from ashlar.llm.common import held_out
+from ashlar.llm.common import held_out, labelled
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,13 +45,6 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
-def _labelled(spark: SparkSession, folder: str, label: str) -> DataFrame:
-    """Rows to learn from: none whose id is held out."""
-    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", label)
-    learned = labels.filter(~held_out(F.col("doc_id")))
-    return documents(spark, folder).select("doc_id", "text").join(learned, "doc_id")
-
-
 def _verdicts(scores: DataFrame, limit: float) -> DataFrame:
     return scores.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted")
@@ -59,7 +52,9 @@ def _verdicts(scores: DataFrame, limit: float) -> DataFrame:
 
 
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    model = toxicity.fit(_labelled(spark, folder, "toxic"), "doc_id", "text", "toxic")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows, _ = labelled(documents(spark, folder), labels, "toxic", toxicity.SAMPLE)
+    model = toxicity.fit(rows, "doc_id", "text", "label")
     return _verdicts(toxicity.scored(documents(spark, folder), model, ["doc_id"]), 0.5)
 
 
@@ -69,7 +64,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    model = compression_quality.fit(_labelled(spark, folder, "quality"), "doc_id", "text", "quality")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows, counts = labelled(documents(spark, folder), labels, "quality", 2 * compression_quality.SAMPLE, by_class=True)
+    share = counts.get(1, 0) / sum(counts.values()) if counts else None
+    model = compression_quality.fit(rows, "doc_id", "text", "label", share=share)
     return _verdicts(compression_quality.scored(documents(spark, folder), model, ["doc_id"]), 0.3)
 
 
