@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 SEPARATOR = ","
 SENTINEL = "No Data"
 QUOTES = "['\"]"
-# Everything Spark's cast to double accepts, and little else.
+# Every finite number that Spark's cast to double accepts, and little else. "nan" and "inf" are
+# words first: a name among them must not turn a text column into numbers.
 NUMBER = (
-    r"(?i)^[\s\p{Cntrl}]*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?[df]?|0x\S+|nan|inf(inity)?)[\s\p{Cntrl}]*$"
+    r"(?i)^[\s\p{Cntrl}]*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?[df]?|0x\S+)[\s\p{Cntrl}]*$"
 )
 CHUNK = 16
 CHUNKS = "(?s).{1,16}"

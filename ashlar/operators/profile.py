@@ -94,7 +94,7 @@ def _summary(found: str, moments: bool) -> list[str]:
     ]
     if moments:
         # Spark divides by the population deviation; these definitions use the sample one.
-        shrink = "(1 - 1 / double(count(1)))"
+        shrink = "(1 - try_divide(1D, count(1)))"
         parts += [
             f"skewness({value}) * power({shrink}, 1.5D) AS skewness",
             f"(kurtosis({value}) + 3) * power({shrink}, 2) - 3 AS kurtosis",

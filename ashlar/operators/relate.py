@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +14,6 @@ from ashlar.functions.names import named
 from ashlar.functions.numbers import chi2_p_value
 from ashlar.operators.profile import ColumnStats, fit, number, numeric_columns, numeric_view
 
-# Above this many columns the Gram matrix of the ML library beats one expression per pair.
-PAIRWISE_LIMIT = 16
-
 
 def vectorize(df: DataFrame, cols: Sequence[str], output: str = "features") -> DataFrame:
     """Append the columns' numbers as one dense vector."""
@@ -24,42 +22,71 @@ def vectorize(df: DataFrame, cols: Sequence[str], output: str = "features") -> D
     return VectorAssembler(inputCols=hidden, outputCol=output).transform(wide).drop(*hidden)
 
 
+def _comoments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows as one row per pair of columns: count, means, extremes, centred products.
+
+    Batches are merged by the update for joined samples. Values are taken from the batch's
+    first one, so a constant column has no spread at all.
+    """
+    n, mean, products, low, high = 0, None, None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        low = x.min(axis=0) if low is None else np.minimum(low, x.min(axis=0))
+        high = x.max(axis=0) if high is None else np.maximum(high, x.max(axis=0))
+        shift = x[0].copy()
+        x = x - shift
+        middle = x.mean(axis=0)
+        x -= middle
+        here = shift + middle
+        if mean is None:
+            n, mean, products = len(x), here, x.T @ x
+            continue
+        total, delta = n + len(x), here - mean
+        products += x.T @ x + np.outer(delta, delta) * (n * len(x) / total)
+        mean, n = mean + delta * (len(x) / total), total
+    if n:
+        k = len(mean)
+        i, j = (v.ravel() for v in np.indices((k, k)))
+        columns = [i, j, np.full(k * k, float(n)), mean[i], mean[j], products.ravel(), low[i], high[i], low[j], high[j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=COMOMENTS.replace(" bigint", "").replace(" double", "").split(", "))
+
+
+COMOMENTS = "i bigint, j bigint, n double, mi double, mj double, c double, li double, hi double, lj double, hj double"
+
+
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson matrix in long form ``col_i, col_j, r``; NULL where a column is constant."""
+    """Pearson matrix in long form ``col_i, col_j, r``, both halves; NULL where a column is constant.
+
+    One scan for any number of columns: every task hands on one centred matrix, whose entries
+    are then joined by pair, about the common means. Nothing runs before the result is asked
+    for. An empty table gives no rows.
+    """
     cols = list(cols)
-    view = numeric_view(df, cols)
-    if len(cols) > PAIRWISE_LIMIT:
-        matrix = Correlation.corr(vectorize(view, cols), "features").first()[0].toArray()
-        rows = [
-            (a, b, None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-            for i, a in enumerate(cols)
-            for j, b in enumerate(cols)
-        ]
-        return df.sparkSession.createDataFrame(rows, "col_i string, col_j string, r double")
-
-    def coefficient(a: str, b: str):
-        spread = F.stddev_samp(named(a)) * F.stddev_samp(named(b))
-        return F.try_divide(F.covar_samp(named(a), named(b)), spread)
-
-    pairs = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), coefficient(cols[i], cols[j]).alias("r"))
-        for i in range(len(cols))
-        for j in range(i)
-    ]
-    pairs += [
-        F.struct(
-            F.lit(i).alias("i"),
-            F.lit(i).alias("j"),
-            F.when(F.var_samp(named(c)) > 0, 1.0).alias("r"),
-        )
-        for i, c in enumerate(cols)
-    ]
-    lower = view.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
+    view = numeric_view(df, cols).toDF(*[f"c{i}" for i in range(len(cols))])
+    tasks = view.mapInArrow(_comoments, COMOMENTS)
+    total = "sum(n) OVER (PARTITION BY i, j)"
+    about = tasks.selectExpr(
+        "*",
+        f"mi - sum(n * mi) OVER (PARTITION BY i, j) / {total} AS di",
+        f"mj - sum(n * mj) OVER (PARTITION BY i, j) / {total} AS dj",
+    )
+    sums = about.groupBy("i", "j").agg(
+        F.sum(F.col("c") + F.col("n") * F.col("di") * F.col("dj")).alias("c"),
+        ((F.min("li") < F.max("hi")) & (F.min("lj") < F.max("hj"))).alias("varies"),
+    )
+    spread = sums.filter("i = j")
+    own = [spread.select(F.col("i").alias(f"k{s}"), F.col("c").alias(f"s{s}")) for s in "ij"]
+    joined = sums.join(own[0], F.col("i") == F.col("ki")).join(own[1], F.col("j") == F.col("kj"))
+    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
+        F.try_divide(F.col("c"), F.sqrt("si") * F.sqrt("sj"))
+    )
     names = F.array(*[F.lit(c) for c in cols])
-    flip = F.col("i") != F.col("j")
-    both = F.when(flip, F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    return lower.select("r", F.explode(F.coalesce(both, F.array(F.struct("i", "j")))).alias("at")).select(
-        names[F.col("at.i")].alias("col_i"), names[F.col("at.j")].alias("col_j"), "r"
+    return joined.select(
+        names[F.col("i").cast("int")].alias("col_i"),
+        names[F.col("j").cast("int")].alias("col_j"),
+        F.when(F.col("varies"), r).alias("r"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ashlar.operators.anonymize import anonymize, fidelity
 from ashlar.operators.clean import rectangularize
 from ashlar.operators.profile import fit, profile
-from ashlar.sources.lines import read_lines
+from ashlar.sources.lines import numbered_lines
 from ashlar.sources.sinks import read_back, write_csv
 
 
@@ -19,8 +19,12 @@ def make_substitute(
     seed: int = 0,
     mode: str = "errorifexists",
 ) -> dict[str, DataFrame]:
-    """Write look-alike data under the original header, read it back and compare."""
-    table = rectangularize(read_lines(spark, path), header)
+    """Write look-alike data under the original header, read it back and compare.
+
+    Draws are keyed on the file's name and the line's number, so that neither the folder nor
+    the packing of splits into tasks changes them, but for the last digits of the fitted means. Files of one name get equal draws.
+    """
+    table = rectangularize(numbered_lines(spark, path), header)
     stats = fit(table.rows, table.names)
     substituted = anonymize(table.rows, ["row_id"], table.names, seed, stats)
     write_csv(substituted, output, header=header, mode=mode)

@@ -29,6 +29,27 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines as ``row_id, value`` where ``row_id`` is the file's name and the line's number in it.
+
+    It is the same wherever the files lie and however they are split and packed. Lines of a
+    split stand together in one task, so a line's place is its distance from the split's
+    first; what comes before the split is a running sum over the counts per split, of which
+    there are few. Files are read once more to count them.
+    """
+    lines = read_lines(spark, path)
+    at = ["row_id.file", "row_id.split"]
+    splits = lines.groupBy(*at).agg(F.min("row_id.line").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = splits.selectExpr(
+        "file AS f", "split AS s", "first",
+        "sum(n) OVER (PARTITION BY file ORDER BY split ROWS UNBOUNDED PRECEDING) - n AS before",
+    )
+    place = F.col("row_id.line") - F.col("first") + F.col("before")
+    return lines.join(before, (F.col("row_id.file") == F.col("f")) & (F.col("row_id.split") == F.col("s"))).select(
+        F.struct(F.substring_index("f", "/", -1).alias("file"), place.alias("line")).alias("row_id"), "value"
+    )
+
+
 def as_lines(df: DataFrame, key: str, cols: Sequence[str] | None = None) -> DataFrame:
     """A table's rows as comma-separated lines, ``row_id`` being its key."""
     names = list(cols if cols is not None else df.columns)

@@ -7,18 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ashlar.session import shared_path
 
 
-def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """A Parquet table.
-
-    ``spread`` is for work that costs far more per row than moving it: a file with fewer
-    splits than the cluster has cores is dealt out evenly first. Large tables have more
-    splits than that and are never shuffled here.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores)
-    return table
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table."""
+    return spark.read.parquet(path)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

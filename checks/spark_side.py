@@ -49,8 +49,8 @@ def shown(df: DataFrame, n: int = 9, places: dict[str, int] | None = None) -> Da
     )
 
 
-def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet", spread)
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return read_table(spark, f"{folder}/{name}.parquet")
 
 
 def _profile(name: str, cols: list[str], moments: bool = False) -> Query:
@@ -323,7 +323,7 @@ def _md5(spark, folder):
 
 
 def _look_alike(spark, folder):
-    return table(spark, folder, "documents", spread=True).select("doc_id", look_alike(F.col("text")).alias("text"))
+    return table(spark, folder, "documents").select("doc_id", look_alike(F.col("text")).alias("text"))
 
 
 def _look_alike_names(spark, folder):
@@ -339,7 +339,7 @@ def _redraw(spark, folder):
 
 
 def _anonymized(spark, folder):
-    return anon.anonymize(table(spark, folder, "customer", spread=True), ["c_custkey"], CUSTOMER, SEED)
+    return anon.anonymize(table(spark, folder, "customer"), ["c_custkey"], CUSTOMER, SEED)
 
 
 def _anonymize(spark, folder):
@@ -353,7 +353,7 @@ def _fidelity(spark, folder):
 
 def _synth(spark, folder):
     return synth.fill_rows(
-        table(spark, folder, "orders", spread=True).select("o_orderkey"), "o_orderkey", MEANS, VARIANCES, SEED, keep_key=True
+        table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", MEANS, VARIANCES, SEED, keep_key=True
     )
 
 

@@ -99,3 +99,9 @@ def test_only_named_columns_are_read(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     plan = P.profile(df, ["l_tax"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_tax:double>" in plan
+
+
+@pytest.mark.parametrize("width", [1, 4, 5, 30])
+def test_moments_of_an_empty_table(spark, width):
+    empty = spark.range(0).selectExpr(*[f"double(id) AS c{i}" for i in range(width)])
+    assert P.profile(empty, moments=True).count() == 0

@@ -1,10 +1,13 @@
 """The three programs end to end, over files."""
 
+import os
+
 import pytest
 
 from ashlar.plans.anonymizer import make_substitute
 from ashlar.plans.datamaker import make_data
 from ashlar.plans.features import find_features
+from ashlar.sources.lines import numbered_lines
 from ashlar.sources.sinks import label_path, read_back
 
 MEANS, VARIANCES = [1.2, 3.4, 5.6], [7.8, 9.10, 11.12]
@@ -65,6 +68,35 @@ def test_anonymizer(spark, made, folder):
     assert results["substituted"].count() == 3000
 
 
+def test_substitute_does_not_depend_on_packing(spark, made, folder):
+    path, _ = made
+    found = []
+    for i, (source, size) in enumerate([(path, "128m"), (path, "20k"), (path, "7k")]):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            make_substitute(spark, source, f"{folder}/out{i}", header=False, seed=3)
+            lines = [r.value.split(",") for r in spark.read.text(f"{folder}/out{i}").collect()]
+            # Means come from sums, whose last digits follow the order of adding.
+            found.append(sorted(tuple(f"{float(x):.9g}" if x[-1:].isdigit() and "." in x else x for x in line) for line in lines))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3000
+
+
+def test_line_numbers(spark, folder):
+    for part in "ab":
+        os.makedirs(f"{folder}/{part}")
+        with open(f"{folder}/{part}/lines.txt", "w") as out:
+            out.write("".join(f"line {i}\n" for i in range(700)))
+    for part, size in (("a", "128m"), ("b", "1k"), ("a", "3k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = numbered_lines(spark, f"{folder}/{part}").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted((r.row_id.file, r.row_id.line, r.value) for r in rows) == [("lines.txt", i, f"line {i}") for i in range(700)]
+
+
 def test_quotes_jagged_rows_and_repeated_headers(spark, folder):
     path = f"{folder}/messy.csv"
     with open(path, "w") as out:

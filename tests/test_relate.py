@@ -19,17 +19,25 @@ def test_correlation_agrees_with_ml(spark, numbers):
             assert found[a, b] == pytest.approx(matrix[i, j], abs=1e-12)
 
 
-def test_wide_and_pairwise_correlation_agree(spark, numbers, monkeypatch):
-    cols = [*COLUMNS, "constant"]
-    pairwise = sorted(map(tuple, relate.correlation(numbers, cols).collect()))
-    monkeypatch.setattr(relate, "PAIRWISE_LIMIT", 1)
-    wide = sorted(map(tuple, relate.correlation(numbers, cols).collect()))
-    for a, b in zip(pairwise, wide):
-        assert a[:2] == b[:2]
-        if "constant" in a[:2]:
-            assert a[2] is None and (b[2] is None or a[0] == a[1])
-        else:
-            assert a[2] == pytest.approx(b[2], abs=1e-12)
+@pytest.mark.parametrize("others", [2, 20])
+def test_correlation_is_the_same_in_tables_of_any_width(spark, others):
+    """A constant column has none, one of tiny spread has its own."""
+    rows = spark.range(500).selectExpr(
+        "7.1D AS constant", "(id % 11) * 1e-8D AS tiny", *[f"double((id * {k + 3}) % 101) AS x{k}" for k in range(others)]
+    ).repartition(5)
+    found = {(r.col_i, r.col_j): r.r for r in relate.correlation(rows, rows.columns).collect()}
+    assert len(found) == (others + 2) ** 2
+    assert all(r is None for pair, r in found.items() if "constant" in pair)
+    assert found["tiny", "tiny"] == found["x0", "x0"] == 1.0
+    values = rows.select("tiny", "x0", "x1").toPandas()
+    assert found["tiny", "x0"] == found["x0", "tiny"] == pytest.approx((values.tiny * 1e8).corr(values.x0), abs=1e-12)
+    assert found["x0", "x1"] == pytest.approx(values.x0.corr(values.x1), abs=1e-12)
+
+
+def test_correlation_waits_until_it_is_asked_for(spark):
+    rows = spark.range(10).selectExpr("id AS a", "raise_error('read too early') AS b")
+    assert relate.correlation(rows, ["a", "b"]).columns == ["col_i", "col_j", "r"]
+    assert relate.correlation(spark.range(0).selectExpr("id AS a", "id AS b"), ["a", "b"]).count() == 0
 
 
 def test_correlated_pairs_name_the_later_column_first(spark):

@@ -30,10 +30,8 @@ def test_staged_rows_are_columns(spark, numbers):
     assert "Scan parquet" in again._jdf.queryExecution().executedPlan().toString() or "FileScan parquet" in again._jdf.queryExecution().executedPlan().toString()
 
 
-def test_small_files_are_spread_only_when_asked(spark):
-    path = "/root/testdata/sf0.001/orders.parquet"
-    assert read_table(spark, path, spread=True).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    plain = read_table(spark, path)
+def test_reading_a_table_shuffles_nothing(spark):
+    plain = read_table(spark, "/root/testdata/sf0.001/orders.parquet")
     assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
 
 
