@@ -200,7 +200,7 @@ def _repeated(cells: np.ndarray, row: np.ndarray) -> np.ndarray:
 #: windows in a row are known to repeat. ALL stands for a hash that a task met twice or more.
 ALL = -1
 #: Candidate windows a task holds at once.
-HELD = 1 << 21
+HELD = 1 << 18
 
 
 def _settled(ka, kb, at, h, g) -> tuple:
