@@ -33,6 +33,8 @@ PIECE = regex.compile(
 )
 #: Distinct words a worker remembers, in two generations of half as many each.
 REMEMBERED = 400_000
+#: Bytes of text whose words are looked up together.
+RUN_BYTES = 4 << 20
 #: What ``encode`` can return besides the row.
 OUTPUTS = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -226,7 +228,7 @@ class Memory:
         found = {w: self.new.get(w) or self.old[w] for w in wanted.difference(unknown)}
         v = self.vocabulary
         for w, ids in zip(unknown, v.chunks([w.decode() for w in unknown]), strict=True):
-            found[w] = ids, len(ids), " ".join(map(str, ids)), v.decoded(ids)
+            found[w] = tuple(ids), len(ids), " ".join(map(str, ids)), v.decoded(ids)
         if len(self.new) + len(found) > self.half:
             self.old, self.new = self.new, {}
         if len(found) <= self.half:
@@ -262,7 +264,7 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str], outputs: Sequence[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _memory(mine, shared.value)
         for batch in batches:
-            for first, bodies in pieces(batch, "body"):
+            for first, bodies in pieces(batch, "body", RUN_BYTES):
                 texts = [b.split() if b else [] for b in bodies]
                 known = memory.learn(texts)
                 found = [[e for w in t if (e := known[w])[1]] for t in texts]
