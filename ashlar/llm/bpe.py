@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,14 +26,20 @@ from ashlar.llm.common import pieces
 
 END = "</w>"
 NEVER = np.int64(1 << 40)
+NO_MERGE = (1 << 40, -1)
+#: Symbols up to which a plain search for the best merge is faster than a heap.
+SHORT = 32
 #: White space that separates pieces, as code points.
 SPACES = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 #: How text is cut into pieces before merging; white space is dropped.
 PIECE = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}" + "".join(map(chr, SPACES)) + "]+"
 )
-#: Distinct words a worker remembers, in two generations of half as many each.
-REMEMBERED = 400_000
+#: Runs without blanks that a worker remembers, in two generations of half as many each; of
+#: the pieces in them it remembers half as many.
+REMEMBERED = 800_000
+#: Bytes of the longest entry that is remembered.
+ENTRY_BYTES = 400
 #: Bytes of text whose words are looked up together.
 RUN_BYTES = 4 << 20
 #: What ``encode`` can return besides the row.
@@ -51,6 +58,24 @@ def _byte_letters() -> list[str]:
 LETTERS = dict(enumerate(_byte_letters()))
 
 
+def _lowered(text: str) -> str:
+    """Normal form and lower case, character by character: a capital sigma is never a final one."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def _words_in(lowered: str) -> list[str]:
+    """The pieces of a run as byte letters."""
+    if lowered.isascii():
+        if lowered.isalpha():
+            return [lowered]
+        if lowered.isprintable():
+            return PIECE.findall(lowered)
+    return [
+        w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(LETTERS)
+        for w in PIECE.findall(lowered)
+    ]
+
+
 @dataclass
 class Vocabulary:
     """Tables of one tokenizer file; plain data, so that executors get it by broadcast."""
@@ -65,7 +90,7 @@ class Vocabulary:
     keys: np.ndarray  # pairs as single numbers, sorted
     key_rank: np.ndarray
     sound: np.ndarray  # merged from its own symbols, the token is itself
-    longest: int
+    reach: dict[str, int]  # first letters, three at most -> letters of the longest token with them
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -89,7 +114,10 @@ class Vocabulary:
         order = np.argsort(keys)
         key_rank = np.array([r for r, _ in ranks.values()], np.int64)[order]
         texts = {i: t for t, i in ids.items()} | {i: t for t, i in special.items()}
-        made = cls(ids, texts, special, ranks, rank, left, right, keys[order], key_rank, np.zeros(size, bool), max(map(len, ids)))
+        reach: dict[str, int] = {}
+        for stem in (t.removesuffix(END) for t in ids):
+            reach[stem[:3]] = max(reach.get(stem[:3], 0), len(stem))
+        made = cls(ids, texts, special, ranks, rank, left, right, keys[order], key_rank, np.zeros(size, bool), reach)
         for token, i in ids.items():
             made.sound[i] = made.merged(made.symbols(token.removesuffix(END), token.endswith(END))) == [i]
         return made
@@ -105,6 +133,8 @@ class Vocabulary:
     def merged(self, tokens: list[int]) -> list[int]:
         """Merge by rank, the leftmost first among equals; a heap keeps long words cheap."""
         n = len(tokens)
+        if n <= SHORT:
+            return self._merged_short(list(tokens))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ranks = self.ranks
         heap = [(ranks[p][0], i) for i, p in enumerate(zip(tokens, tokens[1:])) if p in ranks]
@@ -128,11 +158,24 @@ class Vocabulary:
                 heapq.heappush(heap, (p[0], h))
         return [t for t in tokens if t >= 0]
 
+    def _merged_short(self, tokens: list[int]) -> list[int]:
+        known = self.ranks.get
+        pairs = [known(p, NO_MERGE) for p in zip(tokens, tokens[1:])]
+        while pairs and (best := min(pairs)) is not NO_MERGE:
+            i = pairs.index(best)
+            tokens[i : i + 2] = [best[1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = known((tokens[i - 1], tokens[i]), NO_MERGE)
+            if i < len(pairs):
+                pairs[i] = known((tokens[i], tokens[i + 1]), NO_MERGE)
+        return tokens
+
     def proposed(self, word: str) -> list[int]:
         """Greedy longest match; the last token must carry the word's end."""
-        ids, n, i, found = self.ids, len(word), 0, []
+        ids, reach, n, i, found = self.ids, self.reach, len(word), 0, []
         while i < n:
-            j = min(n, i + self.longest)
+            j = min(n, i + reach.get(word[i : i + 3], 2))
             while True:
                 token = ids.get(word[i:j] + END if j == n else word[i:j])
                 if token is not None:
@@ -170,6 +213,8 @@ class Vocabulary:
     def words(self, words: Sequence[str]) -> list[list[int]]:
         """Tokens of byte-letter words: proposals, checked together, merged exactly if they fail."""
         found = [self.proposed(w) for w in words]
+        if not found:
+            return found
         flat = np.fromiter((t for f in found for t in f), np.int64)
         ends = np.cumsum([len(f) for f in found], dtype=np.int64)
         failing = ~self.sound[flat]
@@ -184,57 +229,91 @@ class Vocabulary:
             found[k] = self.merged(self.symbols(words[k]))
         return found
 
-    def chunk_words(self, chunk: str) -> list[str | int]:
-        """Byte-letter words and special tokens of a run of text without ASCII blanks."""
+    def pieces_of(self, chunks: Sequence[str]) -> list[list[str | int]]:
+        """Byte-letter words and special tokens of runs of text without ASCII blanks.
+
+        All runs are brought to normal form and lower case as one text; a new line between two
+        of them keeps them apart.
+        """
+        whole = "\n".join(chunks)
+        if any(s in whole for s in self.special):
+            return [self._with_special(c) for c in chunks]
+        return [_words_in(c) for c in _lowered(whole).split("\n")]
+
+    def _with_special(self, chunk: str) -> list[str | int]:
         found: list[str | int] = []
-        for part in self.cut(chunk):
+        for part in regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", chunk):
             if part in self.special:
                 found.append(self.special[part])
-                continue
-            # Lower case goes character by character: a capital sigma is never a final one.
-            lowered = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in PIECE.findall(lowered):
-                found.append(word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(LETTERS))
+            elif part:
+                found += _words_in(_lowered(part))
         return found
 
-    def cut(self, chunk: str) -> list[str]:
-        if not any(s in chunk for s in self.special):
-            return [chunk]
-        return [p for p in regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", chunk) if p]
-
-    def chunks(self, chunks: Sequence[str]) -> list[list[int]]:
-        split = [self.chunk_words(c) for c in chunks]
-        unique = {w: None for s in split for w in s if isinstance(w, str)}
-        known = dict(zip(unique, self.words(list(unique)), strict=True))
-        return [[t for w in s for t in (known[w] if isinstance(w, str) else [w])] for s in split]
-
     def decoded(self, ids: Iterable[int]) -> str:
         """Token texts joined by a blank; word ends stay visible, as there is no decoder."""
         return " ".join([self.texts[i] for i in ids])
 
 
-class Memory:
-    """Tokens of words met before, for one worker process: bounded, the oldest half forgotten."""
+class Recent:
+    """A bounded map in two generations: when the newer is full, the older is forgotten."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = REMEMBERED):
-        self.vocabulary, self.half = vocabulary, most // 2
-        self.new: dict[bytes, tuple] = {}
-        self.old: dict[bytes, tuple] = {}
-
-    def learn(self, texts: Iterable[list[bytes]]) -> dict[bytes, tuple]:
-        """Every chunk of these texts -> (ids, their number, as decimals, decoded)."""
-        wanted = set().union(*texts)
-        unknown = [w for w in wanted if w not in self.new and w not in self.old]
-        found = {w: self.new.get(w) or self.old[w] for w in wanted.difference(unknown)}
-        v = self.vocabulary
-        for w, ids in zip(unknown, v.chunks([w.decode() for w in unknown]), strict=True):
-            found[w] = tuple(ids), len(ids), " ".join(map(str, ids)), v.decoded(ids)
+    def __init__(self, most: int):
+        self.half = most // 2
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, name):
+        found = self.new.get(name)
+        return self.old.get(name) if found is None else found
+
+    def keep(self, found: dict) -> None:
         if len(self.new) + len(found) > self.half:
             self.old, self.new = self.new, {}
         if len(found) <= self.half:
-            self.new.update(found)
+            self.new.update((k, v) for k, v in found.items() if len(k) + len(v) <= ENTRY_BYTES)
+
+
+class Memory(Recent):
+    """Tokens met before, for one worker process: of runs without blanks and of their pieces.
+    Ids are kept as the bytes of 32-bit numbers, so that a text's ids are joined bytes."""
+
+    def __init__(self, vocabulary: Vocabulary, most: int = REMEMBERED):
+        super().__init__(most)
+        self.vocabulary, self.words = vocabulary, Recent(most // 2)
+        size = len(vocabulary.rank)
+        self.decimals = list(map(str, range(size)))
+        self.texts = [vocabulary.texts.get(i, "") for i in range(size)]
+
+    def learn(self, texts: Iterable[list[bytes]]) -> dict[bytes, bytes]:
+        """Every run in these texts -> its ids."""
+        found, unknown = {}, []
+        for run in set().union(*texts):
+            ids = self.get(run)
+            if ids is None:
+                unknown.append(run)
+            else:
+                found[run] = ids
+        split = self.vocabulary.pieces_of([u.decode() for u in unknown]) if unknown else []
+        known = self._pieces({p for pieces in split for p in pieces})
+        for run, pieces in zip(unknown, split, strict=True):
+            found[run] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+        self.keep(found)
         return found
 
+    def _pieces(self, wanted: set[str | int]) -> dict[str | int, bytes]:
+        special = {p: array("i", [p]).tobytes() for p in wanted if isinstance(p, int)}
+        found, unknown = {}, []
+        for piece in wanted.difference(special):
+            ids = self.words.get(piece)
+            if ids is None:
+                unknown.append(piece)
+            else:
+                found[piece] = ids
+        for piece, ids in zip(unknown, self.vocabulary.words(unknown), strict=True):
+            found[piece] = array("i", ids).tobytes()
+        self.words.keep(found)
+        return found | special if special else found
+
 
 _memories: dict[tuple, Memory] = {}
 
@@ -266,16 +345,18 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str], outputs: Sequence[st
         for batch in batches:
             for first, bodies in pieces(batch, "body", RUN_BYTES):
                 texts = [b.split() if b else [] for b in bodies]
-                known = memory.learn(texts)
-                found = [[e for w in t if (e := known[w])[1]] for t in texts]
+                known = memory.learn(texts).__getitem__
+                found = [np.frombuffer(b"".join(map(known, t)), np.int32) for t in texts]
                 made = {"row": batch.column("row").slice(first, len(bodies))}
                 if "ids" in outputs:
-                    made["ids"] = pa.array([[i for e in f for i in e[0]] for f in found], pa.list_(pa.int32()))
+                    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                    made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 if "n_tokens" in outputs:
-                    made["n_tokens"] = pa.array([sum([e[1] for e in f]) for f in found], pa.int64())
-                for name, k in (("ids_sha256", 2), ("decoded_sha256", 3)):
+                    made["n_tokens"] = pa.array([len(f) for f in found], pa.int64())
+                for name, shown in (("ids_sha256", memory.decimals), ("decoded_sha256", memory.texts)):
                     if name in outputs:
-                        made[name] = pa.array([hashlib.sha256(" ".join([e[k] for e in f]).encode()).hexdigest() for f in found])
+                        joined = (" ".join(map(shown.__getitem__, f.tolist())) for f in found)
+                        made[name] = pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined], pa.string())
                 yield pa.RecordBatch.from_arrays([made["row"], *[made[o] for o in outputs]], names=["row", *outputs])
 
     return inputs.mapInArrow(run, schema).select("row.*", *outputs)
