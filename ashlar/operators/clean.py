@@ -32,6 +32,7 @@ class Table:
     rejected: DataFrame
     names: list[str]
     shape: dict
+    header: bool = True
 
 
 def measured(lines: DataFrame) -> DataFrame:
@@ -143,17 +144,21 @@ def to_columns(lines: DataFrame, names: Sequence[str]) -> DataFrame:
     return parts.select("row_id", *[F.get("parts", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-def rectangularize(lines: DataFrame, header: bool = True) -> Table:
+def rectangularize(lines: DataFrame, header: bool | None = True) -> Table:
     """Clean lines into a table.
 
     One aggregate over the lines finds width and header; the table itself stays lazy. With
     ``header`` the first row of full width names the columns and every copy of it is
-    dropped; without, the names are ``c0, c1, ...`` and no row is lost.
+    dropped; without, the names are ``c0, c1, ...`` and no row is lost. ``None`` takes that row
+    for a header if none of its fields is a number other than zero, so tables of text alone
+    need a plain answer.
     """
     shape = field_shape(lines).first().asDict()
     if not shape["n_rows"]:
         raise ValueError("the input holds no lines")
     width = shape["max_fields"]
+    if header is None:
+        header = lines.sparkSession.range(1).select(is_header(F.lit(shape["header"]))).first()[0]
     counted = measured(lines)
     kept = counted.filter(F.col("n_fields") == width)
     if header:
@@ -162,7 +167,7 @@ def rectangularize(lines: DataFrame, header: bool = True) -> Table:
     else:
         names = [f"c{i}" for i in range(width)]
     rejected = counted.filter(F.col("n_fields") < width)
-    return Table(to_columns(kept, names), rejected, names, shape)
+    return Table(to_columns(kept, names), rejected, names, shape, header)
 
 
 def typed_columns(df: DataFrame, names: Sequence[str], types: dict[str, str]) -> DataFrame:

@@ -55,8 +55,12 @@ def bounds(
     low: float,
     high: float,
     stats: dict[str, ColumnStats],
+    centres: dict[str, float] | None = None,
 ) -> dict[str, tuple[float, float, float, float]]:
-    """Lower and upper bound of each column, with origin and unit of the deviation."""
+    """Lower and upper bound of each column, with origin and unit of the deviation.
+
+    ``centres`` are medians or modes that the caller knows already.
+    """
     if interval == "INLIER":
         span = {c: stats[c].max - stats[c].min for c in cols}
         return {
@@ -65,7 +69,7 @@ def bounds(
         }
     if feature == "NONE":
         return {c: (stats[c].min, stats[c].max, 0.0, 0.0) for c in cols}
-    centre = _centres(df, cols, feature, stats)
+    centre = centres if centres is not None else _centres(df, cols, feature, stats)
     return {
         c: (
             centre[c] + low * stats[c].stddev,
@@ -87,6 +91,7 @@ def scan(
     high: float = 3.0,
     order: str | None = "row",
     stats: dict[str, ColumnStats] | None = None,
+    centres: dict[str, float] | None = None,
 ) -> DataFrame:
     """Every hit as ``key, column, col_idx, value, low, high, deviation``.
 
@@ -98,7 +103,7 @@ def scan(
     interval, feature, low, high = check_options(interval, feature, low, high)
     stats = stats or fit(df, cols, moments=True)
     cols = scaled_columns(stats, cols)
-    limits = bounds(df, cols, interval, feature, low, high, stats)
+    limits = bounds(df, cols, interval, feature, low, high, stats, centres)
 
     def hit(value, lower, upper):
         if interval == "INLIER":

@@ -15,7 +15,7 @@ def make_substitute(
     spark: SparkSession,
     path: str,
     output: str,
-    header: bool = True,
+    header: bool | None = True,
     seed: int = 0,
     mode: str = "errorifexists",
 ) -> dict[str, DataFrame]:
@@ -25,6 +25,7 @@ def make_substitute(
     the packing of splits into tasks changes them, but for the last digits of the fitted means. Files of one name get equal draws.
     """
     table = rectangularize(numbered_lines(spark, path), header)
+    header = table.header
     stats = fit(table.rows, table.names)
     substituted = anonymize(table.rows, ["row_id"], table.names, seed, stats)
     write_csv(substituted, output, header=header, mode=mode)

@@ -20,7 +20,7 @@ def find_features(
     path: str,
     output: str | None = None,
     norms_folder: str | None = None,
-    header: bool = True,
+    header: bool | None = True,
     ids: Sequence[str] | None = None,
     interval: str = "OUTLIER",
     feature: str = "MEDIAN",
@@ -29,7 +29,10 @@ def find_features(
     mode: str = "errorifexists",
     stage: bool = True,
 ) -> dict[str, DataFrame]:
-    """Every result of the feature finder for a delimited text file, as lazy tables.
+    """Every result of the feature finder for a delimited text file.
+
+    The fit, and the medians where the scan is centred on them, are computed at once; all else
+    is lazy. ``header=None`` lets the first line decide whether it is a header.
 
     Writes the normalized table to ``output`` and the labeled norms to ``norms_folder``
     where these are given. Some twenty passes read the cleaned rows, so these are written
@@ -69,13 +72,19 @@ def features_of(
     if not numeric:
         return results
     norms = normalize.row_norms(df, [key], stats=stats)
+    median, centres = ranks.median(df, numeric, stats=stats), None
+    if (interval.upper(), feature.upper()) == ("OUTLIER", "MEDIAN"):
+        # One row a column; searched once, for the result and for the scan.
+        rows = median.collect()
+        median = df.sparkSession.createDataFrame(rows, median.schema)
+        centres = {r["column"]: r["median"] for r in rows}
     results |= {
         "correlation": relate.correlation(df, numeric),
         "correlated_pairs": relate.correlated_pairs(df, numeric),
         "independence": relate.chi2_independence(df, numeric, stats),
         "goodness_of_fit": relate.chi2_gof(df, numeric, stats),
         "density": distribution.kde(df, numeric, stats=stats),
-        "median": ranks.median(df, numeric, stats=stats),
+        "median": median,
         "histogram": ranks.histogram(df, numeric, stats),
         "mode": ranks.mode(df, numeric, stats),
         "ranked_modes": ranks.ranked_modes(df, numeric, stats),
@@ -84,7 +93,7 @@ def features_of(
         "extreme_rows": normalize.extreme_rows(norms, key),
     }
     if normalize.scaled_columns(stats):
-        results["hits"] = outliers.scan(df, key, None, interval, feature, low, high, stats=stats)
+        results["hits"] = outliers.scan(df, key, None, interval, feature, low, high, stats=stats, centres=centres)
     if any(stats[c].variance > 0 for c in numeric):
         results["normality"] = distribution.ks_normal(df, numeric, stats)
     return results

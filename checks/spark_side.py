@@ -11,6 +11,9 @@ from ashlar.functions.text import field_count, look_alike, unquote
 from ashlar.operators import anonymize as anon
 from ashlar.operators import clean, distribution, normalize, outliers, ranks, relate, synth
 from ashlar.operators.profile import fit, infer_types, profile, raw_moments
+from ashlar.plans.anonymizer import make_substitute
+from ashlar.plans.datamaker import make_data
+from ashlar.plans.features import find_features
 from ashlar.session import shared_path
 from ashlar.sources import lines as src
 from ashlar.sources import sinks
@@ -408,7 +411,60 @@ def _text_sink(spark, folder):
     return src.read_lines(spark, path).select("value")
 
 
+
+def _order_file(spark, folder) -> str:
+    path = shared_path(spark, "orders")
+    sinks.write_csv(table(spark, folder, "orders").select(*ORDERS), path)
+    return path
+
+
+def _long(df: DataFrame, part: str, name: str, value: str) -> DataFrame:
+    return df.selectExpr(f"'{part}' AS part", f"{name} AS name", f"double({value}) AS value")
+
+
+def _feature_finder(spark, folder):
+    """The whole program over a text file with a header that it has to detect."""
+    found = find_features(spark, _order_file(spark, folder), header=None, ids=ORDERS[:1], low=-1.0, high=1.0)
+    numeric = found["profile"].filter("inferred_type <> 'String'")
+    parts = [
+        _long(numeric, "mean", "column", "mean"),
+        _long(numeric, "stddev", "column", "stddev"),
+        _long(found["median"], "median", "column", "median"),
+        _long(found["hits"].filter("column = 'o_totalprice'").agg(F.count(F.lit(1)).alias("n")), "hits", "'o_totalprice'", "n"),
+        _long(found["row_norms"].agg(F.count(F.lit(1)).alias("n")), "norms", "'rows'", "n"),
+    ]
+    long = parts[0]
+    for part in parts[1:]:
+        long = long.unionAll(part)
+    return shown(long)
+
+
+def _anonymizer_program(spark, folder):
+    """The whole program: moments of the original, and how often each substituted text stands."""
+    made = make_substitute(spark, _order_file(spark, folder), shared_path(spark, "substitute"), header=None, seed=SEED)
+    texts = made["substituted"].groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    before = made["fidelity"].filter("variance_before > 0")
+    long = _long(before, "mean", "column", "mean_before").unionAll(_long(before, "variance", "column", "variance_before"))
+    return shown(long.unionAll(_long(texts, "texts", "concat_ws('|', o_orderstatus, o_orderpriority)", "n")), 7)
+
+
+def _data_maker_program(spark, folder):
+    """As many lines as there are orders, from a specification in one list; the file's own moments."""
+    means, variances = synth.split_spec(len(MEANS), [*MEANS, *VARIANCES])
+    rows = table(spark, folder, "orders").count()
+    made = make_data(spark, shared_path(spark, "made"), rows, len(MEANS), means, variances, SEED)
+    return made["check"].select(
+        "column", "count", "spec_mean", "spec_variance",
+        (F.abs("mean_error") < 6).alias("mean_is_near"),
+        F.lit(made["preview"].count()).cast("bigint").alias("n_preview"),
+    )
+
+
 QUERIES: dict[str, Query] = {
+    # Whole programs
+    "feature_finder": _feature_finder,
+    "anonymizer_program": _anonymizer_program,
+    "data_maker_program": _data_maker_program,
     # Sources and sinks
     "preview": _preview,
     "first_row": _first_row,
@@ -482,6 +538,7 @@ QUERIES: dict[str, Query] = {
     "scan_outlier_median": _scan("OUTLIER", "MEDIAN", -3.0, 3.0),
     "scan_outlier_mode": _scan("OUTLIER", "MODE", -1.0, 3.0, "column"),
     "scan_outlier_none": _scan("OUTLIER", "NONE", -3.0, 3.0),
+    "scan_fallback_options": _scan("sideways", "NONE", 0.8, 0.2),
     # Anonymization
     "md5_digest": _md5,
     "look_alike_names": _look_alike_names,

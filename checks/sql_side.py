@@ -639,6 +639,7 @@ ORACLES: dict[str, str] = {
     "scan_outlier_median": scan("OUTLIER", "MEDIAN", -3.0, 3.0),
     "scan_outlier_mode": scan("OUTLIER", "MODE", -1.0, 3.0),
     "scan_outlier_none": scan("OUTLIER", "NONE", -3.0, 3.0),
+    "scan_fallback_options": scan("INLIER", "NONE", 0.2, 0.8),
     "md5_digest": "SELECT doc_id, md5(text) AS digest FROM documents",
     "look_alike_names": f"SELECT c_custkey, {look_alike('c_name')} AS c_name, {look_alike('c_mktsegment')} AS c_mktsegment FROM customer",
     "look_alike_documents": look_alike_long("documents", "doc_id", "text"),
@@ -657,6 +658,42 @@ ORACLES: dict[str, str] = {
     ),
     "synthetic_check": _synthetic_check(),
 }
+
+
+def feature_finder() -> str:
+    parts = []
+    for c in ("o_orderkey", "o_custkey", "o_totalprice"):
+        middle = f"""(SELECT x FROM (SELECT {c}::DOUBLE AS x, row_number() OVER (ORDER BY {c}) AS r, count(*) OVER () AS n
+                      FROM orders) v WHERE r = n // 2 + 1)"""
+        parts += [
+            f"SELECT 'mean' AS part, '{c}' AS name, avg({c})::DOUBLE AS value FROM orders",
+            f"SELECT 'stddev', '{c}', stddev_samp({c}) FROM orders",
+            f"SELECT 'median', '{c}', {middle}",
+        ]
+        if c == "o_totalprice":
+            bound = f"abs({c} - {middle}) > (SELECT stddev_samp({c}) FROM orders)"
+            parts.append(f"SELECT 'hits', '{c}', count(*)::DOUBLE FROM orders WHERE {bound}")
+    parts.append("SELECT 'norms', 'rows', count(*)::DOUBLE FROM orders")
+    return show(union(parts), ["part", "name"], sig=["value"])
+
+
+def anonymizer_program() -> str:
+    parts = []
+    for c in ("o_orderkey", "o_custkey", "o_totalprice"):
+        parts.append(f"SELECT 'mean' AS part, '{c}' AS name, avg({c})::DOUBLE AS value FROM orders")
+        parts.append(f"SELECT 'variance', '{c}', var_samp({c}) FROM orders")
+    name = f"{look_alike('o_orderstatus')} || '|' || {look_alike('o_orderpriority')}"
+    parts.append(f"SELECT 'texts', {name}, count(*)::DOUBLE FROM orders GROUP BY ALL")
+    return show(union(parts), ["part", "name"], 7, ["value"])
+
+
+ORACLES["feature_finder"] = feature_finder()
+ORACLES["anonymizer_program"] = anonymizer_program()
+ORACLES["data_maker_program"] = union(
+    f"""SELECT 'num_{j}' AS "column", count(*) AS "count", {m}::DOUBLE AS spec_mean, {v}::DOUBLE AS spec_variance,
+               true AS mean_is_near, 5::BIGINT AS n_preview FROM orders"""
+    for j, (m, v) in enumerate(zip(MEANS, VARIANCES))
+)
 # The typed table keeps the line's names, not the source's.
 ORACLES["typed_table"] = (
     "SELECT o_orderkey AS c0, o_custkey::BIGINT AS c1, o_orderstatus AS c2, o_totalprice AS c3, "

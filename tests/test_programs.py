@@ -112,3 +112,29 @@ def test_quotes_jagged_rows_and_repeated_headers(spark, folder):
 
 def test_label_path():
     assert label_path("/data/in/rows.csv", "/out") == "/out/rowsLabel.csv"
+
+
+def test_a_header_is_detected(spark, made, folder):
+    path, _ = made
+    assert find_features(spark, path, header=None)["rows"].count() == 3000
+    headed = f"{folder}/headed.csv"
+    with open(headed, "w") as out:
+        out.write("who,size\nAnn,2.5\nBo,3\n")
+    results = find_features(spark, headed, header=None, ids=["who"])
+    assert results["rows"].count() == 2
+    assert [r["column"] for r in results["profile"].orderBy("col_idx").collect()] == ["who", "size"]
+    make_substitute(spark, headed, f"{folder}/substitute", header=None)
+    again = read_back(spark, f"{folder}/substitute")
+    assert again.names == ["who", "size"] and again.rows.count() == 2
+
+
+def test_medians_of_the_program_are_those_of_its_scan(spark, made):
+    path, _ = made
+    results = find_features(spark, path, header=False, low=-2.0, high=2.0)
+    medians = {r["column"]: r["median"] for r in results["median"].collect()}
+    stats = {r["column"]: r for r in results["profile"].collect()}
+    hits = results["hits"].collect()
+    assert hits
+    for r in hits:
+        assert r.low == pytest.approx(medians[r["column"]] - 2 * stats[r["column"]].stddev, rel=1e-12)
+        assert r.value < r.low or r.value > r.high
