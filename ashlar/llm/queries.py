@@ -20,6 +20,7 @@ from ashlar.llm import (
     toxicity,
 )
 from ashlar.llm.common import held_out, labelled
+from ashlar.llm.sql import ORACLES as ORACLES  # with the queries, for whoever registers them
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,5 +120,3 @@ QUERIES: dict[str, Query] = {
     "op9_site_style_tree": op9,
     "op10_decontaminate": op10,
 }
-
-ORACLES: dict[str, str] = {}

@@ -28,6 +28,8 @@ BANDS = 3
 #: Fingerprints per shard aimed at, and the least number of shards a band.
 SHARD_SIZE = 20_000
 LEAST_SHARDS = 32
+#: Points or queries of a shard that meet in one task; larger shards are searched in blocks.
+HELD = 1 << 18
 #: Fingerprints that the dealing trees are built from; they decide balance, never results.
 SAMPLE = 20_000
 #: Fingerprints of a leaf that are compared without a further vantage point.
@@ -193,13 +195,38 @@ def edges_of(found: DataFrame) -> DataFrame:
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         values = table.column("fp").to_numpy().view(np.uint64)
-        homes = table.column("home").to_numpy(zero_copy_only=False)
+        points, queries = (table.column(c).to_numpy(zero_copy_only=False) for c in ("point", "query"))
         first, mask = bands[key[0].as_py() // (shards + 1)]
-        edges = linked(values[homes], values, first, mask).view(np.int64)
+        edges = linked(values[points], values[queries], first, mask).view(np.int64)
         return pa.table({"u": edges[:, 0], "v": edges[:, 1]})
 
     spread = found.select("fp").mapInArrow(deal, "shard bigint, fp bigint, home boolean")
-    return spread.groupBy("shard").applyInArrow(search, "u bigint, v bigint").distinct()
+    spread = in_blocks(written(spread, "shards"))
+    return spread.groupBy("shard", "block").applyInArrow(search, "u bigint, v bigint").distinct()
+
+
+def in_blocks(spread: DataFrame) -> DataFrame:
+    """``shard, block, fp, point, query``: what meets in one task, of rows ``shard, fp, home``.
+
+    A shard has one block, where values at home are points and all values are queries. Where
+    very many fingerprints share a band's value no tree can part them; then points and queries
+    are dealt to parts of at most about ``HELD`` each by their hash, and every part of points
+    meets every part of queries in a block of its own. No link is lost, no task holds a shard.
+    """
+    sizes = spread.groupBy("shard").agg(F.count_if("home").alias("p"), F.count(F.lit(1)).alias("q"))
+    large = written(sizes.filter(F.col("q") > HELD).withColumnRenamed("shard", "s"), "large")
+    one = spread.select("shard", F.lit(0).cast("bigint").alias("block"), "fp", F.col("home").alias("point"), F.lit(True).alias("query"))
+    if large.isEmpty():
+        return one
+    match = F.col("shard") == F.col("s")
+    parts = spread.join(large, match).selectExpr("shard", "fp", "home", f"(p - 1) div {HELD} + 1 AS a", f"(q - 1) div {HELD} + 1 AS b")
+    points = parts.filter("home").selectExpr("*", "explode(sequence(0L, b - 1)) AS j").selectExpr(
+        "shard", "j * a + pmod(xxhash64(fp, 'point'), a) AS block", "fp", "true AS point", "false AS query"
+    )
+    queries = parts.selectExpr("*", "explode(sequence(0L, a - 1)) AS i").selectExpr(
+        "shard", "pmod(xxhash64(fp, 'query'), b) * a + i AS block", "fp", "false AS point", "true AS query"
+    )
+    return one.join(large, match, "left_anti").unionAll(points).unionAll(queries)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -312,6 +312,19 @@ def test_vantage_point_trees_lose_no_link():
     assert label.tolist() == brute.components(values).tolist()
 
 
+def test_large_shards_in_blocks_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 42, 150, dtype=np.uint64) << np.uint64(21)  # one value in the first band
+    near = base ^ (np.uint64(5) << rng.integers(21, 60, 150).astype(np.uint64))
+    values = np.unique(np.concatenate([base, near, rng.integers(0, 1 << 63, 100, dtype=np.uint64)]))
+    found = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long").repartition(3)
+    monkeypatch.setattr(simhash, "HELD", 16)
+    roots = {r.node: r.root for r in simhash.components(simhash.edges_of(found)).collect()}
+    mine = np.unique([roots.get(int(v), int(v)) for v in values.view(np.int64)], return_inverse=True)[1]
+    plain = brute.components(values)
+    assert len(set(mine)) == len(set(plain)) == len(set(zip(mine.tolist(), plain.tolist())))
+
+
 def test_chain_of_links(spark):
     n = 300
     edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(2000, 1999)], "u long, v long")
