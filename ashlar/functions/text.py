@@ -74,12 +74,13 @@ def digest_byte(digest: Column, position: int) -> Column:
     return F.ascii(F.substring(digest, position + 1, 1))
 
 
-def look_alike(text: Column) -> Column:
+def look_alike(text: Column, salt: str = "") -> Column:
     """Replace letters and digits by others drawn from the text's own MD5 digests.
 
     Every 16-character chunk is digested once. Character i takes byte i of that digest,
     shifted by 128: A-Z and a-z move within their alphabet, 0-9 within the digits, all
-    else stays. Equal inputs give equal outputs on every executor.
+    else stays. Equal inputs give equal outputs on every executor. A secret ``salt`` goes
+    before every chunk that is digested, so that guessed inputs cannot be confirmed without it.
     """
 
     def substitute(char: Column, byte: Column) -> Column:
@@ -92,7 +93,7 @@ def look_alike(text: Column) -> Column:
         )
 
     def substitute_chunk(chunk: Column) -> Column:
-        used = F.substring(digest_text(chunk), F.lit(1), F.length(chunk))
+        used = F.substring(digest_text(F.concat(F.lit(salt), chunk) if salt else chunk), F.lit(1), F.length(chunk))
         return F.array_join(F.zip_with(F.split(chunk, ""), F.split(used, ""), substitute), "")
 
     chunks = F.regexp_extract_all(text, F.lit(CHUNKS), F.lit(0))

@@ -42,16 +42,17 @@ def anonymize(
     cols: Sequence[str] | None = None,
     seed: int = 0,
     stats: dict[str, ColumnStats] | None = None,
+    salt: str = "",
 ) -> DataFrame:
     """Look-alike text and redrawn numbers for ``cols`` (all by default), other columns left out.
 
-    Two projections over the scan; nothing is shuffled.
+    Two projections over the scan; nothing is shuffled. ``salt`` goes into the digests of text.
     """
     stats = stats or fit(df, cols)
     drawn = redraw(df, keys, stats, seed)
     texts = set(stats) - set(of_type(stats))
     return drawn.select(
-        *[(look_alike(named(c).cast("string")) if c in texts else named(c)).alias(c) for c in stats]
+        *[(look_alike(named(c).cast("string"), salt) if c in texts else named(c)).alias(c) for c in stats]
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ashlar.functions.names import named
 from ashlar.operators import ranks
 from ashlar.operators.normalize import scaled_columns
-from ashlar.operators.profile import ColumnStats, column_index, fit, number
+from ashlar.operators.profile import ColumnStats, column_index, fit, found_number, number
 
 INTERVALS = ("INLIER", "OUTLIER")
 FEATURES = ("ZERO", "MEAN", "MEDIAN", "MODE", "NONE")
@@ -114,10 +114,10 @@ def scan(
         lower, upper = limits[name][:2]
         if not isinstance(df.schema[name].dataType, T.NumericType):
             return hit(number(df, name), lower, upper)
-        # The bare column, so that the scan can skip row groups; NULL stands for zero.
+        # The bare column, so that the scan can skip row groups; what is no number stands for zero.
         zero_hits = lower < 0.0 < upper if interval == "INLIER" else not lower <= 0.0 <= upper
         found = hit(named(name), F.lit(lower), F.lit(upper))
-        return found | named(name).isNull() if zero_hits else found
+        return found | found_number(df, name).isNull() if zero_hits else found
 
     some = reduce(lambda a, b: a | b, [may_hit(c) for c in cols], F.lit(False))
     cells = (

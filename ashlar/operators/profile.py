@@ -45,8 +45,14 @@ class ColumnStats:
 
 
 def found_number(df: DataFrame, name: str) -> Column:
-    """The column as doubles, NULL where a text is no number. Other types hold none."""
+    """The column as doubles, NULL where a text is no number. Other types hold none.
+
+    NaN and infinity are no numbers either, in text as in numeric columns: they count as missing.
+    """
     kind = df.schema[name].dataType
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        value = named(name).cast("double")
+        return F.when(F.abs(value) < float("inf"), value)
     if isinstance(kind, T.NumericType):
         return named(name).cast("double")
     if isinstance(kind, T.StringType):
@@ -122,9 +128,13 @@ def profile(
     cols: Sequence[str] | None = None,
     moments: bool = False,
     rule: str | None = None,
+    least_parse_rate: float = 0.0,
 ) -> DataFrame:
     """One row per column: count, mean, variance, norms, extremes, inferred type.
 
+    A column with a smaller share of numbers than ``least_parse_rate`` is text; by default a
+    single number other than zero makes it numeric.
+
     A single partial and final aggregate over one scan of the named columns; only the
     summaries are shuffled, one row per column and task.
     """
@@ -150,7 +160,7 @@ def profile(
         texts[F.col("col_idx")].alias("column"),
         "*",
         F.expr("sqrt(variance) AS stddev"),
-        F.expr(f"{TYPE_RULES[rule]} AS inferred_type"),
+        F.expr(f"CASE WHEN parsed < double({least_parse_rate!r}) * count THEN 'String' ELSE {TYPE_RULES[rule]} END AS inferred_type"),
     )
 
 
@@ -163,11 +173,11 @@ def raw_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fit(
-    df: DataFrame, cols: Sequence[str] | None = None, moments: bool = False
+    df: DataFrame, cols: Sequence[str] | None = None, moments: bool = False, least_parse_rate: float = 0.0
 ) -> dict[str, ColumnStats]:
     """Run the profile once and keep its few rows, to be used as literals afterwards."""
     names = list(ColumnStats.__dataclass_fields__)
-    table = profile(df, cols, moments)
+    table = profile(df, cols, moments, least_parse_rate=least_parse_rate)
     rows = table.select(*[n for n in names if n in table.columns]).orderBy("col_idx").collect()
     return {row["column"]: ColumnStats(**row.asDict()) for row in rows}
 
@@ -184,8 +194,10 @@ def numeric_columns(stats: dict[str, ColumnStats], cols: Sequence[str] | None =
     return found
 
 
-def infer_types(df: DataFrame, cols: Sequence[str] | None = None, rule: str = "exact") -> DataFrame:
+def infer_types(
+    df: DataFrame, cols: Sequence[str] | None = None, rule: str = "exact", least_parse_rate: float = 0.0
+) -> DataFrame:
     """``column, col_idx, inferred_type, parse_rate`` by the exact, coarse or label rule."""
-    return profile(df, cols, rule=rule).selectExpr(
+    return profile(df, cols, rule=rule, least_parse_rate=least_parse_rate).selectExpr(
         "column", "col_idx", "inferred_type", "parsed / count AS parse_rate"
     )

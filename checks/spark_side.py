@@ -17,7 +17,7 @@ from ashlar.plans.features import find_features
 from ashlar.session import shared_path
 from ashlar.sources import lines as src
 from ashlar.sources import sinks
-from ashlar.sources.tables import read_table
+from ashlar.sources.tables import read_table, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -368,6 +368,43 @@ def _synth_verify(spark, folder):
     return shown(synth.verify(_synth(spark, folder), MEANS, VARIANCES), n=7)
 
 
+def _words_among_numbers(spark, folder):
+    wordy = table(spark, folder, "customer").selectExpr(
+        "if(c_custkey % 2 = 0, 'Nan', 'inf') AS words",
+        "if(c_custkey % 10 = 0, string(c_nationkey), c_name) AS mostly_words",
+        "if(c_custkey % 10 = 0, 'n/a', string(c_nationkey)) AS mostly_numbers",
+        "if(c_custkey % 3 = 0, 'NaN', c_custkey % 4 || '.25') AS shares",
+    )
+    return infer_types(wordy, least_parse_rate=0.5)
+
+
+def _not_finite(spark, folder):
+    rows = table(spark, folder, "customer").selectExpr(
+        "CASE c_custkey % 7 WHEN 0 THEN double('NaN') WHEN 1 THEN double('Infinity') WHEN 2 THEN double('-Infinity') ELSE c_acctbal END AS balance"
+    )
+    return shown(profile(rows).select("column", "count", "parsed", "mean", "variance", "min", "max"))
+
+
+def _look_alike_salted(spark, folder):
+    return table(spark, folder, "customer").select("c_custkey", look_alike(F.col("c_name"), "grain").alias("c_name"))
+
+
+def _sorted_rank(spark, folder):
+    """Each row's place in the ordered result: partitions in order, rows in order within them."""
+    ordered = normalize.sort_rows(_norms(spark, folder), "c_custkey", "l1_norm", ascending=False)
+    # The id holds the partition above 33 bits and the row's place in it below.
+    placed = staged(ordered.select("c_custkey", F.monotonically_increasing_id().alias("at")), "ranked")
+    sizes = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.selectExpr("part", "sum(n) OVER (ORDER BY part ROWS UNBOUNDED PRECEDING) - n AS before")
+    found = placed.join(before, F.shiftright("at", 33) == F.col("part"))
+    return found.selectExpr("c_custkey", f"(at & {2**33 - 1}) + before + 1 AS rank")
+
+
+def _ks_draws(spark, folder):
+    found = distribution.ks_normal(_synth(spark, folder), [f"num_{j}" for j in range(3)])
+    return shown(found, places={"statistic": 9, "p_value": 2})
+
+
 def _preview(spark, folder):
     return src.preview(table(spark, folder, "customer"), "c_custkey", 5)
 
@@ -497,6 +534,8 @@ QUERIES: dict[str, Query] = {
     "profile_customer": _profile("customer", CUSTOMER),
     "infer_types_exact": _types("customer", CUSTOMER, "exact"),
     "infer_types_coarse": _types("lineitem", LINEITEM, "coarse"),
+    "infer_types_words": _words_among_numbers,
+    "profile_not_finite": _not_finite,
     "infer_types_label": _types("orders", ORDERS, "label"),
     "skewness_kurtosis": _moments,
     "raw_moments": _raw_moments,
@@ -511,6 +550,7 @@ QUERIES: dict[str, Query] = {
     "chi2_goodness_of_fit_p_value": lambda s, d: _gof(s, d, True),
     "ks_normal_events": _ks,
     "ks_normal_lineitem": _ks_lineitem,
+    "ks_normal_p_value_draws": _ks_draws,
     "ks_normal_p_value": lambda s, d: _ks(s, d, True),
     "kernel_density_points": _kde_points,
     "kernel_density_grid": _kde_grid,
@@ -531,6 +571,7 @@ QUERIES: dict[str, Query] = {
     "extreme_rows_smallest": _extreme(True),
     "extreme_rows_largest": _extreme(False),
     "norms_sorted": _sorted_norms,
+    "norms_sorted_rank": _sorted_rank,
     # Interval scan
     "scan_inlier": _scan("INLIER", "NONE", 0.2, 0.8),
     "scan_outlier_zero": _scan("OUTLIER", "ZERO", -1.0, 2.0),
@@ -542,6 +583,7 @@ QUERIES: dict[str, Query] = {
     # Anonymization
     "md5_digest": _md5,
     "look_alike_names": _look_alike_names,
+    "look_alike_salted": _look_alike_salted,
     "look_alike_documents": _look_alike,
     "gaussian_substitution": _redraw,
     "anonymized_rows": _anonymize,

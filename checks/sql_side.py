@@ -343,8 +343,8 @@ def mode_of(source: str, col: str) -> str:
 
 # ---------------------------------------------------------------- anonymizer, generator
 
-def look_alike(text: str) -> str:
-    byte = f"((('0x' || substr(md5(substr({text}, ((i - 1) // 16) * 16 + 1, 16)), ((i - 1) % 16) * 2 + 1, 2))::INTEGER + 128) % 256)"
+def look_alike(text: str, salt: str = "") -> str:
+    byte = f"((('0x' || substr(md5('{salt}' || substr({text}, ((i - 1) // 16) * 16 + 1, 16)), ((i - 1) % 16) * 2 + 1, 2))::INTEGER + 128) % 256)"
     return f"""array_to_string(list_transform(string_split({text}, ''), lambda c, i: CASE
         WHEN regexp_full_match(c, '[A-Z]') THEN chr(65 + {byte} % 26)
         WHEN regexp_full_match(c, '[a-z]') THEN chr(97 + {byte} % 26)
@@ -474,6 +474,13 @@ def ks_tail(inner: str) -> str:
     return show(tail, ["column", "n"], places={"statistic": 9, "p_value": 2})
 
 
+WORDY = ["words", "mostly_words", "mostly_numbers", "shares"]
+WORDY_CUSTOMERS = """SELECT CASE WHEN c_custkey % 2 = 0 THEN 'Nan' ELSE 'inf' END AS words,
+    CASE WHEN c_custkey % 10 = 0 THEN c_nationkey::VARCHAR ELSE c_name END AS mostly_words,
+    CASE WHEN c_custkey % 10 = 0 THEN 'n/a' ELSE c_nationkey::VARCHAR END AS mostly_numbers,
+    CASE WHEN c_custkey % 3 = 0 THEN 'NaN' ELSE (c_custkey % 4) || '.25' END AS shares
+  FROM customer"""
+
 ORACLES: dict[str, str] = {
     "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 5",
     "first_row": f"SELECT * FROM ({ORDER_LINES}) l ORDER BY row_id LIMIT 1",
@@ -687,6 +694,34 @@ def anonymizer_program() -> str:
     return show(union(parts), ["part", "name"], 7, ["value"])
 
 
+def words_among_numbers() -> str:
+    """At least half of a column must be numbers; words among numbers count as zero."""
+    parts = []
+    for i, col in enumerate(WORDY):
+        value = f"CASE WHEN regexp_full_match({col}, '-?[0-9.]+') THEN {col}::DOUBLE END"
+        parts.append(f"""SELECT '{col}' AS "column", {i} AS col_idx,
+            CASE WHEN 2 * count(v) < count(*) OR bool_and(coalesce(v, 0) = 0) THEN 'String'
+                 WHEN bool_and(coalesce(v, 0) = trunc(coalesce(v, 0))) THEN 'Int' ELSE 'Double' END AS inferred_type,
+            count(v) / count(*) AS parse_rate
+          FROM (SELECT {value} AS v FROM ({WORDY_CUSTOMERS}) c) x""")
+    return union(parts)
+
+
+def not_finite_left_out() -> str:
+    value = "CASE WHEN c_custkey % 7 > 2 THEN c_acctbal ELSE 0.0 END"
+    inner = f"""SELECT 'balance' AS "column", count(*) AS "count", count(*) FILTER (c_custkey % 7 > 2) AS parsed,
+        avg({value}) AS mean, var_samp({value}) AS variance, min({value}) AS min, max({value}) AS max FROM customer"""
+    return show(inner, ["column", "count", "parsed"], sig=["mean", "variance", "min", "max"])
+
+
+ORACLES["infer_types_words"] = words_among_numbers()
+ORACLES["profile_not_finite"] = not_finite_left_out()
+ORACLES["look_alike_salted"] = f"SELECT c_custkey, {look_alike('c_name', 'grain')} AS c_name FROM customer"
+ORACLES["norms_sorted_rank"] = f"""SELECT c_custkey, row_number() OVER (ORDER BY l1_norm DESC, c_custkey DESC) AS rank
+  FROM ({CUSTOMER_NORMS}) n"""
+ORACLES["ks_normal_p_value_draws"] = ks_tail(
+    f"WITH draws AS ({synthetic()}) " + union(f"SELECT * FROM ({ks('draws', f'num_{j}')}) k" for j in range(3))
+)
 ORACLES["feature_finder"] = feature_finder()
 ORACLES["anonymizer_program"] = anonymizer_program()
 ORACLES["data_maker_program"] = union(

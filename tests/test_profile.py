@@ -95,6 +95,21 @@ def test_edge_tables(spark):
     assert {s.inferred_type for s in P.fit(times).values()} == {"String"}
 
 
+def test_not_finite_numbers_are_missing(spark):
+    df = spark.sql("SELECT explode(array(double('NaN'), double('Infinity'), -double('Infinity'), 4D, NULL)) AS v")
+    found = P.fit(df.selectExpr("v", "float(v) AS f"), moments=True)
+    for s in found.values():
+        assert (s.count, s.parsed, s.mean, s.min, s.max, s.inferred_type) == (5, 1, 0.8, 0.0, 4.0, "Int")
+    assert P.fit(df.filter("isnan(v)"))["v"].inferred_type == "String"
+
+
+def test_least_parse_rate_keeps_words_as_text(spark):
+    df = spark.createDataFrame([("7",), ("Bob",), ("Eve",), ("Nan",)], "w string")
+    assert P.fit(df)["w"].inferred_type == "Int"
+    assert P.fit(df, least_parse_rate=0.25)["w"].inferred_type == "Int"
+    assert P.fit(df, least_parse_rate=0.3)["w"].inferred_type == "String"
+
+
 def test_only_named_columns_are_read(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     plan = P.profile(df, ["l_tax"])._jdf.queryExecution().executedPlan().toString()

@@ -90,6 +90,13 @@ def test_text_functions_on_any_text(spark, texts):
     assert apply(spark, texts, unquote) == [plain_unquote(t) for t in texts]
 
 
+def test_look_alike_salt(spark):
+    texts = ["Ann Lee, 7", "Ann Lee, 7", "a longer text of some 40 characters, Bob"]
+    plain, one, two = (apply(spark, texts, lambda c, s=s: look_alike(c, s)) for s in ("", "one", "two"))
+    assert plain == apply(spark, texts, look_alike) and one[0] == one[1]
+    assert len({plain[0], one[0], two[0]}) == len({plain[2], one[2], two[2]}) == 3
+
+
 def test_look_alike_keeps_shape_and_equality(spark):
     one, two, three = apply(spark, ["Ann Lee, 7", "Ann Lee, 7", "Ann Lee, 8"], look_alike)
     assert one == two != three
