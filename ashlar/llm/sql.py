@@ -110,4 +110,100 @@ REPEATS = (
 """
 )
 
-ORACLES = {"op2_quality_rules": QUALITY, "op6_substring_dedup": REPEATS}
+
+# The five constants of XXH64.
+_P1, _P2, _P3 = 11400714785074694791, 14029467366897019727, 1609587929392839161
+_P4, _P5 = 9650029242287828579, 2870177450012600261
+# CRC-32 remainders of the sixteen half bytes.
+_CRC = (
+    0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
+    0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C,
+)
+
+
+def _wrapped(value: str) -> str:
+    return f"(({value}) % 18446744073709551616::UHUGEINT)"
+
+
+def _times(a: str, b: int) -> str:
+    return _wrapped(f"({a}) * {b}::UHUGEINT")
+
+
+def _plus(a: str, b: int) -> str:
+    return _wrapped(f"({a}) + {b}::UHUGEINT")
+
+
+def _turned(a: str, bits: int) -> str:
+    """Rotated to the left."""
+    return f"({_wrapped(f'{a} * {1 << bits}::UHUGEINT')} + {a} // {1 << (64 - bits)}::UHUGEINT)"
+
+
+def _steps(source: str, *steps: str) -> str:
+    """``h`` put through every step, each in a select of its own."""
+    for step in steps:
+        source = f"(SELECT * REPLACE ({step} AS h) FROM {source})"
+    return source
+
+
+def _finished(source: str) -> str:
+    return _steps(
+        source,
+        _times(f"xor(h, h // {1 << 33}::UHUGEINT)", _P2),
+        _times(f"xor(h, h // {1 << 29}::UHUGEINT)", _P3),
+        f"xor(h, h // {1 << 32}::UHUGEINT)",
+    )
+
+
+def _four_bytes(source: str, value: str, length: int) -> str:
+    """The step of XXH64 for the four bytes of ``value``, at the start of ``length`` bytes."""
+    return _steps(
+        source,
+        f"xor({_plus('h', _P5 + length & (1 << 64) - 1)}, {_times(value, _P1)})",
+        _plus(_times(_turned("h", 23), _P2), _P3),
+    )
+
+
+def _shards() -> str:
+    """Shards 0 to 15, and 0 to 16, by the highest draw, the lower number among equals; with equal
+    weights the highest draw has the highest score. Slots follow blocks of keys by hash."""
+    keys = _steps(
+        "(SELECT DISTINCT doc_id, (CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE doc_id END)::UHUGEINT AS h FROM documents)",
+        _times("h", _P2),
+        _times(_turned("h", 31), _P1),
+        f"xor({42 + _P5 + 8}::UHUGEINT, h)",
+        _plus(_times(_turned("h", 27), _P1), _P4),
+    )
+    draws = _finished(_four_bytes("(SELECT doc_id, h, unnest(range(17)) AS i FROM keys)", "i::UHUGEINT", 4))
+    word, rest = int.from_bytes(b"bloc", "little"), ord("k")
+    blocks = _finished(
+        _steps(
+            _four_bytes("keys", f"{word}::UHUGEINT", 5),
+            f"xor(h, {_times(f'{rest}::UHUGEINT', _P5)})",
+            _times(_turned("h", 11), _P1),
+        )
+    )
+    table = "[" + ", ".join(f"{c}::BIGINT" for c in _CRC) + "]"
+    half = lambda x: f"xor({table}[({x} & 15) + 1], {x} >> 4)"
+    crc = f"""list_reduce(regexp_extract_all(hex(encode(t)), '..'),
+        lambda c, b: {half(half("xor(c, ('0x' || b)::BIGINT)"))}, 4294967295::BIGINT)"""
+    return f"""
+    WITH keys AS MATERIALIZED (SELECT * FROM {_finished(keys)}),
+    draws AS MATERIALIZED (SELECT doc_id, i, h // 2048::UHUGEINT AS draw FROM {draws}),
+    picked AS (
+        SELECT doc_id, max_by(i, (draw, -i)) FILTER (i < 16) AS shard, max_by(i, (draw, -i)) AS grown FROM draws GROUP BY doc_id
+    ),
+    blocks AS (
+        SELECT doc_id, (h::HUGEINT - CASE WHEN h >= {1 << 63} THEN 18446744073709551616::HUGEINT ELSE 0 END) AS h,
+               greatest(64, (SELECT count(*) FROM documents) // 1600000) AS n
+        FROM {blocks}
+    ),
+    sized AS (SELECT doc_id, octet_length(encode(t)) + 1 AS size, xor({crc}, 4294967295) AS crc
+              FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+    SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+           row_number() OVER (PARTITION BY shard ORDER BY ((h % n) + n) % n, doc_id, size, crc) - 1 AS slot,
+           grown::INTEGER AS grown_shard
+    FROM sized JOIN picked USING (doc_id) JOIN blocks USING (doc_id)
+    """
+
+
+ORACLES = {"op2_quality_rules": QUALITY, "op4_rendezvous_shards": _shards(), "op6_substring_dedup": REPEATS}
