@@ -11,7 +11,7 @@ would meet almost all of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -278,15 +278,16 @@ def near_duplicates(docs: DataFrame, keep: Sequence[str], key: str = "doc_id", t
     return printed.join(labels, F.col("fp") == F.col("f")).select("row", "key", "fp", "root", "component")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", grouped: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest
     key stays (NULL last, then the smallest hash of the text; one of rows alike in both).
+    ``grouped`` finds the components: ``near_duplicates`` or ``similar.similar``.
 
     Groups are settled on narrow rows, pre-aggregated; texts move once, for the final join.
     """
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     narrow = docs.select(F.col(key).alias("key"), digest.alias("digest"), F.col(text).alias("text"))
-    found = near_duplicates(narrow, ["digest"], "key", "text")
+    found = grouped(narrow, ["digest"], "key", "text")
     order = F.struct(F.col("key").isNull(), F.col("key").alias("key"), F.col("row.digest").alias("digest"))
     alike = found.groupBy("root", "key", "row.digest").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("o"))
     best = alike.groupBy("root").agg(F.min(F.struct("o", "n")).alias("b"))
