@@ -50,9 +50,16 @@ SAYS = re.compile(
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S
 )
+#: Parts of class and id values that number pages, and ids that are made of a page's title.
+_NUMBER, _SLUG = re.compile(r"[0-9]+"), re.compile(r"[^-_]+(?:[-_]+[^-_]+){2,}|.{25,}", re.S)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+def _shared(name: str, value: str) -> str:
+    """A class, id or role as it may stand on many pages: without what tells one page from another."""
+    return "#" if name == "id" and _SLUG.fullmatch(value) else _NUMBER.sub("#", value)
+
+
 class _Open:
     __slots__ = ("name", "path", "furniture", "main", "children")
 
@@ -124,11 +131,12 @@ def parsed(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]
         elif stack[-1].name == "p" and name not in SILENT:
             close(len(stack) - 1)  # a block ends an open paragraph
         parent = stack[-1]
-        said = " ".join(f"{v[0].lower()}={(v[1] or v[2] or v[3]).lower()}" for v in _NAMED.findall(m.group(3))) if m.group(3) else ""
+        named = [(v[0].lower(), (v[1] or v[2] or v[3]).lower()) for v in _NAMED.findall(m.group(3))] if m.group(3) else []
+        said = " ".join(f"{k}={v}" for k, v in named)
         furniture = parent.furniture or name in FURNITURE or bool(said and SAYS.search(" ".join(p.partition("=")[2] for p in said.split(" ")))) or (
             name == "header" and not parent.main
         )
-        step = f"{name}[{said}]" if said else name
+        step = f"{name}[{' '.join(f'{k}={_shared(k, v)}' for k, v in named)}]" if named else name
         parent.children.append(step)
         stack.append(_Open(name, f"{parent.path}/{step}", furniture, parent.main or name in MAIN or "role=main" in said))
     close(1)
@@ -180,20 +188,33 @@ def trees(pages: DataFrame, keep: Sequence[str], url: str = "url", body: str = "
 def importance(parsed_pages: DataFrame) -> DataFrame:
     """``host, node, pages, layout, content, importance`` of every node of the merged trees.
 
-    Of a node on m pages: ``layout`` is the entropy of its styles (children) to the base m;
+    Only distinct pages are merged: of pages of a host with equal blocks one counts. ``pages`` are
+    the distinct ones with the node; a node on one of them has importance 1, however often it is
+    there. Of a node met m times: ``layout`` is the entropy of its styles (children) to the base m;
     ``content`` is 1 less the mean, over its texts, of log(pages with the text) / log m, so 0 where
-    every text is on every page. ``importance`` is the larger of the two; a node on one page has 1.
-    Everything is counted per (node, text or style), pre-aggregated before it moves.
+    every text is on every page. ``importance`` is the larger of the two.
+    Everything is counted per (node, text or style), pre-aggregated before it moves. ``page`` tells
+    rows apart; groups of copies are found on (host, digest, page) alone.
     """
+    pages = parsed_pages.select("host", "page", "blocks", "nodes", F.xxhash64("blocks").alias("digest"))
+    copies = pages.groupBy("host", "digest").agg(F.min("page").alias("one"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = written(copies.select(F.col("host").alias("h"), F.col("digest").alias("d"), "one"), "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_HOSTS else copies
+    again = (F.col("host") == F.col("h")) & (F.col("digest") == F.col("d")) & (F.col("page") != F.col("one"))
+    parsed_pages = pages.join(copies, again, "left_anti")
     said = parsed_pages.select("host", F.explode("blocks").alias("b")).select(
         "host", F.col("b.node").alias("node"), F.lit(0).alias("kind"), F.xxhash64("b.text").alias("what")
     )
     laid = parsed_pages.select("host", F.explode("nodes").alias("n")).select(
         "host", F.col("n.node").alias("node"), F.lit(1).alias("kind"), F.col("n.style").alias("what")
     )
-    counts = said.unionAll(laid).groupBy("host", "node", "kind", "what").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    there = parsed_pages.select("host", F.explode(F.array_distinct("nodes.node")).alias("node")).select(
+        "host", "node", F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("what")
+    )
+    counts = said.unionAll(laid).unionAll(there).groupBy("host", "node", "kind", "what").agg(F.count(F.lit(1)).cast("double").alias("n"))
     x = F.col("n")
     sums = counts.groupBy("host", "node").agg(
+        F.sum(F.when(F.col("kind") == 2, x)).cast("long").alias("pages"),
         F.sum(F.when(F.col("kind") == 1, x)).alias("m"),
         F.sum(F.when(F.col("kind") == 1, x * F.log(x))).alias("laid"),
         F.sum(F.when(F.col("kind") == 0, x)).alias("said"),
@@ -202,8 +223,8 @@ def importance(parsed_pages: DataFrame) -> DataFrame:
     base = F.log("m")
     layout = F.when(F.col("m") > 1, (base - F.col("laid") / F.col("m")) / base).otherwise(1.0)
     content = F.when((F.col("m") > 1) & (F.col("said") > 0), 1 - F.col("spread") / F.col("said") / base)
-    return sums.select("host", "node", "m", layout.alias("layout"), content.alias("content")).withColumn(
-        "importance", F.greatest("layout", F.coalesce("content", F.lit(0.0)))
+    return sums.select("host", "node", "pages", layout.alias("layout"), content.alias("content")).withColumn(
+        "importance", F.when(F.col("pages") > 1, F.greatest("layout", F.coalesce("content", F.lit(0.0)))).otherwise(1.0)
     )
 
 
@@ -213,12 +234,12 @@ def main_text(pages: DataFrame, keep: Sequence[str], url: str = "url", body: str
     Of a page with an article or main element its blocks stay, but for furniture within; of
     another page the undecided blocks whose node is important on this host. NULL and empty
     pages, and pages of nothing but furniture, have an empty text. A NULL address is a host of
-    its own; repeated rows are pages like any other; an empty table gives no rows.
+    its own; of repeated pages each gets the same text, which their number does not change; an empty table gives no rows.
 
     Pages are parsed once and written to the shared folder. Per host only its unimportant nodes
     come back, as one list; the lists are broadcast while hosts are few, else joined by host.
     """
-    rows = written(trees(pages, keep, url, body), "trees")
+    rows = written(trees(pages, keep, url, body).withColumn("page", F.monotonically_increasing_id()), "trees")
     low = importance(rows).filter(F.col("content").isNotNull() & (F.col("importance") < IMPORTANCE))
     lists = written(low.groupBy(F.col("host").alias("h")).agg(F.collect_list("node").alias("low")), "furniture")
     lists = F.broadcast(lists) if lists.count() <= BROADCAST_HOSTS else lists
