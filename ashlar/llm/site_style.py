@@ -3,8 +3,9 @@
 The pages of a host are laid over one another. A node of the merged tree is a path of elements;
 it has an importance from two entropies: how differently pages lay out its children, and how
 evenly its texts are spread over pages. What is laid out alike and says the same on every page
-is furniture. Branches of low importance go. What an element says of itself decides first:
-navigation, asides, forms and the like go on every page, an article's own blocks stay.
+is furniture. Branches of low importance go. What an element says of itself comes first:
+navigation, asides, forms and the like go on every page. Being within an article or main element is
+a prior only: such branches go as well, but below a lower limit.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from ashlar.llm.common import pieces, written
 
 #: Branches below this importance go. 0: on every page alike, 1: nowhere twice.
 IMPORTANCE = 0.3
+#: The same within an article or main element, where a branch must be clearly alike to go.
+MAIN_IMPORTANCE = 0.1
 #: Hosts whose lists of furniture are broadcast; beyond, the join shuffles.
 BROADCAST_HOSTS = 50_000
 #: Fixed sets of element names.
@@ -231,8 +234,8 @@ def importance(parsed_pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, keep: Sequence[str], url: str = "url", body: str = "html") -> DataFrame:
     """``keep``, ``text`` (blocks in page order joined by a blank line) and ``n_chars``, per row.
 
-    Of a page with an article or main element its blocks stay, but for furniture within; of
-    another page the undecided blocks whose node is important on this host. NULL and empty
+    All blocks stay but furniture by its own name and blocks whose node is too unimportant on this
+    host; within an article or main element the limit is lower. NULL and empty
     pages, and pages of nothing but furniture, have an empty text. A NULL address is a host of
     its own; of repeated pages each gets the same text, which their number does not change; an empty table gives no rows.
 
@@ -241,11 +244,12 @@ def main_text(pages: DataFrame, keep: Sequence[str], url: str = "url", body: str
     """
     rows = written(trees(pages, keep, url, body).withColumn("page", F.monotonically_increasing_id()), "trees")
     low = importance(rows).filter(F.col("content").isNotNull() & (F.col("importance") < IMPORTANCE))
-    lists = written(low.groupBy(F.col("host").alias("h")).agg(F.collect_list("node").alias("low")), "furniture")
+    least = F.when(F.col("importance") < MAIN_IMPORTANCE, F.col("node"))
+    lists = low.groupBy(F.col("host").alias("h")).agg(F.collect_list("node").alias("low"), F.collect_list(least).alias("least"))
+    lists = written(lists, "furniture")
     lists = F.broadcast(lists) if lists.count() <= BROADCAST_HOSTS else lists
     joined = rows.select("row", "host", "blocks").join(lists, F.col("host") == F.col("h"), "left")
-    main = F.filter("blocks", lambda b: b["sort"] == 2)
-    rest = F.filter("blocks", lambda b: (b["sort"] == 1) & ~F.coalesce(F.array_contains("low", b["node"]), F.lit(False)))
-    chosen = F.when(F.size(main) > 0, main).otherwise(rest)
+    within = lambda nodes, b: F.coalesce(F.array_contains(nodes, b["node"]), F.lit(False))
+    chosen = F.filter("blocks", lambda b: (b["sort"] > 0) & ~F.when(b["sort"] == 2, within("least", b)).otherwise(within("low", b)))
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n\n")
     return joined.select("row.*", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

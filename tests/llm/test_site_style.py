@@ -36,3 +36,18 @@ def test_numbers_and_titles_do_not_part_nodes():
 def test_repeated_box_under_numbered_containers_goes(spark):
     rows = [(i, f"http://a.example/{i}", f"<body><div id=post-{i}><p>text {i}</p><div class=k9>Our offer</div></div></body>") for i in range(30)]
     assert all(t == f"text {i}" for i, t in texts(spark, rows).items())
+
+
+def test_trees_decide_in_and_beside_an_article(spark):
+    def page(i, host):
+        box = "<div class=k9>Our offer of the day</div>"
+        return f"<body><article><h1>title {i}</h1>{box}<p>text {i}</p></article><div class=q>aside {i}</div><div class=z>Same on {host}</div></body>"
+
+    rows = [(i, f"http://a.example/{i}", page(i, "a")) for i in range(30)]
+    # The body beside an article that only teases, and an article on one page of its host.
+    rows += [(50 + i, f"http://b.example/{i}", f"<body><article><p>More to read</p></article><div class=x><p>body {i}</p></div></body>") for i in range(30)]
+    rows += [(90, "http://c.example/", "<body><article><div class=k9>Our offer of the day</div></article></body>")]
+    found = texts(spark, rows)
+    assert all(found[i] == f"title {i}\n\ntext {i}\n\naside {i}" for i in range(30))
+    assert all(found[50 + i] == f"body {i}" for i in range(30))
+    assert found[90] == "Our offer of the day"
