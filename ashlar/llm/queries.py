@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ashlar.llm import (
     bpe,
+    class_lm,
     compression_quality,
     decontaminate,
+    periodic_runs,
     personal_data,
     quality_rules,
     shards,
     simhash,
     site_style,
+    source_divergence,
     substring_dedup,
     toxicity,
 )
-from ashlar.llm.common import held_out, labelled
+from ashlar.llm.common import held_out, labelled, let
 from ashlar.llm.sql import ORACLES as ORACLES  # with the queries, for whoever registers them
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +111,40 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, folder), benchmark, ["doc_id"])
 
 
+def with_planted_runs(text: Column, doc_id: Column) -> Column:
+    """The text; where CRC-32 of the id is divisible by 10, its words from some place on repeat."""
+    h = F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        start = (g % F.greatest(n, F.lit(1))).cast("int")
+        period = (F.lit(1) + F.floor((n - start) / (3 + g % 8))).cast("int")
+        return F.transform(words, lambda w, i: F.when(i < start, w).otherwise(F.get(words, start + (i - start) % period)))
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when((h % 10 == 0) & text.isNotNull(), F.array_join(let(words, repeated), " ")).otherwise(text)
+
+
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", with_planted_runs(F.col("text"), F.col("doc_id")).alias("text"))
+    outputs = ("runs_sha256", "collapsed_sha256")
+    found = periodic_runs.periodic(docs, ["doc_id"], outputs=outputs)
+    return found.select("row.doc_id", "n_runs", "start", "length", "period", "exponent_milli", *outputs)
+
+
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 1
+    out = F.coalesce(held, F.lit(False))
+    docs = documents(spark, folder).select("doc_id", "text", out.alias("held_out"))
+    found = class_lm.scored(docs, ["doc_id", "held_out"], ~F.col("held_out"))
+    return found.select("row.doc_id", "row.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.divergence(documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_encode_decode": op1,
     "op2_quality_rules": op2,
@@ -119,4 +156,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_vp_trees": op8,
     "op9_site_style_tree": op9,
     "op10_decontaminate": op10,
+    "op11_periodic_runs": op11,
+    "op12_brown_class_lm": op12,
+    "op13_source_divergence": op13,
 }
