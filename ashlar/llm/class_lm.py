@@ -380,7 +380,7 @@ def encoded(rows: DataFrame, shared, head: Head, of: np.ndarray) -> DataFrame:
                 made = np.where(beyond, OPEN, classes[ids]).astype(np.uint8) if len(ids) else np.zeros(0, np.uint8)
                 owner = np.repeat(np.arange(len(split)), np.diff(starts))
                 inside = np.flatnonzero(~beyond)
-                sums = [np.bincount(owner[inside], weights=log[ids[inside]], minlength=len(split)) for log in logs]
+                sums = [np.bincount(owner[inside], weights=log[ids[inside]], minlength=len(split)).astype(float) for log in logs]
                 codes = [made[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
                 # Words beyond the head, with the classes beside them.
                 at = np.flatnonzero(beyond)
@@ -485,11 +485,12 @@ def transitions(texts: DataFrame, classes: int) -> np.ndarray:
 
 
 def smoothed(n: np.ndarray) -> np.ndarray:
-    """Probabilities of a class (column) after a class (row), blended with the classes' own shares."""
-    c = len(n)
+    """Probabilities of a class (column) after a class (row), blended with the classes' own shares.
+    Classes without words have none."""
     seen = n.sum(axis=0)
-    share = (seen + 0.5) / (seen.sum() + 0.5 * c)
-    weight = BLEND * c
+    open_ = (seen > 0) | (np.arange(len(n)) >= len(n) - 2)
+    share = (seen + 0.5 * open_) / (seen.sum() + 0.5 * open_.sum())
+    weight = BLEND * len(n)
     return (n + weight * share) / (n.sum(axis=1, keepdims=True) + weight)
 
 
@@ -528,7 +529,7 @@ def scored(
 
 def _probabilities(whole: DataFrame, counts: np.ndarray, head: Head, classes: int) -> DataFrame:
     rare, c = classes, classes + 2
-    step = np.log10(smoothed(counts))
+    step = np.log10(np.maximum(smoothed(counts), 1e-300))
     # Within a class words share by count; rare ones by Good and Turing, the end is alone.
     within = -np.log10(np.maximum(counts.sum(axis=0), 1).astype(float))
     within[rare:] = 0.0

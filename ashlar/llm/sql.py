@@ -206,4 +206,54 @@ def _shards() -> str:
     """
 
 
-ORACLES = {"op2_quality_rules": QUALITY, "op4_rendezvous_shards": _shards(), "op6_substring_dedup": REPEATS}
+#: Shares and their gaps in whole numbers of 128 bits.
+DIVERGENCE = r"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+        FROM documents
+    ),
+    tokens AS (
+        SELECT r, lang, source, translate(unnest(found), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+        FROM docs
+    ),
+    kept AS (SELECT lang, term, count(*)::HUGEINT AS total FROM tokens GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+    counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    groups AS (SELECT DISTINCT lang, source FROM docs),
+    sizes AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS lang_n FROM kept GROUP BY lang),
+    sums AS (SELECT lang, source, sum(n)::HUGEINT AS group_n FROM counts GROUP BY lang, source),
+    shares AS (
+        SELECT lang, source, term, coalesce(n, 0) AS n,
+               1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(group_n, 0) + v) AS p,
+               1 + (1000000000::HUGEINT * (total + 1)) // (lang_n + v) AS q
+        FROM groups JOIN kept USING (lang) JOIN sizes USING (lang)
+             LEFT JOIN sums USING (lang, source) LEFT JOIN counts USING (lang, source, term)
+    ),
+    pairs AS (
+        SELECT lang, a.source, b.source AS item, coalesce(gap, 0) AS value
+        FROM groups AS a JOIN groups AS b USING (lang)
+             LEFT JOIN (
+                 SELECT x.lang AS l, x.source AS s, y.source AS t, sum((x.p - y.p) * (x.p - y.p) // y.p) AS gap
+                 FROM shares AS x JOIN shares AS y ON x.lang = y.lang AND x.term = y.term
+                 GROUP BY x.lang, x.source, y.source
+             ) ON lang = l AND a.source = s AND b.source = t
+        WHERE a.source <> b.source
+    ),
+    terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+        FROM (
+            SELECT lang, source, 'pair' AS part, item, value FROM pairs
+            UNION ALL SELECT lang, source, 'term', item, value FROM terms
+        )
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+    FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES = {
+    "op2_quality_rules": QUALITY,
+    "op4_rendezvous_shards": _shards(),
+    "op6_substring_dedup": REPEATS,
+    "op13_source_divergence": DIVERGENCE,
+}
