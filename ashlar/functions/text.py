@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What tasks run travels with the job, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SEPARATOR = ","
 SENTINEL = "No Data"
 QUOTES = "['\"]"
@@ -14,7 +23,6 @@ NUMBER = (
     r"(?i)^[\s\p{Cntrl}]*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?[df]?|0x\S+)[\s\p{Cntrl}]*$"
 )
 CHUNK = 16
-CHUNKS = "(?s).{1,16}"
 
 # The 32 characters of readable labels; the first 24 are letters.
 ALPHABET = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
@@ -74,6 +82,38 @@ def digest_byte(digest: Column, position: int) -> Column:
     return F.ascii(F.substring(digest, position + 1, 1))
 
 
+def _substituted(text: pa.Array, salt: bytes) -> pa.Array:
+    """Look-alikes of a batch of texts, on its UTF-8 bytes: only letters and digits of ASCII change,
+    so bytes and offsets stay."""
+    text = text.cast(pa.large_string()) if text.offset == 0 else pa.concat_arrays([text.cast(pa.large_string())])
+    valid, offsets, data = text.buffers()
+    count = len(text)
+    if data is None or not count:
+        return text.cast(pa.string())
+    ends = np.frombuffer(offsets, np.int64)[: count + 1]
+    raw = np.frombuffer(data, np.uint8)[: ends[-1]]
+    first = (raw & 0xC0) != 0x80
+    # A character's number in its text, and whether it begins a chunk.
+    number = np.cumsum(first) - 1
+    if not len(raw):
+        return text.cast(pa.string())
+    filled = np.flatnonzero(np.diff(ends))
+    number -= np.repeat(number[ends[filled]], np.diff(ends)[filled])
+    place = number % CHUNK
+    starts = np.flatnonzero(first & (place == 0))
+    view, digest = data.to_pybytes()[: ends[-1]], hashlib.md5
+    cuts = [*starts.tolist(), len(raw)]
+    digests = b"".join([digest(salt + view[a:b]).digest() for a, b in zip(cuts, cuts[1:])])  # noqa: B905
+    chunk = np.cumsum(first & (place == 0)) - 1
+    drawn = np.frombuffer(digests, np.uint8)[chunk * 16 + place].astype(np.int16)
+    drawn = (drawn + 128) % 256
+    made = raw.copy()
+    for low, high in ((b"a", b"z"), (b"A", b"Z"), (b"0", b"9")):
+        at = np.flatnonzero((raw >= low[0]) & (raw <= high[0]))
+        made[at] = low[0] + drawn[at] % (high[0] - low[0] + 1)
+    return pa.Array.from_buffers(pa.large_string(), count, [valid, offsets, pa.py_buffer(made)]).cast(pa.string())
+
+
 def look_alike(text: Column, salt: str = "") -> Column:
     """Replace letters and digits by others drawn from the text's own MD5 digests.
 
@@ -81,25 +121,15 @@ def look_alike(text: Column, salt: str = "") -> Column:
     shifted by 128: A-Z and a-z move within their alphabet, 0-9 within the digits, all
     else stays. Equal inputs give equal outputs on every executor. A secret ``salt`` goes
     before every chunk that is digested, so that guessed inputs cannot be confirmed without it.
+    All characters of a batch are replaced at once, in Arrow's own buffers.
     """
+    head = salt.encode()
 
-    def substitute(char: Column, byte: Column) -> Column:
-        shifted = (F.ascii(byte) + 128) % 256
-        return (
-            F.when(char.between("a", "z"), F.char(97 + shifted % 26))
-            .when(char.between("A", "Z"), F.char(65 + shifted % 26))
-            .when(char.between("0", "9"), F.char(48 + shifted % 10))
-            .otherwise(char)
-        )
-
-    def substitute_chunk(chunk: Column) -> Column:
-        used = F.substring(digest_text(F.concat(F.lit(salt), chunk) if salt else chunk), F.lit(1), F.length(chunk))
-        return F.array_join(F.zip_with(F.split(chunk, ""), F.split(used, ""), substitute), "")
-
-    chunks = F.regexp_extract_all(text, F.lit(CHUNKS), F.lit(0))
-    return F.when(F.length(text) <= CHUNK, substitute_chunk(text)).otherwise(
-        F.array_join(F.transform(chunks, substitute_chunk), "")
-    )
+    @F.arrow_udf("string")
+    def substituted(batch: pa.Array) -> pa.Array:
+        return _substituted(batch, head)
+
+    return substituted(text)
 
 
 def readable_label(digest: Column, length: Column, longest: int) -> Column:

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ashlar.functions.names import named
 from ashlar.operators.profile import SCALED_TYPES, ColumnStats, fit, number, of_type
 
+# What tasks run travels with the job, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 METRICS = ("row_max", "row_min", "zeros", "l1_norm", "l2_norm")
 # Where the search for a row's largest and smallest z-score starts, and the
 # size from which a z-score no longer enters the norms.
@@ -88,6 +96,24 @@ def labeled_norms(
     return row_norms(df, ids, cols, stats).select(*[named(i) for i in ids], "l1_norm", "l2_norm")
 
 
+def _key_parts(schema: T.DataType, key: Column) -> list[Column]:
+    """What a key is ordered by: itself, or the fields of a struct in turn."""
+    if not isinstance(schema, T.StructType):
+        return [key]
+    return [part for f in schema.fields for part in _key_parts(f.dataType, key.getField(f.name))]
+
+
+def _best(table: pa.Table, k: int, up: bool, parts: int, ranked: bool = False) -> pa.Table:
+    """The first ``k`` rows by ``value``, then by the parts of their key; a NULL part is the least one."""
+    if table.num_rows <= k and not ranked:
+        return table
+    order, missing = ("ascending", "descending") if up else ("descending", "ascending")
+    keys = [("value", order)]
+    for i in range(parts):
+        keys += [(f"n{i}", missing), (f"k{i}", order)]
+    return table.take(pc.sort_indices(table, keys)[:k] if ranked else pc.select_k_unstable(table, k, keys))
+
+
 def extreme_rows(
     norms: DataFrame,
     key: str,
@@ -97,28 +123,53 @@ def extreme_rows(
 ) -> DataFrame:
     """The ``k`` smallest and largest rows by each metric: ``metric, direction, rank, key, value``.
 
-    Smallest rows break ties by the lower ``key``, largest by the higher one. Every list is
-    a top-k of its own: tasks keep k rows each and nothing is sorted or shuffled as a whole.
+    Smallest rows break ties by the lower ``key``, largest by the higher one. One scan fills all
+    lists: a task holds k rows of each and hands these on, and a list's rows meet in one task,
+    which holds k of them in turn. Rows whose metric is NULL are in no list.
     """
-    directions = (True, False) if ascending is None else (ascending,)
-    lists = []
-    for metric in metrics:
-        for up in directions:
-            order = [F.col(metric), F.col(key)] if up else [F.desc(metric), F.desc(key)]
-            best = norms.orderBy(*order).limit(k)
-            position = F.row_number().over(Window.partitionBy("metric").orderBy(*order))
-            lists.append(
-                best.select(F.lit(metric).alias("metric"), key, metric)
-                .withColumn("rank", position)
-                .select(
-                    "metric",
-                    F.lit("smallest" if up else "largest").alias("direction"),
-                    "rank",
-                    key,
-                    F.col(metric).cast("double").alias("value"),
-                )
-            )
-    return reduce(DataFrame.unionByName, lists)
+    metrics, directions = list(metrics), {"smallest": True, "largest": False}
+    lists = [(m, d) for m in metrics for d, up in directions.items() if ascending is None or ascending == up]
+    parts = _key_parts(norms.schema[key].dataType, named(key))
+    count, columns = len(parts), [f"m{i}" for i in range(len(metrics))]
+    carried = ["key", *[f"{a}{i}" for i in range(count) for a in "nk"]]
+    rows = norms.select(
+        named(key).alias("key"),
+        *[c for i, p in enumerate(parts) for c in (p.isNull().cast("int").alias(f"n{i}"), p.alias(f"k{i}"))],
+        *[named(m).cast("double").alias(c) for m, c in zip(metrics, columns)],
+    )
+
+    def merged(held: dict[int, pa.Table], n: int, part: pa.Table) -> None:
+        held[n] = _best(pa.concat_tables([held[n], part]) if n in held else part, k, directions[lists[n][1]], count)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pa.Table] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for n, (metric, direction) in enumerate(lists):
+                # Anew, for columns differ in whether they can be NULL.
+                part = pa.table([*(table[c] for c in carried), table[columns[metrics.index(metric)]]], names=[*carried, "value"])
+                part = part.filter(pc.is_valid(part["value"]))
+                merged(held, n, _best(part, k, directions[direction], count))
+        for n, part in held.items():
+            yield from part.append_column("list", pa.array([n] * part.num_rows, pa.int32())).combine_chunks().to_batches()
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pa.Table] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for n in pc.unique(table["list"]).to_pylist():
+                merged(held, n, table.filter(pc.equal(table["list"], n)))
+        for n, part in held.items():
+            metric, direction = lists[n]
+            part = _best(part, k, directions[direction], count, ranked=True).combine_chunks()
+            size = part.num_rows
+            made = [pa.repeat(metric, size), pa.repeat(direction, size), pa.array(range(1, size + 1), pa.int32())]
+            made += [pa.concat_arrays(part[c].chunks) if size else pa.array([], part[c].type) for c in ("key", "value")]
+            yield pa.RecordBatch.from_arrays(made, names=["metric", "direction", "rank", "key", "value"])
+
+    heads = rows.select(*carried, F.lit(0.0).alias("value"), F.lit(0).alias("list")).schema
+    result = rows.select(F.lit("").alias("metric"), F.lit("").alias("direction"), F.lit(0).alias("rank"), "key", F.lit(0.0).alias("value")).schema
+    return rows.mapInArrow(first, heads).repartition("list").mapInArrow(last, result).withColumnRenamed("key", key)
 
 
 def sort_rows(norms: DataFrame, key: str, metric: str, ascending: bool = True) -> DataFrame:

@@ -3,23 +3,42 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+import sys
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ashlar.functions.names import named
 from ashlar.operators.profile import ColumnStats, fit, number, numeric_columns, numeric_view
 
-# The last step ranks at most this many values per column in one aggregation buffer.
+# What tasks run travels with the job, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Where at most this many values of a column can be the wanted one, all of them are ranked.
 EXACT_LIMIT = 100_000
-ACCURACY = 10_000
+# Tasks are dealt to so many groups; a group's sketch is so many evenly spaced quantiles of its
+# values, each off by a rank of one in ACCURACY at most.
+GROUPS = 64
+POINTS = 500
+ACCURACY = 5_000
+# Bins in a slice of a task's counts.
+SLICE = 1 << 14
 
 
 @dataclass
 class _Search:
-    """Open interval that still holds the wanted value; ``below`` rows lie at or under it."""
+    """Open interval that holds the wanted value: ``rows`` rows lie in it, ``below`` rows at or under it.
+
+    ``guess`` is a narrower one, not counted yet, that should hold the value and at most ``held`` rows.
+    """
 
     rank: int
     rows: int
@@ -27,47 +46,113 @@ class _Search:
     low: float | None = None
     high: float | None = None
     found: float | None = None
-
-    def inside(self, value: Column) -> Column:
-        test = F.lit(True)
-        if self.low is not None:
-            test = test & (value > self.low)
-        if self.high is not None:
-            test = test & (value < self.high)
-        return test
-
-
-def _narrow(view: DataFrame, open_: dict[str, _Search]) -> None:
-    """Bracket each wanted rank by two approximate percentiles, then count exactly around them."""
-    margin = 2 / ACCURACY
-    cuts = []
-    for name, s in open_.items():
-        value = named(name)
-        share = (s.rank - s.below - 0.5) / s.rows
-        ends = [max(0.0, share - margin), min(1.0, share + margin)]
-        cuts.append(F.percentile_approx(F.when(s.inside(value), value), ends, ACCURACY))
-    brackets = view.agg(F.array(*cuts)).first()[0]
-    counts = []
-    for (name, s), (a, b) in zip(open_.items(), brackets):
-        value = named(name)
-        held = s.inside(value)
-        counts.append(
-            F.array(*[F.count_if(held & t) for t in (value < a, value <= a, value < b, value <= b)])
-        )
-    for (s, (a, b), (under_a, upto_a, under_b, upto_b)) in zip(
-        open_.values(), brackets, view.agg(F.array(*counts)).first()[0]
-    ):
-        wanted = s.rank - s.below
-        if wanted <= under_a:
-            s.high, s.rows = a, under_a
-        elif wanted <= upto_a:
-            s.found = a
-        elif wanted <= under_b:
-            s.low, s.high, s.below, s.rows = a, b, s.below + upto_a, under_b - upto_a
-        elif wanted <= upto_b:
-            s.found = b
+    guess: tuple[float | None, float | None] = (None, None)
+    held: int = 0
+
+    @property
+    def wanted(self) -> int:
+        """The rank within the interval."""
+        return self.rank - self.below
+
+    def narrow(self, low: float | None, high: float | None, rows: int, under: int) -> None:
+        if low is not None:
+            self.low = low
+        if high is not None:
+            self.high = high
+        self.rows, self.held, self.below, self.guess = rows, rows, self.below + under, (None, None)
+
+    def settle(self, counts: Row) -> bool:
+        """Take in the exact counts around the guess; whether the value is inside it."""
+        low, high = self.guess
+        if low is not None and self.wanted <= counts.under_low:
+            self.narrow(None, low, counts.under_low, 0)
+        elif low is not None and self.wanted <= counts.upto_low:
+            self.found = low
+        elif high is None or self.wanted <= counts.under_high:
+            under = counts.upto_low if low is not None else 0
+            self.narrow(low, high, (counts.under_high if high is not None else self.rows) - under, under)
+            return True
+        elif self.wanted <= counts.upto_high:
+            self.found = high
         else:
-            s.low, s.below, s.rows = b, s.below + upto_b, s.rows - upto_b
+            self.narrow(high, None, self.rows - counts.upto_high, counts.upto_high)
+        return False
+
+    def aim(self, sketches: Sequence[Row]) -> None:
+        """The next guess: the nearest points of the groups' sketches that lie below and above the
+        rank for certain, as far as sketches are certain."""
+        points = np.concatenate([np.asarray(s.points, float) for s in sketches])
+        weights = np.concatenate([np.full(len(s.points), s.n / len(s.points)) for s in sketches])
+        order = np.argsort(points, kind="stable")
+        points, middle = points[order], np.cumsum(weights[order]) - weights[order] / 2
+        off = self.rows * (1 / POINTS + 2 / ACCURACY) + 1
+        first, last = np.searchsorted(middle, self.wanted - off) - 1, np.searchsorted(middle, self.wanted + off)
+        ends = [float(points[i]) if 0 <= i < len(points) else None for i in (first, last)]
+        if ends == [None, None]:
+            ends = [float(points[min(np.searchsorted(middle, self.wanted), len(points) - 1)])] * 2
+        self.guess, self.held = (ends[0], ends[1]), min(self.rows, math.ceil(4 * off))
+
+
+def _between(value: Column, low: float | None, high: float | None) -> Column:
+    test = F.lit(True)
+    if low is not None:
+        test = test & (value > F.lit(low))
+    if high is not None:
+        test = test & (value < F.lit(high))
+    return test
+
+
+def _reachable(df: DataFrame, name: str, s: _Search) -> Column:
+    """Whether a row's value can lie in the interval, asked of the bare column, so that the scan can
+    skip blocks of rows: a NULL counts as 0.0, and so do text without a number, NaN and infinity."""
+    if not isinstance(df.schema[name].dataType, T.NumericType) or (s.low is None and s.high is None):
+        return F.lit(True)
+    inside = _between(named(name), s.low, s.high)
+    zero = (s.low is None or s.low < 0) and (s.high is None or s.high > 0)
+    if not zero:
+        return inside
+    missing = named(name).isNull()
+    if isinstance(df.schema[name].dataType, T.FractionalType):
+        missing = missing | (F.abs(named(name)) == F.lit(float("inf"))) | F.isnan(named(name))
+    return inside | missing
+
+
+def narrowing_scan(df: DataFrame, open_: dict[str, _Search], limit: int) -> DataFrame:
+    """One scan for all open columns: per column ``i`` the exact counts around its guess, and what lies
+    inside the guess, as sketches of groups of tasks or, if few values can be left, the value itself.
+
+    Sketches are merged by group, in as many tasks as there are groups; no task sees all of them.
+    """
+    rows = df.filter(reduce(lambda a, b: a | b, [_reachable(df, c, s) for c, s in open_.items()]))
+    view = numeric_view(rows, list(open_))
+    inner = [F.when(_between(named(c), s.low, s.high) & _between(named(c), *s.guess), named(c)).alias(f"__kept{i}") for i, (c, s) in enumerate(open_.items())]
+    view = view.select("*", F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("__group"), *inner)
+    # As text: one call to Spark instead of hundreds.
+    shares = "array(" + ", ".join(f"{(j + 0.5) / POINTS!r}D" for j in range(POINTS)) + ")"
+    parts = []
+    for i, (name, s) in enumerate(open_.items()):
+        value, (low, high) = named(name), s.guess
+        held = _between(value, s.low, s.high)
+        kept = F.col(f"__kept{i}")
+        tests = [F.lit(False) if end is None else held & test for end, test in ((low, value < low), (low, value <= low), (high, value < high), (high, value <= high))]
+        counts = [F.count_if(t).alias(c) for t, c in zip(tests, ("under_low", "upto_low", "under_high", "upto_high"))]
+        exact = s.held <= limit
+        points = F.lit(None) if exact else F.expr(f"percentile_approx(__kept{i}, {shares}, {ACCURACY})")
+        values = F.collect_list(kept) if exact else F.lit(None)
+        parts.append(
+            F.struct(
+                F.lit(i).alias("i"), *counts, F.count(kept).alias("n"), F.lit(s.wanted).cast("bigint").alias("wanted"),
+                F.lit(low is not None).alias("counted"), points.cast("array<double>").alias("points"), values.cast("array<double>").alias("held"),
+            )
+        )
+    each = view.groupBy("__group").agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
+    totals = [F.sum(c).alias(c) for c in ("under_low", "upto_low", "under_high", "upto_high")]
+    sketch = F.when(F.col("points").isNotNull() & (F.col("n") > 0), F.struct("n", "points"))
+    merged = each.groupBy("i", "wanted", "counted").agg(
+        *totals, F.collect_list(sketch).alias("sketches"), F.array_sort(F.flatten(F.collect_list("held"))).alias("held")
+    )
+    place = F.col("wanted") - F.when(F.col("counted"), F.col("upto_low")).otherwise(0)
+    return merged.select("i", "under_low", "upto_low", "under_high", "upto_high", "sketches", F.get("held", (place - 1).cast("int")).alias("value"))
 
 
 def order_statistic(
@@ -79,42 +164,29 @@ def order_statistic(
 ) -> DataFrame:
     """The exact value at ``rank(n)`` (from 1) of every column; NULL where it is below 1.
 
-    No sort and no shuffle of the data. While more than ``limit`` rows could hold the
-    answer, two scans shrink the interval by some thousand times; counts are exact, so a
-    loose approximation costs another round but never a wrong value. Values held by many
-    rows end the search as soon as they become an end of the interval. The last scan
-    ranks what is left, at most ``limit`` rows a column.
+    No sort and no shuffle of the data. The first scan sketches all values, in groups of tasks;
+    the next one counts exactly around the narrow interval the sketches name and sketches what
+    lies in it, and so on, until at most ``limit`` values can be left: the scan that counts
+    around these ranks them, too. So r intervals take r + 1 scans, one if the table is that
+    small. Sketches only choose where to count: a loose one costs another scan, never a wrong
+    value, and as quantiles of groups they narrow alike however rows are dealt. A value held by
+    many rows becomes an end of the interval and is counted, so ties end the search early.
     """
-    view = numeric_view(df, cols)
     search = {c: _Search(rank(stats[c].count), stats[c].count) for c in cols}
-    while True:
-        open_ = {
-            c: s for c, s in search.items() if s.rank >= 1 and s.found is None and s.rows > limit
-        }
-        if not open_:
-            break
-        _narrow(view, open_)
-    rows = []
-    for c, s in search.items():
-        if s.rank < 1:
-            answer = F.lit(None).cast("double")
-        elif s.found is not None:
-            answer = F.lit(s.found)
-        else:
-            answer = _percentile_disc(c, s)
-        rows.append(F.struct(F.lit(c).alias("column"), answer.alias("value")))
-    return view.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
-
-
-def _percentile_disc(name: str, s: _Search) -> Column:
-    tests = ["true"]
-    if s.low is not None:
-        tests.append(f"`{name}` > double('{s.low!r}')")
-    if s.high is not None:
-        tests.append(f"`{name}` < double('{s.high!r}')")
-    share = (s.rank - s.below - 0.5) / s.rows
-    kept = f"case when {' and '.join(tests)} then `{name}` end"
-    return F.expr(f"percentile_disc(double('{share!r}')) within group (order by {kept})")
+    for s in search.values():
+        s.held = s.rows
+    while open_ := {c: s for c, s in search.items() if s.rank >= 1 and s.found is None}:
+        names = list(open_)
+        for row in narrowing_scan(df, open_, limit).collect():
+            s = open_[names[row.i]]
+            exact = s.held <= limit
+            if s.settle(row):
+                if exact:
+                    s.found = row.value
+                else:
+                    s.aim(row.sketches)
+    rows = [(c, s.found) for c, s in search.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, value double")
 
 
 def median(
@@ -149,7 +221,12 @@ def bin_counts(
     """Non-empty bins ``column, bin, count, left_edge``.
 
     The root of the row count many bins of equal width; the maximum falls in one extra
-    bin. A constant column has no width and goes to bin 0. Counted before the shuffle.
+    bin. A constant column has no width and goes to bin 0.
+
+    With so many bins most of a task's values meet a bin alone, and rows of counts would be no
+    fewer than values. A task counts into dense vectors instead and hands on their slices,
+    compressed; a slice's parts are added up in one task. So what moves is bounded by bins times
+    tasks, at a byte or less each, whatever the rows.
     """
     stats = stats or fit(df, cols)
     cols = numeric_columns(stats, cols)
@@ -158,17 +235,46 @@ def bin_counts(
         *[
             F.coalesce(
                 F.floor(F.try_divide(number(df, c) - stats[c].min, F.lit(width[c]))), F.lit(0)
-            ).alias(c)
-            for c in cols
+            ).alias(f"b{i}")
+            for i, c in enumerate(cols)
         ]
     )
+    slices = view.mapInArrow(_counted, "col int, slice bigint, counts binary").repartition("col", "slice")
+    names = F.array(*[F.lit(c) for c in cols])
+    found = slices.mapInArrow(_added, "col int, bin bigint, count bigint").select(names[F.col("col")].alias("column"), "bin", "count")
     low = _literal_map({c: stats[c].min for c in cols})
-    return (
-        view.unpivot([], [named(c) for c in cols], "column", "bin")
-        .groupBy("column", "bin")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("left_edge", low + F.col("bin") * _literal_map(width))
-    )
+    return found.withColumn("left_edge", low + F.col("bin") * _literal_map(width))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's values per bin, as slices of ``SLICE`` bins; slices without values are left out."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for c, column in enumerate(batch.columns):
+            bins, times = np.unique(column.to_numpy(), return_counts=True)
+            cut = bins // SLICE
+            first = np.flatnonzero(np.diff(cut, prepend=-1))
+            for a, b in zip(first, [*first[1:], len(bins)], strict=True):
+                key = (c, int(cut[a]))
+                if key not in held:
+                    held[key] = np.zeros(SLICE, np.int64)
+                held[key][bins[a:b] - cut[a] * SLICE] += times[a:b]
+    for (c, cut), counts in held.items():
+        packed = zlib.compress(counts.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([cut], pa.int64()), pa.array([packed], pa.binary())], names=["col", "slice", "counts"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each slice's parts, as rows of bins that are not empty."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for c, cut, packed in zip(batch.column("col").to_pylist(), batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
+            planes = np.frombuffer(zlib.decompress(packed.as_py()), np.uint8).reshape(8, -1)
+            counts = np.ascontiguousarray(planes.T).view(np.int64).ravel()
+            held[c, cut] = held[c, cut] + counts if (c, cut) in held else counts
+    for (c, cut), counts in held.items():
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c), pa.int32()), pa.array(at + cut * SLICE), pa.array(counts[at])], names=["col", "bin", "count"])
 
 
 def histogram(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from ashlar.functions.names import named
 from ashlar.functions.numbers import chi2_p_value
 from ashlar.operators.profile import ColumnStats, fit, number, numeric_columns, numeric_view
 
+# What tasks run travels with the job, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def vectorize(df: DataFrame, cols: Sequence[str], output: str = "features") -> DataFrame:
     """Append the columns' numbers as one dense vector."""
@@ -22,72 +27,128 @@ def vectorize(df: DataFrame, cols: Sequence[str], output: str = "features") -> D
     return VectorAssembler(inputCols=hidden, outputCol=output).transform(wide).drop(*hidden)
 
 
-def _comoments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's rows as one row per pair of columns: count, means, extremes, centred products.
+# Sides of a tile of the matrix, in columns, and how many groups of tasks are merged apart before
+# a tile's rows meet.
+TILE = 64
+GROUPS = 32
+
+
+class _Tile:
+    """Centred products of the columns of two blocks, with what both need to be joined or finished."""
+
+    def __init__(self, n: float, sides: list[np.ndarray], products: np.ndarray) -> None:
+        self.n, self.products = n, products
+        #: Per side and column: mean, squares about it, least and greatest value.
+        self.sides = sides
+
+    def add(self, other: _Tile) -> None:
+        """Join another sample: the update for means and products of joined samples."""
+        total = self.n + other.n
+        share = self.n * other.n / total
+        apart = [b[0] - a[0] for a, b in zip(self.sides, other.sides, strict=True)]
+        self.products += other.products + np.outer(*apart) * share
+        for a, b, d in zip(self.sides, other.sides, apart, strict=True):
+            a[0] += d * (other.n / total)
+            a[1] += b[1] + d * d * share
+            a[2], a[3] = np.minimum(a[2], b[2]), np.maximum(a[3], b[3])
+        self.n = total
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([[self.n, self.sides[0].shape[1]], *(s.ravel() for s in self.sides), self.products.ravel()])
+
+    @classmethod
+    def unpacked(cls, data: np.ndarray) -> _Tile:
+        high = int(data[1])
+        wide = (len(data) - 2 - 4 * high) // (4 + high)
+        cuts = np.cumsum([2, 4 * high, 4 * wide])
+        sides = [data[cuts[0] : cuts[1]].reshape(4, high).copy(), data[cuts[1] : cuts[2]].reshape(4, wide).copy()]
+        return cls(data[0], sides, data[cuts[2] :].reshape(high, wide).copy())
+
+    def coefficients(self, same: bool) -> np.ndarray:
+        """Correlations; NaN where a column does not vary, 1 on the matrix' own diagonal."""
+        spread = [np.where(s[2] < s[3], np.sqrt(s[1]), np.nan) for s in self.sides]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = self.products / np.outer(*spread)
+        if same:
+            at = np.arange(len(r))
+            r[at, at] = np.where(np.isnan(spread[0]), np.nan, 1.0)
+        return r
+
+
+def _rows(keys: Sequence[tuple], tiles: Sequence[_Tile], names: Sequence[str]) -> pa.RecordBatch:
+    columns = [pa.array(c, pa.int32()) for c in zip(*keys, strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([t.packed() for t in tiles], pa.list_(pa.float64()))], names=[*names, "data"])
 
-    Batches are merged by the update for joined samples. Values are taken from the batch's
-    first one, so a constant column has no spread at all.
+
+def _tiles_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows as the tiles of the matrix' upper half.
+
+    Values are taken from their batch's first one, so a constant column has no spread at all.
     """
-    n, mean, products, low, high = 0, None, None, None, None
+    held: dict[tuple[int, int], _Tile] = {}
     for batch in batches:
         if not batch.num_rows:
             continue
         x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-        low = x.min(axis=0) if low is None else np.minimum(low, x.min(axis=0))
-        high = x.max(axis=0) if high is None else np.maximum(high, x.max(axis=0))
-        shift = x[0].copy()
+        shift, low, high = x[0].copy(), x.min(axis=0), x.max(axis=0)
         x = x - shift
         middle = x.mean(axis=0)
         x -= middle
-        here = shift + middle
-        if mean is None:
-            n, mean, products = len(x), here, x.T @ x
-            continue
-        total, delta = n + len(x), here - mean
-        products += x.T @ x + np.outer(delta, delta) * (n * len(x) / total)
-        mean, n = mean + delta * (len(x) / total), total
-    if n:
-        k = len(mean)
-        i, j = (v.ravel() for v in np.indices((k, k)))
-        columns = [i, j, np.full(k * k, float(n)), mean[i], mean[j], products.ravel(), low[i], high[i], low[j], high[j]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=COMOMENTS.replace(" bigint", "").replace(" double", "").split(", "))
+        about = np.stack([shift + middle, (x * x).sum(axis=0), low, high])
+        cuts = [slice(a, a + TILE) for a in range(0, x.shape[1], TILE)]
+        for i, one in enumerate(cuts):
+            for j, two in enumerate(cuts[i:], i):
+                tile = _Tile(float(len(x)), [about[:, one].copy(), about[:, two].copy()], x[:, one].T @ x[:, two])
+                if (i, j) in held:
+                    held[i, j].add(tile)
+                else:
+                    held[i, j] = tile
+    for key, tile in held.items():
+        yield _rows([key], [tile], ["i", "j"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int], _Tile]:
+    held: dict[tuple[int, int], _Tile] = {}
+    for batch in batches:
+        for i, j, data in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("data"), strict=True):
+            tile = _Tile.unpacked(data.values.to_numpy())
+            if (i, j) in held:
+                held[i, j].add(tile)
+            else:
+                held[i, j] = tile
+    return held
+
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, tile in _merged(batches).items():
+        yield _rows([key], [tile], ["i", "j"])
 
-COMOMENTS = "i bigint, j bigint, n double, mi double, mj double, c double, li double, hi double, lj double, hj double"
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (i, j), tile in _merged(batches).items():
+        r = tile.coefficients(i == j)
+        a, b = (v.ravel() for v in np.indices(r.shape))
+        for one, two in ((a + i * TILE, b + j * TILE), (b + j * TILE, a + i * TILE))[: 1 if i == j else 2]:
+            columns = [pa.array(one, pa.int32()), pa.array(two, pa.int32()), pa.array(r.ravel(), from_pandas=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "r"])
 
 
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson matrix in long form ``col_i, col_j, r``, both halves; NULL where a column is constant.
 
-    One scan for any number of columns: every task hands on one centred matrix, whose entries
-    are then joined by pair, about the common means. Nothing runs before the result is asked
-    for. An empty table gives no rows.
+    One scan for any number of columns. A task hands on tiles of half the matrix of centred
+    products; a tile's rows are joined in groups of tasks first and then as a whole, and carry all
+    that their coefficients need. Nothing runs before the result is asked for. An empty table
+    gives no rows.
     """
     cols = list(cols)
     view = numeric_view(df, cols).toDF(*[f"c{i}" for i in range(len(cols))])
-    tasks = view.mapInArrow(_comoments, COMOMENTS)
-    total = "sum(n) OVER (PARTITION BY i, j)"
-    about = tasks.selectExpr(
-        "*",
-        f"mi - sum(n * mi) OVER (PARTITION BY i, j) / {total} AS di",
-        f"mj - sum(n * mj) OVER (PARTITION BY i, j) / {total} AS dj",
-    )
-    sums = about.groupBy("i", "j").agg(
-        F.sum(F.col("c") + F.col("n") * F.col("di") * F.col("dj")).alias("c"),
-        ((F.min("li") < F.max("hi")) & (F.min("lj") < F.max("hj"))).alias("varies"),
-    )
-    spread = sums.filter("i = j")
-    own = [spread.select(F.col("i").alias(f"k{s}"), F.col("c").alias(f"s{s}")) for s in "ij"]
-    joined = sums.join(own[0], F.col("i") == F.col("ki")).join(own[1], F.col("j") == F.col("kj"))
-    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
-        F.try_divide(F.col("c"), F.sqrt("si") * F.sqrt("sj"))
-    )
+    schema = "i int, j int, data array<double>"
+    tiles = view.mapInArrow(_tiles_of_task, schema)
+    groups = tiles.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(GROUPS))).repartition("i", "j", "part").drop("part")
+    found = groups.mapInArrow(_joined, schema).repartition("i", "j").mapInArrow(_finished, "i int, j int, r double")
     names = F.array(*[F.lit(c) for c in cols])
-    return joined.select(
-        names[F.col("i").cast("int")].alias("col_i"),
-        names[F.col("j").cast("int")].alias("col_j"),
-        F.when(F.col("varies"), r).alias("r"),
-    )
+    return found.select(names[F.col("i")].alias("col_i"), names[F.col("j")].alias("col_j"), "r")
 
 
 def correlated_pairs(df: DataFrame, cols: Sequence[str], least: float = 0.5) -> DataFrame:

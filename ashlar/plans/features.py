@@ -9,10 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from ashlar.functions.names import named
 from ashlar.operators import distribution, normalize, outliers, ranks, relate
 from ashlar.operators.clean import rectangularize
-from ashlar.operators.profile import fit, of_type, profile
+from ashlar.operators.profile import SCALED_TYPES, ColumnStats, fit, of_type, profile
 from ashlar.sources.lines import read_lines
-from ashlar.sources.sinks import label_path, write_norms, write_normalized
-from ashlar.sources.tables import staged
+from ashlar.sources.sinks import label_path, write_csv, write_norm_table, write_norms
+from ashlar.sources.tables import Staged
+
+
+class Features(dict):
+    """Results by name. ``close`` removes what was staged for them; nothing can be read from them then."""
+
+    staged: Staged | None = None
+
+    def close(self) -> None:
+        if self.staged is not None:
+            self.staged.close()
+
+    def __enter__(self) -> Features:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def find_features(
@@ -28,26 +44,44 @@ def find_features(
     high: float = 3.0,
     mode: str = "errorifexists",
     stage: bool = True,
-) -> dict[str, DataFrame]:
+) -> Features:
     """Every result of the feature finder for a delimited text file.
 
-    The fit, and the medians where the scan is centred on them, are computed at once; all else
-    is lazy. ``header=None`` lets the first line decide whether it is a header.
+    The fit, the medians and the test of normality are computed at once; all else is lazy.
+    ``header=None`` lets the first line decide whether it is a header.
 
     Writes the normalized table to ``output`` and the labeled norms to ``norms_folder``
     where these are given. Some twenty passes read the cleaned rows, so these are written
-    once as columns (``stage``) instead of cleaning the text again for each.
+    once (``stage``), numbers as numbers, instead of cleaning and parsing the text for each.
+    The result owns them: close it when all results are read.
     """
     table = rectangularize(read_lines(spark, path), header)
-    rows = staged(table.rows, "rows") if stage else table.rows
+    stats = fit(table.rows, table.names, moments=True)
     leading = list(ids if ids is not None else table.names[:6])
-    results = features_of(rows, "row_id", table.names, leading, interval, feature, low, high)
-    stats = results.pop("_stats")
-    if output is not None:
-        write_normalized(rows.drop("row_id"), output, stats=stats, mode=mode)
-    if norms_folder is not None:
+    results = Features()
+    if not stage:
+        rows = typed = scaled = labeled = table.rows
+        shown = {c: c for c in leading}
+    else:
+        results.staged = Staged(table.rows, "rows", of_type(stats))
+        # Identifying columns and numeric labels are shown as they stood in the text.
+        shown = {f"__text{i}": c for i, c in enumerate(leading)}
+        rows, typed = results.staged.rows, results.staged.typed()
+        scaled = results.staged.typed(of_type(stats, SCALED_TYPES))
+        labeled = results.staged.typed(text={c: t for t, c in shown.items()})
+    results |= features_of(typed, "row_id", table.names, None, interval, feature, low, high, stats)
+    results["normalized"] = normalize.zscore(scaled.select(*[named(c) for c in table.names]), stats=stats)
+    if of_type(stats):
+        norms = normalize.labeled_norms(labeled, list(shown), stats=stats)
+        results["labeled_norms"] = norms.withColumnsRenamed(shown)
+        if norms_folder is not None:
+            write_norm_table(results["labeled_norms"], label_path(path, norms_folder), mode)
+    elif norms_folder is not None:
         write_norms(rows, label_path(path, norms_folder), leading, stats=stats, mode=mode)
-    return {"rejected": table.rejected, "rows": rows, **results}
+    if output is not None:
+        write_csv(results["normalized"], output, mode=mode)
+    results |= {"rejected": table.rejected, "rows": rows}
+    return results
 
 
 def features_of(
@@ -59,13 +93,13 @@ def features_of(
     feature: str = "MEDIAN",
     low: float = -3.0,
     high: float = 3.0,
-) -> dict:
-    """The same results for any table with a unique sortable ``key``."""
+    stats: dict[str, ColumnStats] | None = None,
+) -> dict[str, DataFrame]:
+    """The same results for any table with a unique sortable ``key``; ``stats`` if they are known."""
     cols = list(cols if cols is not None else [c for c in df.columns if c != key])
-    stats = fit(df, cols, moments=True)
+    stats = stats or fit(df, cols, moments=True)
     numeric = of_type(stats)
     results = {
-        "_stats": stats,
         "profile": profile(df, cols, moments=True),
         "normalized": normalize.zscore(df.select(*[named(c) for c in cols]), stats=stats),
     }
@@ -74,10 +108,7 @@ def features_of(
     norms = normalize.row_norms(df, [key], stats=stats)
     median, centres = ranks.median(df, numeric, stats=stats), None
     if (interval.upper(), feature.upper()) == ("OUTLIER", "MEDIAN"):
-        # One row a column; searched once, for the result and for the scan.
-        rows = median.collect()
-        median = df.sparkSession.createDataFrame(rows, median.schema)
-        centres = {r["column"]: r["median"] for r in rows}
+        centres = {r["column"]: r["median"] for r in median.collect()}
     results |= {
         "correlation": relate.correlation(df, numeric),
         "correlated_pairs": relate.correlated_pairs(df, numeric),

@@ -442,6 +442,13 @@ def _substitute_read_back(spark, folder):
     return shown(found.select("column", "col_idx", "count", "mean", "variance", "min", "max", "inferred_type"), n=7)
 
 
+def _documents_read_back(spark, folder):
+    path = shared_path(spark, "documents")
+    documents = table(spark, folder, "documents")
+    sinks.write_csv(documents, path, exact=True)
+    return sinks.read_table_back(spark, path, documents.schema)
+
+
 def _text_sink(spark, folder):
     path = shared_path(spark, "lines")
     sinks.write_text(_order_lines(spark, folder), path)
@@ -510,6 +517,7 @@ QUERIES: dict[str, Query] = {
     "normalized_read_back": _normalized_read_back,
     "norms_read_back": _norms_read_back,
     "substitute_read_back": _substitute_read_back,
+    "documents_read_back": _documents_read_back,
     # Cleaning
     "unquote": _unquote,
     "field_counts": _field_counts,

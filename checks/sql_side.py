@@ -512,6 +512,7 @@ ORACLES: dict[str, str] = {
         7,
         ["mean", "variance", "min", "max"],
     ),
+    "documents_read_back": "SELECT * FROM documents",
     "unquote": f"SELECT row_id, value FROM ({MEASURED}) m",
     "field_counts": f"SELECT row_id, CAST(n_fields AS INTEGER) AS n_fields FROM ({MEASURED}) m",
     "field_shape": f"""

@@ -70,6 +70,31 @@ def test_ks_on_several_columns_and_constants(spark, numbers):
     assert "constant" not in found and "zero" not in found
 
 
+@pytest.mark.parametrize("kind", ["giant", "normal"])
+def test_open_buckets_are_cut_between_their_own_ends(spark, monkeypatch, kind):
+    """One value of 1e9 beside 300,000 normal ones squeezes these into a bucket or two."""
+    values = [1e9 if i == 0 and kind == "giant" else v for i, v in enumerate(sample("normal", 300_000))]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4).cache()
+    stats = fit(df, ["v"])
+    ranked, real = [], D._ranked
+    monkeypatch.setattr(D, "_ranked", lambda v, open_, n: ranked.append(int(open_.size.sum())) or real(v, open_, n))
+    found = D.ks_normal(df, ["v"], stats, p_value=False).first()
+    assert found.statistic == pytest.approx(exact_ks(values, stats["v"]), abs=1e-13)
+    assert sum(ranked) < 10_000
+
+
+@pytest.mark.parametrize("kind", ["normal", "giant", "hot"])
+def test_many_levels_and_few_cells(spark, monkeypatch, kind):
+    for name, value in (("KS_ROWS", 3), ("KS_PARTS", 4), ("KS_CELLS", 64)):
+        monkeypatch.setattr(D, name, value)
+    values = sample(kind, 2000)
+    df = spark.createDataFrame([(v, -v) for v in values], "v double, w double").repartition(3)
+    stats = fit(df, ["v", "w"])
+    for r in D.ks_normal(df, ["v", "w"], stats, p_value=False, buckets=4).collect():
+        side = values if r["column"] == "v" else [-v for v in values]
+        assert r.statistic == pytest.approx(exact_ks(side, stats[r["column"]]), abs=1e-13)
+
+
 def test_kolmogorov_tail_matches_the_logged_run():
     # A published run on 9,999 rows: statistic and p-value.
     assert kolmogorov_survival(0.005495681749849268, 9999) == pytest.approx(0.9216108887428276, abs=1e-6)
@@ -96,20 +121,30 @@ def test_kde_grid_equals_the_full_sum(spark):
     assert len(found) == 300
     for row in found:
         full = sum(math.exp(-0.5 * ((row.point - v) / 3) ** 2) for v in values) / (5 * 3 * math.sqrt(2 * math.pi))
-        assert row.density == pytest.approx(full, rel=1e-12, abs=1e-300)
+        assert row.density == pytest.approx(full, rel=1e-12, abs=1e-15) and row.density >= 0
     kept = D.kde(df, ["v"], grid=(-10.0, 2.5, 300), least=0.01).collect()
     assert sorted(r.point for r in kept) == [r.point for r in found if r.density >= 0.01]
 
 
-def test_kde_by_cells_equals_the_direct_sum(spark, monkeypatch):
-    df = spark.createDataFrame([(v,) for v in sample("hot", 4000) + sample("exponential", 4000)], "v double")
-    grid = (-60.0, 1.0, 150)
-    cells = {r.point: r.density for r in D.kde(df, ["v"], grid=grid).collect()}
-    monkeypatch.setattr(D, "FEW_ROWS", 10**9)
-    direct = {r.point: r.density for r in D.kde(df, ["v"], grid=grid).collect()}
-    assert len(cells) == len(direct) == 150 and max(direct.values()) > 0.05
-    for point, density in direct.items():
-        assert cells[point] == pytest.approx(density, rel=1e-11, abs=1e-15)
+def test_kde_by_cells_equals_the_direct_sum(spark):
+    values = sample("hot", 4000) + sample("exponential", 4000)
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for options in ({"grid": (-60.0, 1.0, 150)}, {"grid": (5.0, 0.01, 40)}, {"points": [-400.0, -9.5, 0.0, 1.25, 40.0]}):
+        found = D.kde(df, ["v"], **options).collect()
+        assert len(found) == (options["grid"][2] if "grid" in options else len(options["points"]))
+        for r in found:
+            full = math.fsum(math.exp(-0.5 * ((r.point - v) / 3) ** 2) for v in values) / (8000 * 3 * math.sqrt(2 * math.pi))
+            assert r.density == pytest.approx(full, rel=1e-11, abs=1e-15)
+
+
+def test_listed_points_meet_only_cells_near_them(spark):
+    # Cells over a wide range: the join is by cell, and no cell is paired with all points.
+    df = spark.range(3000).selectExpr("double(id) * 50 AS v")
+    plan = D.kde(df, ["v"], points=[0.0, 75_000.0])._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin [cell" in plan or "SortMergeJoin [cell" in plan
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    found = {r.point: r.density for r in D.kde(df, ["v"], points=[0.0, 75_000.0]).collect()}
+    assert found[75_000.0] == pytest.approx((1 + 2 * math.exp(-0.5 * (50 / 3) ** 2)) / (3000 * 3 * math.sqrt(2 * math.pi)))
 
 
 def test_kde_far_from_all_values_is_zero(spark):

@@ -55,10 +55,38 @@ def test_extreme_rows_break_ties_by_position(spark):
     assert lists == {"smallest": [0, 1, 2, 3, 4], "largest": [11, 10, 9, 8, 7]}
 
 
-def test_extreme_rows_are_top_k_plans(spark, numbers):
-    norms = N.row_norms(numbers, ["id"], ["plain", "hot"])
+def test_extreme_rows_take_one_scan(spark, folder):
+    spark.range(500).selectExpr("id", "double(id % 7) AS a", "double(id) AS b").write.parquet(f"{folder}/t")
+    df = spark.read.parquet(f"{folder}/t")
+    norms = N.row_norms(df, ["id"], ["a", "b"], stats={"a": stats_of(3.0, 2.0, "a", 0), "b": stats_of(250.0, 144.0, "b", 1)})
     plan = N.extreme_rows(norms, "id")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("TakeOrderedAndProject") >= 10 and "rangepartitioning" not in plan
+    assert plan.count("FileScan") == 1 and "Sort" not in plan and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("k", [1, 5, 40, 300])
+def test_extreme_rows_equal_sorting(spark, k):
+    # Three values only, so that every list is cut among ties; keys are text, one of them NULL.
+    rows = [(None if i == 77 else f"k{i * 37 % 250:03d}", float(i % 3), None if i % 11 == 0 else i / 7) for i in range(250)]
+    df = spark.createDataFrame(rows, "key string, zeros double, l1_norm double").repartition(5)
+    found = N.extreme_rows(df, "key", ["zeros", "l1_norm"], k=k).collect()
+    for metric, at in (("zeros", 1), ("l1_norm", 2)):
+        for direction, up in (("smallest", False), ("largest", True)):
+            order = sorted((r for r in rows if r[at] is not None), key=lambda r: (r[at], r[0] is not None, r[0] or ""), reverse=up)
+            mine = sorted((r["rank"], r.key, r.value) for r in found if (r.metric, r.direction) == (metric, direction))
+            assert mine == [(n, r[0], r[at]) for n, r in enumerate(order[:k], 1)]
+
+
+def test_struct_keys_break_ties_field_by_field(spark):
+    df = spark.range(60).selectExpr("struct(id % 3 AS a, struct(id AS b) AS c) AS row_id", "1D AS l1_norm").repartition(4)
+    found = N.extreme_rows(df, "row_id", ["l1_norm"], k=2).collect()
+    keys = {(r.direction, r["rank"]): (r.row_id.a, r.row_id.c.b) for r in found}
+    assert keys == {("smallest", 1): (0, 0), ("smallest", 2): (0, 3), ("largest", 1): (2, 59), ("largest", 2): (2, 56)}
+
+
+def test_one_direction_of_extreme_rows(spark, numbers):
+    norms = N.row_norms(numbers, ["id"], ["plain", "hot"])
+    assert {r.direction for r in N.extreme_rows(norms, "id", ascending=False).collect()} == {"largest"}
+    assert N.extreme_rows(norms.limit(0), "id").count() == 0
 
 
 def test_labeled_norms_keep_leading_columns(spark, numbers):

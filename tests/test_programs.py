@@ -8,7 +8,7 @@ from ashlar.plans.anonymizer import make_substitute
 from ashlar.plans.datamaker import make_data
 from ashlar.plans.features import find_features
 from ashlar.sources.lines import numbered_lines
-from ashlar.sources.sinks import label_path, read_back
+from ashlar.sources.sinks import label_path, read_back, read_table_back, write_csv
 
 MEANS, VARIANCES = [1.2, 3.4, 5.6], [7.8, 9.10, 11.12]
 
@@ -138,3 +138,52 @@ def test_medians_of_the_program_are_those_of_its_scan(spark, made):
     for r in hits:
         assert r.low == pytest.approx(medians[r["column"]] - 2 * stats[r["column"]].stddev, rel=1e-12)
         assert r.value < r.low or r.value > r.high
+
+
+def test_numbers_are_staged_as_numbers(spark, made, folder):
+    path, _ = made
+    with find_features(spark, path, header=False, low=-2.0, high=2.0) as results:
+        plan = results["hits"]._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [Or(" in plan and "try_cast" not in plan and "RLIKE" not in plan
+        # Texts stay as they were wherever they are shown.
+        first = min(results["rows"].collect(), key=lambda r: r.row_id)
+        shown = {tuple(r)[:6] for r in results["labeled_norms"].collect()}
+        assert tuple(first)[1:7] in shown
+        counts = results["hits"].count()
+        staged = results.staged.path.removeprefix("file://")
+        assert os.path.isdir(staged)
+    assert not os.path.exists(staged)
+    unstaged = find_features(spark, path, header=False, low=-2.0, high=2.0, stage=False)
+    assert unstaged["hits"].count() == counts
+    unstaged.close()
+
+
+def test_labels_and_leading_numbers_are_shown_as_written(spark, folder):
+    path, out = f"{folder}/labels.csv", f"{folder}/out"
+    with open(path, "w") as lines:
+        lines.write("id,size,who\n" + "".join(f"0{20000 + i},{i}.50,w{i}\n" for i in range(40)))
+    results = find_features(spark, path, out, folder)
+    written = [r.value.split(",") for r in spark.read.text(out).collect() if not r.value.startswith("id,")]
+    assert sorted(w[0] for w in written) == [f"0{20000 + i}" for i in range(40)]
+    assert sorted(r.size for r in results["labeled_norms"].collect()) == sorted(f"{i}.50" for i in range(40))
+    results.close()
+
+
+def test_written_texts_come_back_as_they_were(spark, folder):
+    texts = [
+        "plain", "", None, " blanks ", "a,b", "two\nlines", "crlf\r\nand\rcr", '"quoted"', 'say "x", then\n"y"', "back\\slash\\\"",
+        "text", '"', '""', "\n", ",", "tab\t", "Ünï 中文 🎉", "'single'", "#no comment",
+    ]
+    df = spark.createDataFrame([(i, t, "text") for i, t in enumerate(texts)], "id long, text string, other string").repartition(3)
+    # A row equal to the header is a row.
+    df = df.union(spark.createDataFrame([(None, "text", "other")], df.schema))
+    write_csv(df, f"{folder}/exact", exact=True)
+    again = read_table_back(spark, f"{folder}/exact", df.schema)
+    assert sorted(again.collect(), key=repr) == sorted(df.collect(), key=repr)
+
+
+def test_documents_come_back_whole(spark, folder):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    write_csv(docs.repartition(4), f"{folder}/docs", exact=True)
+    again = read_table_back(spark, f"{folder}/docs", docs.schema)
+    assert sorted(again.collect()) == sorted(docs.collect())

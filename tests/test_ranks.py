@@ -79,3 +79,66 @@ def test_leading_bins_stop_at_the_number_of_bins(spark):
 def test_counts_add_up_to_the_rows(spark, numbers):
     totals = ranks.histogram(numbers, ["plain", "whole", "hot"]).groupBy("column").sum("count").collect()
     assert {r[1] for r in totals} == {200}
+
+
+def scans(monkeypatch, df, **options):
+    """The median and how many scans it took."""
+    made, real = [], ranks.narrowing_scan
+    monkeypatch.setattr(ranks, "narrowing_scan", lambda *a: made.append(1) or real(*a))
+    return ranks.median(df, ["v"], **options).first().median, len(made)
+
+
+@pytest.mark.parametrize("order", ["sorted", "mixed"])
+def test_one_scan_more_than_intervals(spark, monkeypatch, order):
+    # However rows are dealt: in order, so that every task has values of its own, or mixed.
+    df = spark.range(0, 40_000, 1, 8).selectExpr("double(id) + 1 AS v" if order == "sorted" else "double(pmod(id * 7919, 40000)) + 1 AS v")
+    assert scans(monkeypatch, df, limit=40_000) == (20_001.0, 1)
+    assert scans(monkeypatch, df, limit=1_000) == (20_001.0, 2)
+
+
+def test_intervals_shrink_by_hundreds_a_scan(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "EXACT_LIMIT", 100)
+    df = spark.range(0, 1_000_000, 1, 8).selectExpr("sqrt(double(pmod(id * 7919, 1000000))) AS v")
+    assert scans(monkeypatch, df, limit=100) == (500_000.0**0.5, 3)
+
+
+def test_a_value_in_most_rows_ends_the_search(spark, monkeypatch):
+    df = spark.range(0, 100_000, 1, 8).selectExpr("CASE WHEN id % 3 = 0 THEN double(id) ELSE 7.5D END AS v")
+    assert scans(monkeypatch, df, limit=10) == (7.5, 2)
+
+
+def test_missing_and_infinite_values_count_as_zero(spark):
+    values = [None, None, float("nan"), float("inf"), 1.0, 2.0, -3.0, 5.0, 6.0]
+    df = spark.createDataFrame([(v, None if v is None else str(v)) for v in values], "v double, t string").repartition(3)
+    for limit in (1, 3, 100):
+        found = ranks.median(df, ["v", "t"], limit=limit).collect()
+        assert {r["column"]: r.median for r in found} == {"v": 0.0, "t": 0.0}
+
+
+def test_sketches_are_merged_by_group(spark):
+    df = spark.range(0, 50_000, 1, 16).selectExpr("double(id) + 1 AS v")
+    search = {"v": ranks._Search(25_000, 50_000, held=50_000)}
+    plan = ranks.narrowing_scan(df, search, 1_000)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__group" in plan and "SinglePartition" not in plan
+    rows = ranks.narrowing_scan(df, search, 1_000).collect()
+    assert len(rows) == 1 and len(rows[0].sketches) == 16
+
+
+def test_counted_intervals_reach_the_scan(spark, folder):
+    path = f"{folder}/v"
+    spark.range(1000).selectExpr("double(id) + 1 AS v").write.parquet(path)
+    search = {"v": ranks._Search(500, 300, 350, 350.0, 651.0, held=300)}
+    plan = ranks.narrowing_scan(spark.read.parquet(path), search, 1_000)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(v,350.0)" in plan and "LessThan(v,651.0)" in plan
+    assert ranks.narrowing_scan(spark.read.parquet(path), search, 1_000).first().value == 500.0
+
+
+def test_bins_beyond_a_slice_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "SLICE", 16)
+    df = spark.range(0, 40_000, 1, 6).selectExpr("double(pmod(id * 7919, 40000)) AS a", "double(id % 3) AS b")
+    found = {(r["column"], r.bin): r["count"] for r in ranks.bin_counts(df, ["a", "b"]).collect()}
+    assert len(found) == 204 and sum(found.values()) == 80_000
+    width, extra = 39_999 / 200, {"b": {0: 13_334, 100: 13_333, 200: 13_333}}
+    for b in range(201):
+        assert found["a", b] == sum(1 for v in range(40_000) if int(v / width) == b)
+    assert {k[1]: v for k, v in found.items() if k[0] == "b"} == extra["b"]

@@ -40,6 +40,26 @@ def test_correlation_waits_until_it_is_asked_for(spark):
     assert relate.correlation(spark.range(0).selectExpr("id AS a", "id AS b"), ["a", "b"]).count() == 0
 
 
+def test_correlation_takes_one_scan_and_merges_in_two_steps(spark, folder):
+    spark.range(100).selectExpr("double(id) AS a", "double(id % 7) AS b").write.parquet(f"{folder}/t")
+    plan = relate.correlation(spark.read.parquet(f"{folder}/t"), ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+@pytest.mark.parametrize("side", [1, 3, 64])
+def test_correlation_by_tiles_of_any_size(spark, monkeypatch, side):
+    monkeypatch.setattr(relate, "TILE", side)
+    rows = spark.range(400).selectExpr("5D AS c0", *[f"double((id * {k + 3}) % 101) + 1e6 AS c{k}" for k in range(1, 7)]).repartition(6)
+    values = rows.toPandas()
+    found = {(r.col_i, r.col_j): r.r for r in relate.correlation(rows, rows.columns).collect()}
+    assert len(found) == 49
+    for (a, b), r in found.items():
+        if "c0" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(1.0 if a == b else values[a].corr(values[b]), abs=1e-10)
+
+
 def test_correlated_pairs_name_the_later_column_first(spark):
     df = spark.range(50).selectExpr("double(id) a", "double(-2 * id) b", "double(id % 2) c")
     pairs = [(r.col_i, r.col_j, round(r.r, 9)) for r in relate.correlated_pairs(df, ["a", "b", "c"]).collect()]
