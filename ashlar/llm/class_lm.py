@@ -42,8 +42,8 @@ BLEND = 1.0
 OPEN = 255
 #: Words of a task held before their counts are handed on.
 HELD = 600_000
-#: Pairs of neighbours held before they are handed on, and bytes of text per block of them.
-PAIRS, BLOCK_BYTES, MOST_BLOCKS = 1 << 21, 4_000_000, 1 << 14
+#: Pairs of neighbours held before they are counted and handed on, and bytes of text per block of them.
+PAIRS, BLOCK_BYTES, MOST_BLOCKS = 1 << 22, 4_000_000, 1 << 14
 #: Counts from here on are grouped by 64ths of their logarithm when the head is chosen.
 EXACT_COUNTS = 4096
 
@@ -156,7 +156,7 @@ def neighbours(texts: DataFrame, shared, head: Head, blocks: int) -> DataFrame:
         numbers, held, met = shared.value[0], [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, counts = _summed(held)
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
             block = (keys // (2 * wide)) % blocks
             order = np.argsort(block, kind="stable")
             keys, counts, block = keys[order], counts[order], block[order]
@@ -175,8 +175,8 @@ def neighbours(texts: DataFrame, shared, head: Head, blocks: int) -> DataFrame:
                 for word, other, behind in ((one, two, 1), (two, one, 0)):
                     fine = word < size
                     if fine.any():
-                        held.append(np.unique((word[fine] * 2 + behind) * wide + other[fine], return_counts=True))
-                        met += len(held[-1][0])
+                        held.append((word[fine] * 2 + behind) * wide + other[fine])
+                        met += len(held[-1])
                 if met > PAIRS:
                     yield flush()
                     held, met = [], 0
@@ -197,7 +197,7 @@ def neighbours(texts: DataFrame, shared, head: Head, blocks: int) -> DataFrame:
                 at = block
                 parts.append(_unpacked(data.as_py()))
                 met += len(parts[-1][0])
-                if met > 2 * PAIRS and len(parts) > 1:
+                if met > PAIRS and len(parts) > 1:
                     parts = [_summed(parts)]
                     met = len(parts[0][0])
         if parts:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ashlar.llm.common import pieces
 
-#: Tokens of a seed, and of the shortest tile.
+#: Tokens of a seed, and of the shortest tile; shorter items are matched as a whole.
 LEAST = 5
 #: Share of an item's tokens that tiles must cover.
 COVERAGE = 0.8
@@ -41,82 +42,102 @@ def _rolled(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 def _scan(item: np.ndarray, doc: np.ndarray, free_i: np.ndarray, free_d: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal unmarked matches of at least ``size`` tokens: (length, place in item, in text)."""
-    spots: dict[int, list[int]] = {}
-    for i, h in enumerate(_rolled(item, size).tolist()):
-        spots.setdefault(h, []).append(i)
-    hashes = _rolled(doc, size)
-    wanted = np.flatnonzero(np.isin(hashes, np.array(list(spots), np.uint64)))
+    """Maximal unmarked matches of at least ``size`` tokens: (length, place in item, in text).
+
+    Only runs without a marked token are hashed, on either side.
+    """
+    if len(item) < size or len(doc) < size:
+        return []
+    whole = lambda free: np.flatnonzero(np.convolve(free, np.ones(size, np.int64), "valid") == size)
+    starts = whole(free_i)
+    if not len(starts):
+        return []
+    keys = _rolled(item, size)[starts]
+    order = np.argsort(keys, kind="stable")
+    keys, starts = keys[order], starts[order]
+    hashes, at = _rolled(doc, size), whole(free_d)
+    low, high = (np.searchsorted(keys, hashes[at], side=side) for side in ("left", "right"))
+    reps = high - low
+    i = starts[np.repeat(low, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
+    j = np.repeat(at, reps)
+    inside = (i > 0) & (j > 0) & (item[i - 1] == doc[j - 1]) & free_i[i - 1] & free_d[j - 1]  # of a longer match
     found = []
-    for j in wanted.tolist():
-        for i in spots[int(hashes[j])]:
-            if i and j and item[i - 1] == doc[j - 1] and free_i[i - 1] and free_d[j - 1]:
-                continue  # inside a longer match
-            n = min(len(item) - i, len(doc) - j)
-            fits = (item[i : i + n] == doc[j : j + n]) & free_i[i : i + n] & free_d[j : j + n]
-            k = n if fits.all() else int(np.argmin(fits))
-            if k >= size:
-                found.append((k, i, j))
+    for i, j in zip(i[~inside].tolist(), j[~inside].tolist(), strict=True):  # noqa: B020
+        n = min(len(item) - i, len(doc) - j)
+        fits = (item[i : i + n] == doc[j : j + n]) & free_i[i : i + n] & free_d[j : j + n]
+        k = n if fits.all() else int(np.argmin(fits))
+        if k >= size:
+            found.append((k, i, j))
     return found
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: the longest matches first, none overlapping in either text.
+    """Greedy string tiling: the longest match first, of equal ones that first in the item, then in
+    the text; none overlap in either.
 
-    The length looked for starts high and halves; matches longer than twice the length start the
-    search again from theirs, so that long ones are always marked before short ones.
+    The length looked for starts high and halves. Of a match that others have marked in part, the
+    parts still free wait in its place, by their own length.
     """
     free_i, free_d = np.ones(len(item), bool), doc >= 0
     size, made = max(least, min(len(item), 32)), []
-    while True:
-        found = _scan(item, doc, free_i, free_d, size)
-        if found and max(found)[0] > 2 * size:
-            size = max(found)[0]
-            continue
-        marked = False
-        for k, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if free_i[i : i + k].all() and free_d[j : j + k].all():
-                free_i[i : i + k] = free_d[j : j + k] = False
-                made.append((k, i, j))
-                marked = True
-        if marked:
-            continue  # what these tiles cut may still hold matches of this length
+    while free_i.any():
+        waiting = [(-k, i, j) for k, i, j in _scan(item, doc, free_i, free_d, size)]
+        heapq.heapify(waiting)
+        while waiting and free_i.any():
+            k, i, j = heapq.heappop(waiting)
+            free = free_i[i : i - k] & free_d[j : j - k]
+            if free.all():
+                free_i[i : i - k] = free_d[j : j - k] = False
+                made.append((-k, i, j))
+                continue
+            edges = np.flatnonzero(np.diff(free, prepend=False, append=False))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if b - a >= size:
+                    heapq.heappush(waiting, (a - b, i + a, j + a))
         if size == least:
-            return made
+            break
         size = max(least, size // 2)
+    return made
 
 
 class Items:
-    """Benchmark items of one block as numbers, with their seeds in order of hash."""
+    """Benchmark items of one block as numbers, with their seeds in order of hash.
+
+    A seed has ``LEAST`` tokens, or all of an item that has fewer: such an item must stand whole.
+    """
 
     def __init__(self, rows: Sequence[tuple[object, str]]):
         self.vocabulary: dict[str, int] = {}
         self.keys, self.tokens = [], []
         for key, text in rows:
-            found = tokens_of(text or "")
-            if len(found) >= LEAST:
+            if found := tokens_of(text or ""):
                 self.keys.append(key)
                 self.tokens.append(np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in found], np.int64))
-        hashes = [_rolled(t, LEAST) for t in self.tokens]
-        joined = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(joined, kind="stable")
-        self.seeds = joined[order]
-        self.seed_item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
-        self.seed_place = np.concatenate([np.arange(len(h)) for h in hashes])[order] if hashes else order
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(LEAST, len(t)) for t in self.tokens}):
+            mine = [k for k, t in enumerate(self.tokens) if min(LEAST, len(t)) == size]
+            hashes = [_rolled(self.tokens[k], size) for k in mine]
+            joined = np.concatenate(hashes)
+            order = np.argsort(joined, kind="stable")
+            item = np.repeat(mine, [len(h) for h in hashes])[order]
+            self.seeds[size] = joined[order], item, np.concatenate([np.arange(len(h)) for h in hashes])[order]
 
     def matches(self, text: str) -> list[tuple[int, int, int]]:
         """(item, tokens covered, tiles) of the items that the text covers enough."""
         known = self.vocabulary
         ids = np.array([known.get(t, -1) for t in tokens_of(text)], np.int64)
-        if len(ids) < LEAST or not len(self.seeds):
+        return sorted(match for size in self.seeds for match in self._seeded(ids, size))
+
+    def _seeded(self, ids: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+        seeds, seed_item, seed_place = self.seeds[size]
+        if len(ids) < size:
             return []
-        fine = np.convolve(ids >= 0, np.ones(LEAST, np.int64), "valid") == LEAST
-        at = np.flatnonzero(fine)
+        at = np.flatnonzero(np.convolve(ids >= 0, np.ones(size, np.int64), "valid") == size)
         if not len(at):
             return []
-        hashes = _rolled(ids, LEAST)[at]
-        low = np.searchsorted(self.seeds, hashes)
-        high = np.searchsorted(self.seeds, hashes, side="right")
+        hashes = _rolled(ids, size)[at]
+        low = np.searchsorted(seeds, hashes)
+        high = np.searchsorted(seeds, hashes, side="right")
         hit = high > low
         if not hit.any():
             return []
@@ -124,19 +145,19 @@ class Items:
         # The join of seeds: every (place in the text, seed of an item).
         reps = high - low
         seed = np.repeat(low, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        place, item = np.repeat(at, reps), self.seed_item[seed]
+        place, item = np.repeat(at, reps), seed_item[seed]
         found = []
         for k in np.unique(item).tolist():
             mine = item == k
             target = self.tokens[k]
             covered = np.zeros(len(target), bool)
-            covered[(self.seed_place[seed[mine]][:, None] + np.arange(LEAST)).ravel()] = True
+            covered[(seed_place[seed[mine]][:, None] + np.arange(size)).ravel()] = True
             if covered.sum() < COVERAGE * len(target):
                 continue  # tiles are made of seeds, so they cannot cover more
-            used = np.unique((place[mine][:, None] + np.arange(LEAST)).ravel())
+            used = np.unique((place[mine][:, None] + np.arange(size)).ravel())
             # Only text under seeds can be tiled; gaps shrink to one number that matches nothing.
             gaps = np.flatnonzero(np.diff(used) > 1) + 1
-            made = tiles(target, np.insert(ids[used], gaps, -1))
+            made = tiles(target, np.insert(ids[used], gaps, -1), size)
             total = sum(t[0] for t in made)
             if total >= COVERAGE * len(target):
                 found.append((k, total, len(made)))
@@ -158,9 +179,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str], tex
     row per document row and item with a coverage of 0.8 or more.
 
     Whole texts are read once per block of the benchmark, without a shuffle; tiles have five
-    tokens or more and may come in any order, so reordered passages count. Items of fewer than
-    five tokens, NULL and empty texts match nothing; items given twice count once; repeated
-    documents are repeated in the result; empty tables give no rows.
+    tokens or more and may come in any order, so reordered passages count. An item of fewer than
+    five tokens matches where it stands whole; NULL, empty and wordless texts match nothing; items
+    given twice count once; repeated documents are repeated in the result; empty tables give no
+    rows.
     """
     inputs = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("binary").alias("body"))
     kind = benchmark.schema[key].dataType

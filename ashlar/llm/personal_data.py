@@ -43,8 +43,13 @@ CUES = "(?i)(?:mail|tel|phone|fon|call|mobile|cell|fax|card|visa|ip|host|server|
 #: Feature -> number of values; their product bounds the table that training reads.
 FEATURES = {"kind": 4, "digits": 24, "marks": 8, "length": 12, "before": 5, "after": 5, "cue": 2, "plus": 2}
 ROUNDS, DEPTH, RATE, SHRINK = 40, 3, 0.3, 1.0
-#: A score's candidates must be right this often, and be this many, to be chosen.
-PRECISION, SUPPORT = 0.98, 200
+#: Those of them the trees learn from: what tells how a base pattern writes its spans is left out,
+#: so that places and digits carry over to spans written otherwise.
+LEARNED = ["kind", "digits", "length", "before", "after", "cue"]
+#: All candidates together weigh so much, however many there are.
+WEIGHT = 10_000.0
+#: A score's candidates must be right this often to be chosen.
+PRECISION = 0.98
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
@@ -130,8 +135,9 @@ def proposed(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataFr
     """``row`` (the columns ``keep``), ``base`` (valid spans of the base patterns) and ``others``
     (further candidates with features ``f`` and the weak label ``y``). One pass, no shuffle.
 
-    A candidate that equals a valid base span is right (y = 1), any other is not known to be
-    (y = 0). A failing base match is a candidate as well.
+    A candidate that equals a valid base span is right (y = 1), a failing base match is not (y = 0),
+    nor is what only a wide generator proposes; but where a word right before that speaks for it,
+    it may be right and teaches nothing (y NULL).
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.struct(*keep).alias("row"), body.alias("text"))
@@ -153,20 +159,19 @@ def proposed(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataFr
     fine = [F.filter(f"b{i}", _checks(i)) for i in range(len(KINDS))]
     checked = found.select(
         "row", "text", F.array_sort(F.concat(*fine)).alias("base"),
+        F.concat(*[F.col(f"b{i}") for i in range(len(KINDS))]).alias("tried"),
         F.array_distinct(F.concat(*[F.col(f"{c}{i}") for c in "bw" for i in range(len(KINDS))])).alias("all"),
     )
-    return checked.select(
-        "row",
-        "text",
-        "base",
-        F.transform(
-            "all",
-            lambda s: F.struct(
-                s.alias("span"), _features(F.col("text"), s).alias("f"), F.array_contains("base", s).cast("int").alias("y")
-            ),
-        ).alias("all"),
+    featured = checked.select(
+        "row", "text", "base", "tried", F.transform("all", lambda s: F.struct(s.alias("span"), _features(F.col("text"), s).alias("f"))).alias("all")
     )
 
+    def labelled(c: Column) -> Column:
+        y = F.when(F.array_contains("base", c["span"]), 1).when((c["f"]["cue"] == 0) | F.array_contains("tried", c["span"]), 0)
+        return F.struct(c["span"].alias("span"), c["f"].alias("f"), y.alias("y"))
+
+    return featured.select("row", "text", "base", F.transform("all", labelled).alias("all"))
+
 
 def _grown(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
     """A regression tree on gradients: nested (feature, limit, low side, high side) or a value."""
@@ -202,42 +207,47 @@ def _as_column(tree, features: Column) -> Column:
     if isinstance(tree, float):
         return F.lit(tree)
     f, at, low, high = tree
-    name = list(FEATURES)[f]
+    name = LEARNED[f]
     return F.when(features[name] <= at, _as_column(low, features)).otherwise(_as_column(high, features))
 
 
-def fitted(candidates: DataFrame) -> tuple[list, float]:
-    """Trees and the limit of their score, from ``f`` and ``y`` of all candidates.
+def fitted(candidates: DataFrame) -> tuple[list, list[float]]:
+    """Trees and, per kind, the limit of their score, from ``f`` and ``y`` of all labelled candidates.
 
     Only counts per feature vector come to the driver, fewer than the product of the features'
-    ranges however many rows there are. The limit is the lowest score from which on all higher
-    scores together are right often enough; without any such score nothing is chosen.
+    ranges however many rows there are, and only their shares count: the same rows given twice
+    teach the same. A limit is the lowest score from which on all higher scores of the kind together
+    are right often enough; without any such score nothing of the kind is chosen.
     """
-    counts = candidates.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("right")).orderBy("f").collect()
+    vector = F.struct(*[F.col("f").getField(name).alias(name) for name in LEARNED]).alias("f")
+    counts = candidates.filter("y IS NOT NULL").groupBy(vector).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("right")).orderBy("f").collect()
     if not counts:
-        return [], math.inf
-    x = np.array([[r.f[name] for name in FEATURES] for r in counts], np.int64)
+        return [], [math.inf] * len(KINDS)
+    x = np.array([[r.f[name] for name in LEARNED] for r in counts], np.int64)
     n, right = (np.array([r[c] for r in counts], float) for c in ("n", "right"))
+    n, right = n * (WEIGHT / n.sum()), right * (WEIGHT / n.sum())
     margin, trees = np.zeros(len(x)), []
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-margin))
         trees.append(_grown(x, n * p - right, n * p * (1 - p), DEPTH))
         margin += _applied(trees[-1], x)
-    limit, seen, good = math.inf, 0.0, 0.0
-    for score in np.unique(np.round(margin, 9))[::-1]:
-        here = np.round(margin, 9) == score
-        seen, good = seen + n[here].sum(), good + right[here].sum()
-        if good >= PRECISION * seen and seen >= SUPPORT:
-            limit = float(score)
-    return trees, limit
+    limits = [math.inf] * len(KINDS)
+    for kind in range(len(KINDS)):
+        mine = x[:, 0] == kind
+        score, seen, good = np.round(margin[mine], 6), 0.0, 0.0
+        for s in np.unique(score)[::-1]:
+            seen, good = seen + n[mine][score == s].sum(), good + right[mine][score == s].sum()
+            if good >= PRECISION * seen * (1 - 1e-9):
+                limits[kind] = float(s)
+    return trees, limits
 
 
 def found(docs: DataFrame, keep: Sequence[str], text: str = "text", whole: bool = False) -> DataFrame:
     """``row`` (the columns ``keep``), ``base`` and ``spans``: arrays of (start, kind, end, hit) in
     code points, ends exclusive, ordered by start, then kind. ``whole`` keeps ``text`` as well.
 
-    ``spans`` are the base spans and those other candidates that the trees score above the
-    limit and that overlap no base span. NULL and empty texts have none; rows are judged alone,
+    ``spans`` are the base spans and those other candidates that the trees score at the limit of
+    their kind or above and that overlap no base span. NULL and empty texts have none; rows are judged alone,
     so repeated rows get equal spans; an empty table gives no rows.
 
     Texts are searched once; candidates are written to the shared folder, the trees fitted on
@@ -245,8 +255,8 @@ def found(docs: DataFrame, keep: Sequence[str], text: str = "text", whole: bool
     """
     columns = ["row", *(["text"] if whole else []), "base", "all"]
     rows = written(proposed(docs, keep, text).select(*columns), "candidates")
-    trees, limit = fitted(rows.select(F.explode("all").alias("c")).select("c.f", "c.y"))
-    if math.isinf(limit):
+    trees, limits = fitted(rows.select(F.explode("all").alias("c")).select("c.f", "c.y"))
+    if all(map(math.isinf, limits)):
         return rows.withColumn("spans", F.col("base")).drop("all")
 
     def chosen(c: Column) -> Column:
@@ -254,7 +264,8 @@ def found(docs: DataFrame, keep: Sequence[str], text: str = "text", whole: bool
         for tree in trees:
             score = score + _as_column(tree, c["f"])
         apart = F.forall("base", lambda b: (b["start"] >= c["span"]["end"]) | (b["end"] <= c["span"]["start"]))
-        return (c["y"] == 0) & apart & (F.round(score, 9) >= limit)
+        limit = F.element_at(F.array(*map(F.lit, limits)), c["span"]["kind"] + 1)
+        return ~F.coalesce(c["y"] == 1, F.lit(False)) & apart & (F.round(score, 6) >= limit)
 
     more = F.transform(F.filter("all", chosen), lambda c: c["span"])
     return rows.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", more)))).drop("all")

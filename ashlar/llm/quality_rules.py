@@ -17,8 +17,6 @@ RATES = {"symbols": 60, "length": 400, "lines": 250, "repeats": 200}
 TWO_SIDED = ("length",)
 #: Width of the band in distances between the quartiles.
 REACH = 4
-#: A group with fewer rows takes the limits of its language, a small language those of all.
-LEAST_ROWS = 100
 #: Groups whose limits are broadcast; beyond, the join shuffles.
 BROADCAST_GROUPS = 200_000
 SALTS = 32
@@ -126,18 +124,51 @@ def sketched(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def _limits(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Low and high limit of every rate per group, from merged sketches; ``rows`` counts values."""
-    merged = sketches.groupBy(*groups, "rate", "top").agg(F.sum("n").alias("n"))
-    by = ", ".join([*groups, "rate"])
-    ranked = merged.selectExpr(
+def blended(sketches: DataFrame) -> DataFrame:
+    """Per language ``l``, source ``s`` and rate the blended sketch: a weight ``w`` for every bucket ``top``.
+
+    A group's own counts are joined by its language's, which weigh a quarter of the language's
+    average source, and a language's likewise by the corpus'. So a group far below the average
+    mostly follows its language, a large one itself, with no size at which that changes; and the
+    same rows given twice weigh twice on all sides. Weights are whole numbers: all shares are
+    brought to one denominator.
+    """
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    known = F.col("l").eqNullSafe(F.col("l2"))
+    # The corpus has a few thousand buckets at most: 32 per doubling of the value, for each rate.
+    corpus = F.broadcast(sketches.groupBy(F.col("rate").alias("r"), F.col("top").alias("t")).agg(F.sum("n").alias("n_all")))
+    langs = sketches.groupBy("l", "rate", "top").agg(F.sum("n").alias("n_l"))
+    groups = sketches.groupBy("l", "s", "rate").agg(F.sum("n").alias("n_g"))
+    sizes = groups.groupBy("l", "rate").agg(F.sum("n_g").alias("size_l"), F.count(F.lit(1)).alias("sources"))
+    whole = F.broadcast(sizes.groupBy(F.col("rate").alias("r3")).agg(F.sum("size_l").alias("size_all"), F.count(F.lit(1)).alias("langs")))
+    own = langs.select(F.col("l").alias("l2"), F.col("rate").alias("r2"), F.col("top").alias("t2"), "n_l")
+    by_lang = (
+        sizes.join(whole, F.col("rate") == F.col("r3"))
+        .join(corpus, F.col("rate") == F.col("r"))
+        .join(own, known & (F.col("rate") == F.col("r2")) & (F.col("t") == F.col("t2")), "left")
+        .select(
+            F.col("l").alias("l2"), F.col("rate").alias("r2"), F.col("t").alias("top"), "size_l", "sources",
+            (4 * wide("langs") * F.coalesce(wide("n_l"), F.lit(0)) + wide("n_all")).alias("m"),
+            (4 * wide("langs") * wide("size_l") + wide("size_all")).alias("size_m"),
+        )
+    )
+    mine = sketches.select(F.col("l").alias("l4"), F.col("s").alias("s4"), F.col("rate").alias("r4"), F.col("top").alias("t4"), "n")
+    met = F.col("l").eqNullSafe(F.col("l4")) & F.col("s").eqNullSafe(F.col("s4")) & (F.col("rate") == F.col("r4")) & (F.col("top") == F.col("t4"))
+    weight = 4 * wide("sources") * wide("size_m") * F.coalesce(wide("n"), F.lit(0)) + wide("size_l") * wide("m")
+    return groups.join(by_lang, known & (F.col("rate") == F.col("r2"))).join(mine, met, "left").select("l", "s", "rate", "top", weight.alias("w"))
+
+
+def thresholds(rows: DataFrame) -> DataFrame:
+    """Low and high limit of every rate per (language, source), from the quartiles of its blended sketch."""
+    fine = written(sketched(rows.withColumnsRenamed({"lang": "l", "source": "s"}), ["l", "s"]), "sketches")
+    ranked = blended(fine).selectExpr(
         "*",
-        f"sum(n) OVER (PARTITION BY {by} ORDER BY top ROWS UNBOUNDED PRECEDING) AS upto",
-        f"sum(n) OVER (PARTITION BY {by}) AS rows",
+        "sum(w) OVER (PARTITION BY l, s, rate ORDER BY top ROWS UNBOUNDED PRECEDING) AS upto",
+        "sum(w) OVER (PARTITION BY l, s, rate) AS whole",
     )
-    quartiles = ranked.groupBy(*groups, "rate", "rows").agg(
-        F.min(F.when(4 * F.col("upto") >= F.col("rows"), F.col("top"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("rows"), F.col("top"))).alias("q3"),
+    quartiles = ranked.groupBy("l", "s", "rate").agg(
+        F.min(F.when(4 * F.col("upto") >= F.col("whole"), F.col("top"))).alias("q1"),
+        F.min(F.when(4 * F.col("upto") >= 3 * F.col("whole"), F.col("top"))).alias("q3"),
     )
     least = F.create_map(*[F.lit(x) for item in RATES.items() for x in item])
     band = F.greatest(REACH * (F.col("q3") - F.col("q1")), F.element_at(least, F.col("rate")))
@@ -149,31 +180,14 @@ def _limits(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
             F.max(F.when(mine, low)).alias(f"low_{name}"),
             F.max(F.when(mine, F.col("q3") + band)).alias(f"high_{name}"),
         ]
-    return quartiles.groupBy(*groups).agg(F.max("rows").alias("rows"), *found)
-
-
-def thresholds(rows: DataFrame) -> DataFrame:
-    """Limits per (language, source), small groups taking their language's or the corpus's."""
-    fine = written(sketched(rows.withColumnsRenamed({"lang": "l", "source": "s"}), ["l", "s"]), "sketches")
-    names = [f"{side}_{name}" for name in RATES for side in ("low", "high")]
-    whole = _limits(fine, []).first()
-    rest = whole.asDict() if whole else {}
-    by_lang = _limits(fine, ["l"])
-    by_lang = by_lang.select(
-        F.col("l").alias("l2"),
-        *[F.when(F.col("rows") >= LEAST_ROWS, F.col(n)).otherwise(F.lit(rest.get(n)).cast("bigint")).alias(f"{n}_2") for n in names],
-    )
-    both = _limits(fine, ["l", "s"]).join(by_lang, F.col("l").eqNullSafe(F.col("l2")), "left")
-    return both.select(
-        "l", "s", *[F.when(F.col("rows") >= LEAST_ROWS, F.col(n)).otherwise(F.col(f"{n}_2")).alias(n) for n in names]
-    )
+    return quartiles.groupBy("l", "s").agg(*found)
 
 
 def judged(docs: DataFrame, keep: Sequence[str], text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``row`` (the columns ``keep``) with the counts, ``base_failed`` and ``kept``.
 
     A row is kept unless the base rule fails or a rate lies outside its group's limits, the
-    quartiles widened by four distances between them or the least width, whichever is more.
+    quartiles of its sketch, blended with its language's and the corpus', widened by four distances between them or the least width, whichever is more.
     Counts and quartiles cover all rows that pass the base rule. NULL language or source is a
     group like any other; an empty text fails the base rule; an empty table gives no rows;
     repeated rows are judged alike.

@@ -4,7 +4,8 @@ The pages of a host are laid over one another. A node of the merged tree is a pa
 it has an importance from two entropies: how differently pages lay out its children, and how
 evenly its texts are spread over pages. What is laid out alike and says the same on every page
 is furniture. Branches of low importance go. What an element says of itself comes first:
-navigation, asides, forms and the like go on every page. Being within an article or main element is
+navigation, asides, forms and the like go on every page, and so does what a whole class, id or role
+names so, but for headings. Being within an article or main element is
 a prior only: such branches go as well, but below a lower limit.
 """
 
@@ -43,19 +44,25 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"},
 }
-#: Fixed words in class, id or role that name furniture.
-SAYS = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|menu|nav|navbar"
-    r"|navigation|breadcrumb|breadcrumbs|sidebar|side|footer|cookie|cookies|consent|notice|notices|alert|popup|modal|newsletter"
-    r"|subscribe|signup|login|share|sharing|social|related|recommended|comment|comments|reply|replies|disqus|widget|toolbar"
-    r"|search|skip|masthead|complementary|contentinfo)(?:[^a-z]|$)"
+#: Fixed words of class, id and role: those that name furniture, and those that may stand beside them.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation"
+    " breadcrumb breadcrumbs sidebar side footer cookie cookies consent notice notices alert popup modal newsletter subscribe"
+    " signup login share sharing social related recommended comment comments reply replies disqus widget toolbar search skip"
+    " masthead complementary contentinfo".split()
 )
+BESIDE = frozenset(
+    "area bar bottom box button buttons container content div form global group header holder icon icons inner item items left"
+    " link links list main mobile outer panel post posts primary right row secondary section site slot sticky thread top unit"
+    " wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>|[^<]+|<", re.S
 )
 #: Parts of class and id values that number pages, and ids that are made of a page's title.
 _NUMBER, _SLUG = re.compile(r"[0-9]+"), re.compile(r"[^-_]+(?:[-_]+[^-_]+){2,}|.{25,}", re.S)
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w.:-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
 def _shared(name: str, value: str) -> str:
@@ -63,6 +70,16 @@ def _shared(name: str, value: str) -> str:
     return "#" if name == "id" and _SLUG.fullmatch(value) else _NUMBER.sub("#", value)
 
 
+def says(value: str) -> bool:
+    """Whether a class, id or role names furniture: one of its names has a word for it and no word of
+    another kind, so ``related-posts`` does and ``related-work`` does not."""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if any(w in NAMES for w in words) and all(w in NAMES or w in BESIDE for w in words):
+            return True
+    return False
+
+
 class _Open:
     __slots__ = ("name", "path", "furniture", "main", "children")
 
@@ -135,13 +152,11 @@ def parsed(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]
             close(len(stack) - 1)  # a block ends an open paragraph
         parent = stack[-1]
         named = [(v[0].lower(), (v[1] or v[2] or v[3]).lower()) for v in _NAMED.findall(m.group(3))] if m.group(3) else []
-        said = " ".join(f"{k}={v}" for k, v in named)
-        furniture = parent.furniture or name in FURNITURE or bool(said and SAYS.search(" ".join(p.partition("=")[2] for p in said.split(" ")))) or (
-            name == "header" and not parent.main
-        )
+        told = name not in HEADINGS and any(says(v) for _, v in named)
+        furniture = parent.furniture or name in FURNITURE or told or (name == "header" and not parent.main)
         step = f"{name}[{' '.join(f'{k}={_shared(k, v)}' for k, v in named)}]" if named else name
         parent.children.append(step)
-        stack.append(_Open(name, f"{parent.path}/{step}", furniture, parent.main or name in MAIN or "role=main" in said))
+        stack.append(_Open(name, f"{parent.path}/{step}", furniture, parent.main or name in MAIN or ("role", "main") in named))
     close(1)
     flush()
     return blocks, nodes

@@ -54,33 +54,41 @@ QUALITY = (
         SELECT lang, source, rate, least, v | ((1::BIGINT << greatest(0, length(bin(v)) - 6)) - 1) AS top
         FROM rates WHERE NOT base_failed
     ),
+    counts AS (SELECT lang, source, rate, top, count(*)::HUGEINT AS n FROM tops GROUP BY ALL),
+    groups AS (SELECT lang, source, rate, any_value(least) AS least FROM tops GROUP BY lang, source, rate),
+    sizes AS (SELECT lang, rate, sum(n)::HUGEINT AS size_l, count(DISTINCT coalesce('=' || source, ''))::HUGEINT AS sources FROM counts GROUP BY lang, rate),
+    whole AS (SELECT rate, sum(size_l)::HUGEINT AS size_all, count(*)::HUGEINT AS langs FROM sizes GROUP BY rate),
+    corpus AS (SELECT rate, top, sum(n)::HUGEINT AS n_all FROM counts GROUP BY rate, top),
+    -- A language's sketch and a quarter of an average language of the corpus; of a group and its language alike.
+    by_lang AS (
+        SELECT s.lang, s.rate, c.top, size_l, sources, 4 * langs * coalesce(n_l, 0) + n_all AS m, 4 * langs * size_l + size_all AS size_m
+        FROM sizes AS s JOIN whole USING (rate) JOIN corpus AS c USING (rate)
+             LEFT JOIN (SELECT lang, rate, top, sum(n)::HUGEINT AS n_l FROM counts GROUP BY lang, rate, top) AS x
+               ON x.lang IS NOT DISTINCT FROM s.lang AND x.rate = s.rate AND x.top = c.top
+    ),
+    weighed AS (
+        SELECT g.lang, g.source, g.rate, g.least, b.top, 4 * sources * size_m * coalesce(n, 0) + size_l * m AS w
+        FROM groups AS g JOIN by_lang AS b ON b.lang IS NOT DISTINCT FROM g.lang AND b.rate = g.rate
+             LEFT JOIN counts AS x
+               ON x.lang IS NOT DISTINCT FROM g.lang AND x.source IS NOT DISTINCT FROM g.source AND x.rate = g.rate AND x.top = b.top
+    ),
     ranked AS (
-        SELECT *, row_number() OVER (PARTITION BY level, l, s, rate ORDER BY top) AS k,
-               count(*) OVER (PARTITION BY level, l, s, rate) AS n
-        FROM (
-            SELECT 1 AS level, lang AS l, source AS s, rate, least, top FROM tops
-            UNION ALL SELECT 2, lang, NULL, rate, least, top FROM tops
-            UNION ALL SELECT 3, NULL, NULL, rate, least, top FROM tops
-        )
+        SELECT *, sum(w) OVER (PARTITION BY lang, source, rate ORDER BY top) AS upto, sum(w) OVER (PARTITION BY lang, source, rate) AS total
+        FROM weighed
     ),
     limits AS (
-        SELECT level, l, s, rate, n, q1 - greatest(4 * (q3 - q1), least) AS below, q3 + greatest(4 * (q3 - q1), least) AS above
+        SELECT lang, source, rate, q1 - greatest(4 * (q3 - q1), least) AS below, q3 + greatest(4 * (q3 - q1), least) AS above
         FROM (
-            SELECT level, l, s, rate, any_value(n) AS n, any_value(least) AS least,
-                   min(top) FILTER (4 * k >= n) AS q1, min(top) FILTER (4 * k >= 3 * n) AS q3
-            FROM ranked GROUP BY level, l, s, rate
+            SELECT lang, source, rate, any_value(least) AS least,
+                   min(top) FILTER (4 * upto >= total) AS q1, min(top) FILTER (4 * upto >= 3 * total) AS q3
+            FROM ranked GROUP BY lang, source, rate
         )
     ),
-    -- The first level with at least 100 rows decides, or all rows together.
     decided AS (
         SELECT r, bool_and(coalesce(v <= above, true) AND (NOT low OR coalesce(v >= below, true))) AS within
-        FROM (
-            SELECT x.r, x.rate, x.v, x.low, arg_min(above, level) AS above, arg_min(below, level) AS below
-            FROM rates AS x LEFT JOIN limits AS y
-              ON x.rate = y.rate AND (n >= 100 OR level = 3)
-             AND (level = 3 OR x.lang IS NOT DISTINCT FROM y.l) AND (level > 1 OR x.source IS NOT DISTINCT FROM y.s)
-            GROUP BY x.r, x.rate, x.v, x.low
-        ) GROUP BY r
+        FROM rates AS x LEFT JOIN limits AS y
+          ON x.rate = y.rate AND x.lang IS NOT DISTINCT FROM y.lang AND x.source IS NOT DISTINCT FROM y.source
+        GROUP BY r
     )
     SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
            n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,

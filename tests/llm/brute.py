@@ -100,3 +100,21 @@ def spans(text):
     for k, (kind, pattern, fine) in enumerate(kinds):
         found += [(m.start(), k, kind, m.end()) for m in re.finditer(pattern, text) if fine(m.group())]
     return [(kind, s, e) for s, k, kind, e in sorted(found)]
+
+
+def shingle_groups(texts, size=5, least=0.8):
+    """Index of each text's component; links of all pairs of texts whose shingle sets are similar."""
+    sets = []
+    for text in texts:
+        w = words(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        k = min(size, len(w))
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset())
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            alike = a == b or (min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b))
+            if alike and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label

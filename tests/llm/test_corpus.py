@@ -134,6 +134,15 @@ def test_quality_limits_follow_the_group(spark):
     assert not kept[5000] and kept[5002]
 
 
+def test_quality_is_the_same_for_rows_given_twice(spark):
+    docs = queries.documents(spark, FOLDER)
+    once = {r.doc_id: r.kept for r in quality_rules.judged(docs, ["doc_id"]).select("row.doc_id", "kept").collect()}
+    for times in (2, 7):
+        again = docs.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        found = quality_rules.judged(again, ["doc_id"]).select("row.doc_id", "kept").collect()
+        assert len(found) == times * len(once) and all(once[r.doc_id] == r.kept for r in found)
+
+
 def test_quality_salted_join_gives_the_same(spark, monkeypatch):
     docs = queries.documents(spark, FOLDER)
     plain_join = quality_rules.judged(docs, ["doc_id"]).select("row.doc_id", "kept").collect()
@@ -220,6 +229,18 @@ def test_repeats_awkward(spark, awkward, held, monkeypatch):
     assert all(sha(r.kept) == r.kept_sha256 for r in found)
 
 
+def test_repeats_with_a_saturated_sketch(spark, plain, monkeypatch):
+    """With 64 cells all windows pass the sketch; all go the exact way, and nothing changes."""
+    monkeypatch.setattr(substring_dedup, "LEAST_BITS", 6)
+    monkeypatch.setattr(substring_dedup, "MOST_BITS", 6)
+    passed, real = [], substring_dedup.decided
+    monkeypatch.setattr(substring_dedup, "decided", lambda rows: passed.append(rows.selectExpr("sum(length(hashes) div 12 + run)").first()[0]) or real(rows))
+    found = result(spark, "op6")
+    assert brute.removed(plain.text) == list(zip(found.n_words, found.n_removed, found.kept_sha256, strict=True))
+    windows = sum(max(0, len(brute.words(t)) - substring_dedup.WINDOW + 1) for t in plain.text)
+    assert passed[0] >= 0.99 * windows
+
+
 def test_sketch_never_underestimates(spark):
     """A sketch with far too few cells only sends more windows on."""
     rng = random.Random(3)
@@ -275,6 +296,32 @@ def test_trees_accept_what_looks_like_the_base(spark):
     assert all(r.s >= 1 for r in sizes) and sum(r.b == 0 for r in sizes) == 10
 
 
+def spans_by_row(spark, rows, times=1):
+    docs = spark.createDataFrame(rows * times, "doc_id long, text string").repartition(4)
+    found = personal_data.found(docs, ["doc_id"], whole=True)
+    hits = F.transform("spans", lambda s: s["hit"])
+    return [(r.doc_id, tuple(r.hits)) for r in found.select("row.doc_id", hits.alias("hits")).collect()]
+
+
+def test_spans_written_otherwise_are_found(spark):
+    """Written-out addresses and telephone groups behind the words that announce plain ones are added, all
+    and nothing else, whatever share of the corpus they are; rows given twice are judged as once."""
+    rng = random.Random(12)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    rows, expected = [], {}
+    for i in range(1000):
+        mail = f"ann{i} (at) host{i % 9} (dot) example (dot) org" if i % 2 else f"ann{i}@host{i % 9}.example.org"
+        phone = f"030 {digits(4)} {digits(4)}" if i % 4 < 2 else f"+49 30 {digits(7)}"
+        rows.append((i, f"order 12-34-567 of 2021-10-{i % 28 + 1:02d}, mail {mail} or call {phone} today, page 10.20.30 line 77"))
+        expected[i] = (mail, phone)
+    found = spans_by_row(spark, rows)
+    assert dict(found) == expected
+    assert sorted(set(spans_by_row(spark, rows, 2))) == sorted(found)
+    few = spans_by_row(spark, rows[:40])
+    assert dict(few) == {i: expected[i] for i in range(40)}
+    assert sorted(set(spans_by_row(spark, rows[:40], 5))) == sorted(few)
+
+
 def test_fingerprints_and_components(spark, plain):
     found = result(spark, "op8")
     prints = [brute.fingerprint(t) for t in plain.text]
@@ -446,7 +493,7 @@ def test_pipeline(spark, plain, tmp_path):
             after = {r.doc_id: r.text for r in left.select("doc_id", "text").collect()}
         if i == 1:
             keys = sorted(before)
-            label = brute.components([brute.fingerprint(before[k]) for k in keys])
+            label = brute.shingle_groups([before[k] for k in keys])
             assert sorted(after) == sorted({k: None for k in (keys[j] for j in sorted(set(label)))})
         if i == 3:
             assert all(not brute.spans(t) for t in after.values())

@@ -1,6 +1,9 @@
 """Main text where the merged trees have to decide."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
 from ashlar.llm import site_style
 
@@ -51,3 +54,59 @@ def test_trees_decide_in_and_beside_an_article(spark):
     assert all(found[i] == f"title {i}\n\ntext {i}\n\naside {i}" for i in range(30))
     assert all(found[50 + i] == f"body {i}" for i in range(30))
     assert found[90] == "Our offer of the day"
+
+
+def test_names_are_a_prior_for_whole_names_only(spark):
+    """Headings and sections that merely share a word with furniture stay, and so do other attributes."""
+    page = (
+        "<body><article><h2 id='related-work'>Related work</h2><p>first</p><section class='side-effects'><h3>Side effects</h3><p>second</p>"
+        '</section><h2 id="sharing-memory">Sharing memory</h2><p data-id="comments" data-role=menu>third</p>'
+        "<div class='related-posts'>Read this, too</div><div class=\"comment-list item-3\">I agree</div></article></body>"
+    )
+    found = texts(spark, [(1, "http://a.example/", page)])
+    assert found[1] == "Related work\n\nfirst\n\nSide effects\n\nsecond\n\nSharing memory\n\nthird"
+
+
+def test_stray_quotes_end_with_their_tag():
+    said = lambda page: " ".join(b[2] for b in site_style.parsed(page)[0])
+    assert said("<p>see <a href=x title=don't>this</a> and <b title='a > b' id=\"c>d\">that</b></p>") == "see this and that"
+    assert said('<p class="x>open</p><p>1 < 2 and 3 > 2</p>') == "open 1 < 2 and 3 > 2"
+    assert said("<p " + "a='b' " * 5000) != ""
+
+
+def plain_importance(rows):
+    """Entropies by loops: host -> node -> importance, of distinct pages."""
+    found = {}
+    for host in {h for h, _ in rows}:
+        pages = {tuple(site_style.parsed(page)[0]): site_style.parsed(page) for h, page in rows if h == host}
+        there, styles, said = {}, {}, {}
+        for blocks, nodes in pages.values():
+            for path in {n[0] for n in nodes}:
+                there[path] = there.get(path, 0) + 1
+            for path, style in nodes:
+                styles.setdefault(path, []).append(style)
+            for path, _, text in blocks:
+                said.setdefault(path, []).append(text)
+        for path, all_styles in styles.items():
+            m = len(all_styles)
+            entropy = -sum(all_styles.count(s) / m * math.log(all_styles.count(s) / m) for s in set(all_styles))
+            layout = entropy / math.log(m) if m > 1 else 1.0
+            mine = said.get(path, [])
+            content = 1 - sum(math.log(mine.count(t)) for t in mine) / len(mine) / math.log(m) if m > 1 and mine else 0.0
+            found[site_style._number(host, path)] = max(layout, content) if there[path] > 1 else 1.0
+    return found
+
+
+def test_importance_equals_plain_entropies(spark):
+    rows = []
+    for i in range(12):
+        extra = "<ul><li>a</li><li>b</li></ul>" if i % 3 else ""
+        rows.append(("one.example", f"<body><div class=top>Same</div><article><h1>t{i % 5}</h1><p>text {i}</p>{extra}</article><div>{i % 2}</div></body>"))
+    rows += [rows[0], rows[1]] + [("two.example", "<body><p>alone</p></body>")] * 3
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(rows)], "page_id long, url string, html string")
+    trees = site_style.trees(pages, ["page_id"]).withColumn("page", F.col("row.page_id"))
+    found = {r.node: r.importance for r in site_style.importance(trees).collect()}
+    expected = plain_importance(rows)
+    assert found.keys() == expected.keys() and len(found) > 8
+    for node, value in expected.items():
+        assert found[node] == pytest.approx(value, abs=1e-12)
