@@ -56,17 +56,19 @@ def find_features(
     The result owns them: close it when all results are read.
     """
     table = rectangularize(read_lines(spark, path), header)
-    stats = fit(table.rows, table.names, moments=True)
     leading = list(ids if ids is not None else table.names[:6])
     results = Features()
     if not stage:
         rows = typed = scaled = labeled = table.rows
         shown = {c: c for c in leading}
+        stats = fit(rows, table.names, moments=True)
     else:
-        results.staged = Staged(table.rows, "rows", of_type(stats))
+        # All columns are tried for numbers, in the one pass over the text; the fit reads these.
+        results.staged = Staged(table.rows, "rows", table.names)
+        stats = fit(results.staged.typed(), table.names, moments=True)
         # Identifying columns and numeric labels are shown as they stood in the text.
         shown = {f"__text{i}": c for i, c in enumerate(leading)}
-        rows, typed = results.staged.rows, results.staged.typed()
+        rows, typed = results.staged.rows, results.staged.typed(of_type(stats))
         scaled = results.staged.typed(of_type(stats, SCALED_TYPES))
         labeled = results.staged.typed(text={c: t for t, c in shown.items()})
     results |= features_of(typed, "row_id", table.names, None, interval, feature, low, high, stats)

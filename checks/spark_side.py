@@ -22,6 +22,7 @@ from ashlar.sources.tables import read_table, staged
 Query = Callable[[SparkSession, str], DataFrame]
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 LINEITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 PART = ["p_partkey", "p_size", "p_retailprice"]
@@ -214,6 +215,13 @@ def _independence(spark, folder, p_value: bool = False):
     return shown(found, places={"p_value": 4})
 
 
+def _independence_of_counts(spark, folder):
+    """Customers by nation and segment, which have nothing to do with each other: a p-value between."""
+    cells = [F.count_if(F.col("c_mktsegment") == s).alias(f"n{i}") for i, s in enumerate(SEGMENTS)]
+    counts = table(spark, folder, "customer").groupBy("c_nationkey").agg(*cells)
+    return shown(relate.chi2_independence(counts, [f"n{i}" for i in range(len(SEGMENTS))]), places={"p_value": 2})
+
+
 def _gof(spark, folder, p_value: bool = False):
     customer = table(spark, folder, "customer")
     found = relate.chi2_gof(customer, ["c_nationkey", "c_acctbal"], p_value=p_value)
@@ -389,15 +397,28 @@ def _look_alike_salted(spark, folder):
     return table(spark, folder, "customer").select("c_custkey", look_alike(F.col("c_name"), "grain").alias("c_name"))
 
 
-def _sorted_rank(spark, folder):
-    """Each row's place in the ordered result: partitions in order, rows in order within them."""
-    ordered = normalize.sort_rows(_norms(spark, folder), "c_custkey", "l1_norm", ascending=False)
+def _ranked(ordered: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row's place in an ordered result: partitions in order, rows in order within them."""
     # The id holds the partition above 33 bits and the row's place in it below.
-    placed = staged(ordered.select("c_custkey", F.monotonically_increasing_id().alias("at")), "ranked")
+    placed = staged(ordered.select(*keys, F.monotonically_increasing_id().alias("at")), "ranked")
     sizes = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
     before = sizes.selectExpr("part", "sum(n) OVER (ORDER BY part ROWS UNBOUNDED PRECEDING) - n AS before")
     found = placed.join(before, F.shiftright("at", 33) == F.col("part"))
-    return found.selectExpr("c_custkey", f"(at & {2**33 - 1}) + before + 1 AS rank")
+    return found.selectExpr(*[f"`{k}`" for k in keys], f"(at & {2**33 - 1}) + before + 1 AS rank")
+
+
+def _sorted_rank(spark, folder):
+    return _ranked(normalize.sort_rows(_norms(spark, folder), "c_custkey", "l1_norm", ascending=False), ["c_custkey"])
+
+
+def _scan_rank(order: str) -> Query:
+    """The place of every hit in the row-major or column-major scan."""
+
+    def run(spark, folder):
+        hits = outliers.scan(table(spark, folder, "events"), "event_id", EVENTS, "OUTLIER", "MEAN", -1.0, 1.0, order)
+        return _ranked(hits, ["event_id", "column"])
+
+    return run
 
 
 def _ks_draws(spark, folder):
@@ -500,6 +521,7 @@ def _data_maker_program(spark, folder):
     return made["check"].select(
         "column", "count", "spec_mean", "spec_variance",
         (F.abs("mean_error") < 6).alias("mean_is_near"),
+        (F.abs(F.col("variance") / F.col("spec_variance") - 1) < 6 * F.sqrt(2 / F.col("count"))).alias("variance_is_near"),
         F.lit(made["preview"].count()).cast("bigint").alias("n_preview"),
     )
 
@@ -554,6 +576,7 @@ QUERIES: dict[str, Query] = {
     "correlated_pairs_half": _corr_pairs_half,
     "chi2_independence": _independence,
     "chi2_independence_p_value": lambda s, d: _independence(s, d, True),
+    "chi2_independence_of_counts": _independence_of_counts,
     "chi2_goodness_of_fit": _gof,
     "chi2_goodness_of_fit_p_value": lambda s, d: _gof(s, d, True),
     "ks_normal_events": _ks,
@@ -586,6 +609,8 @@ QUERIES: dict[str, Query] = {
     "scan_outlier_mean": _scan("OUTLIER", "MEAN", -1.5, 1.5),
     "scan_outlier_median": _scan("OUTLIER", "MEDIAN", -3.0, 3.0),
     "scan_outlier_mode": _scan("OUTLIER", "MODE", -1.0, 3.0, "column"),
+    "scan_rows_ranked": _scan_rank("row"),
+    "scan_columns_ranked": _scan_rank("column"),
     "scan_outlier_none": _scan("OUTLIER", "NONE", -3.0, 3.0),
     "scan_fallback_options": _scan("sideways", "NONE", 0.8, 0.2),
     # Anonymization

@@ -8,7 +8,7 @@ from ashlar.functions.numbers import (
     NORMAL_SCALE,
     NORMAL_SWITCH,
 )
-from checks.spark_side import CUSTOMER, EVENTS, LINEITEM, MEANS, ORDERS, PART, SEED, VARIANCES
+from checks.spark_side import CUSTOMER, EVENTS, LINEITEM, MEANS, ORDERS, PART, SEED, SEGMENTS, VARIANCES
 
 TEXT = {"c_name", "c_mktsegment", "o_orderstatus", "o_orderpriority"}
 
@@ -458,11 +458,11 @@ LABELED = norms("events", EVENTS[1:], ["event_id", "event_type"])
 
 
 
-def chi2_tail(inner: str, keep: list[str]) -> str:
-    """The cube-root normal approximation of the tail, to the four decimals asked for."""
+def chi2_tail(inner: str, keep: list[str], places: int = 4) -> str:
+    """The cube-root normal approximation of the tail; middle values are good to two decimals."""
     z = "((pow(statistic / df, 1.0 / 3) - 1 + 2.0 / (9 * df)) / sqrt(2.0 / (9 * df)))"
     tail = f"SELECT *, {normal_cdf('-(' + z + ')')} AS p_value FROM ({inner}) s"
-    return show(tail, keep, sig=["statistic"], places={"p_value": 4})
+    return show(tail, keep, sig=["statistic"], places={"p_value": places})
 
 
 def ks_tail(inner: str) -> str:
@@ -733,11 +733,24 @@ ORACLES["norms_sorted_rank"] = f"""SELECT c_custkey, row_number() OVER (ORDER BY
 ORACLES["ks_normal_p_value_draws"] = ks_finite_tail(
     f"WITH draws AS ({synthetic()}) " + union(f"SELECT * FROM ({ks('draws', f'num_{j}')}) k" for j in range(3))
 )
+ORACLES["chi2_independence_of_counts"] = chi2_tail(
+    independence(
+        "(SELECT {} FROM customer GROUP BY c_nationkey)".format(
+            ", ".join(f"count(*) FILTER (c_mktsegment = '{s}')::DOUBLE AS n{i}" for i, s in enumerate(SEGMENTS))
+        ),
+        [f"n{i}" for i in range(len(SEGMENTS))],
+    ),
+    ["df", "zero_rows"],
+    places=2,
+)
+HITS = scan("OUTLIER", "MEAN", -1.0, 1.0)
+ORACLES["scan_rows_ranked"] = f"""SELECT event_id, "column", row_number() OVER (ORDER BY event_id, col_idx) AS rank FROM ({HITS}) h"""
+ORACLES["scan_columns_ranked"] = f"""SELECT event_id, "column", row_number() OVER (ORDER BY col_idx, event_id) AS rank FROM ({HITS}) h"""
 ORACLES["feature_finder"] = feature_finder()
 ORACLES["anonymizer_program"] = anonymizer_program()
 ORACLES["data_maker_program"] = union(
     f"""SELECT 'num_{j}' AS "column", count(*) AS "count", {m}::DOUBLE AS spec_mean, {v}::DOUBLE AS spec_variance,
-               true AS mean_is_near, 5::BIGINT AS n_preview FROM orders"""
+               true AS mean_is_near, true AS variance_is_near, 5::BIGINT AS n_preview FROM orders"""
     for j, (m, v) in enumerate(zip(MEANS, VARIANCES))
 )
 # The typed table keeps the line's names, not the source's.
