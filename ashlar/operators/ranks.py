@@ -102,6 +102,12 @@ def _between(value: Column, low: float | None, high: float | None) -> Column:
     return test
 
 
+def _inside(name: str, low: float | None, high: float | None) -> str:
+    """The same as SQL, of a column of numbers."""
+    ends = [f"`{name}` {sign} double('{end!r}')" for sign, end in ((">", low), ("<", high)) if end is not None]
+    return " AND ".join(ends) or "true"
+
+
 def _reachable(df: DataFrame, name: str, s: _Search) -> Column:
     """Whether a row's value can lie in the interval, asked of the bare column, so that the scan can
     skip blocks of rows: a NULL counts as 0.0, and so do text without a number, NaN and infinity."""
@@ -124,28 +130,23 @@ def narrowing_scan(df: DataFrame, open_: dict[str, _Search], limit: int) -> Data
     Sketches are merged by group, in as many tasks as there are groups; no task sees all of them.
     """
     rows = df.filter(reduce(lambda a, b: a | b, [_reachable(df, c, s) for c, s in open_.items()]))
-    view = numeric_view(rows, list(open_))
-    inner = [F.when(_between(named(c), s.low, s.high) & _between(named(c), *s.guess), named(c)).alias(f"__kept{i}") for i, (c, s) in enumerate(open_.items())]
-    view = view.select("*", F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("__group"), *inner)
-    # As text: one call to Spark instead of hundreds.
-    shares = "array(" + ", ".join(f"{(j + 0.5) / POINTS!r}D" for j in range(POINTS)) + ")"
-    parts = []
+    # As text: one call to Spark a column instead of hundreds.
+    shares = ",".join(repr((j + 0.5) / POINTS) for j in range(POINTS))
+    view = numeric_view(rows, list(open_)).withColumn("__group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    kept = [f"CASE WHEN {_inside(c, s.low, s.high)} AND {_inside(c, *s.guess)} THEN `{c}` END AS __kept{i}" for i, (c, s) in enumerate(open_.items())]
+    view, parts = view.selectExpr("*", *kept), []
     for i, (name, s) in enumerate(open_.items()):
-        value, (low, high) = named(name), s.guess
-        held = _between(value, s.low, s.high)
-        kept = F.col(f"__kept{i}")
-        tests = [F.lit(False) if end is None else held & test for end, test in ((low, value < low), (low, value <= low), (high, value < high), (high, value <= high))]
-        counts = [F.count_if(t).alias(c) for t, c in zip(tests, ("under_low", "upto_low", "under_high", "upto_high"))]
-        exact = s.held <= limit
-        points = F.lit(None) if exact else F.expr(f"percentile_approx(__kept{i}, {shares}, {ACCURACY})")
-        values = F.collect_list(kept) if exact else F.lit(None)
-        parts.append(
-            F.struct(
-                F.lit(i).alias("i"), *counts, F.count(kept).alias("n"), F.lit(s.wanted).cast("bigint").alias("wanted"),
-                F.lit(low is not None).alias("counted"), points.cast("array<double>").alias("points"), values.cast("array<double>").alias("held"),
-            )
-        )
-    each = view.groupBy("__group").agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
+        counts = []
+        for end, side in zip(s.guess, ("low", "high")):
+            for sign, how in (("<", "under"), ("<=", "upto")):
+                test = "false" if end is None else f"{_inside(name, s.low, s.high)} AND `{name}` {sign} double('{end!r}')"
+                counts.append(f"count_if({test}) AS {how}_{side}")
+        points, held = f"percentile_approx(__kept{i}, cast(split('{shares}', ',') AS array<double>), {ACCURACY})", "CAST(NULL AS array<double>)"
+        if s.held <= limit:
+            points, held = held, f"collect_list(__kept{i})"
+        counts += [f"count(__kept{i}) AS n", f"{s.wanted}L AS wanted", f"{str(s.guess[0] is not None).lower()} AS counted"]
+        parts.append(f"struct({i} AS i, {', '.join(counts)}, {points} AS points, {held} AS held)")
+    each = view.groupBy("__group").agg(F.expr(f"array({', '.join(parts)}) AS parts")).select(F.inline("parts"))
     totals = [F.sum(c).alias(c) for c in ("under_low", "upto_low", "under_high", "upto_high")]
     sketch = F.when(F.col("points").isNotNull() & (F.col("n") > 0), F.struct("n", "points"))
     merged = each.groupBy("i", "wanted", "counted").agg(
