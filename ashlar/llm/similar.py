@@ -6,10 +6,9 @@ fingerprints are made, each of three bands that vantage-point trees search with
 them with a chance of about 0.15 and all 27 bands with 0.99; more similar ones sooner. What is
 found is a proposal only: shingle sets are compared before anything counts as a link.
 
-Of a dense group a search proposes each text's nearest ones and trees that span all it met. The
-trees of the first print are compared first; of the rest only pairs that no link has joined by then.
-So many copies of one text cost a few comparisons each, and where a group is loose, so that most
-comparisons fail, every text still has its nearest ones compared.
+What the searches join are clusters. Within a cluster every two texts that no link has joined are
+compared, whichever search met them. So many copies of one text cost a few comparisons each; where
+a cluster is loose, so that most comparisons fail, their number grows with its square.
 """
 
 from __future__ import annotations
@@ -34,13 +33,21 @@ BANDS = 3
 #: differ in: at similarity 0.8 about 38.7 +- 5.7, of unrelated texts 128 +- 8.
 COMPARED = 4
 RADIUS = 59
-#: Nearest texts that a search proposes for each text besides the trees.
-NEAREST = 12
 REACH = 1
 #: Fingerprints per shard and band aimed at.
 SHARD_SIZE = 100_000
-#: Proposed pairs that a task gathers before it keeps only trees and nearest ones.
-GATHERED = 1 << 19
+#: Proposed pairs that a task gathers before it keeps only trees.
+GATHERED = 1 << 18
+#: A large cluster is cut into parts, every two of which meet in a task: texts of a part aimed at,
+#: parts from which on they grow instead, and the bytes of shingle sets up to which they do.
+PART = 256
+PARTS = 16
+PART_BYTES = 32 << 20
+#: Bytes of small clusters' shingle sets that meet in a task, and the least number of such tasks.
+BIN_BYTES = 4 << 20
+BINS = 64
+#: Shingles compared at once.
+COUNTED = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -107,6 +114,15 @@ def printed(docs: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
     return inputs.mapInArrow(run, schema)
 
 
+def _merged(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Each number's least one that it is joined with, by ``label`` and the pairs."""
+    while (label[u] != label[v]).any():
+        np.minimum.at(label, np.maximum(label[u], label[v]), np.minimum(label[u], label[v]))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
 def spanning(a: np.ndarray, b: np.ndarray, away: np.ndarray) -> np.ndarray:
     """Which of the pairs, ordered by ``away``, form shortest spanning trees: as many as a group has
     members, the nearest ones."""
@@ -119,40 +135,24 @@ def spanning(a: np.ndarray, b: np.ndarray, away: np.ndarray) -> np.ndarray:
             np.minimum.at(best, label[side[live]], live)
         pick = np.unique(best[best < len(a)])
         chosen[pick] = True
-        u, v = x[pick], y[pick]
-        while (label[u] != label[v]).any():
-            np.minimum.at(label, np.maximum(label[u], label[v]), np.minimum(label[u], label[v]))
-            while (label[label] != label).any():
-                label = label[label]
+        label = _merged(label, x[pick], y[pick])
     return chosen
 
 
-def _among_nearest(nodes: np.ndarray, most: int) -> np.ndarray:
-    """Which of the pairs, ordered by distance, are among the first ``most`` of their node."""
-    order = np.argsort(nodes, kind="stable")
-    first = np.flatnonzero(np.diff(nodes[order], prepend=nodes[order[0]] - 1))
-    place = np.arange(len(nodes)) - np.repeat(first, np.diff(first, append=len(nodes)))
-    near = np.empty(len(nodes), bool)
-    near[order] = place < most
-    return near
-
-
 def thinned(a: np.ndarray, b: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs those of spanning trees and each node's ``NEAREST`` ones, with their distances and
-    whether they are of the trees."""
+    """The distinct pairs with their distances, nearest first, and which are of spanning trees: these
+    join all that the pairs join."""
     order = np.lexsort((b, a, away))
     a, b, away = a[order], b[order], away[order]
     fresh = np.ones(len(a), bool)
     fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (away[1:] != away[:-1])
     a, b, away = a[fresh], b[fresh], away[fresh]
-    tree = spanning(a, b, away)
-    kept = tree | _among_nearest(a, NEAREST) | _among_nearest(b, NEAREST)
-    return a[kept], b[kept], away[kept], tree[kept]
+    return a, b, away, spanning(a, b, away)
 
 
 def proposals(points: np.ndarray, point_items: np.ndarray, queries: np.ndarray, query_items: np.ndarray, first: int, mask: int):
-    """Pairs ``(u, v, tree)`` of items, u > v: of all pairs of near prints of a shard those of spanning
-    trees and each item's nearest. A row of ``points`` and ``queries`` is the print whose band is
+    """Pairs ``(u, v)`` of items, u > v, that join what all pairs of near prints of a shard join: each
+    item with the least one. A row of ``points`` and ``queries`` is the print whose band is
     searched and others."""
     held: list[tuple] = []
     count, shift = 0, np.uint64(first)
@@ -180,17 +180,20 @@ def proposals(points: np.ndarray, point_items: np.ndarray, queries: np.ndarray,
                 held.append((np.maximum(u, v)[other], np.minimum(u, v)[other], away[s, t][other]))
                 count += int(other.sum())
             if count > GATHERED:
-                held = [thinned(*(np.concatenate(c) for c in zip(*held, strict=True)))[:3]]
-                count = len(held[0][0])
+                *pairs, tree = thinned(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held = [tuple(c[tree] for c in pairs)]
+                count = 0
     if not held:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    u, v, _, tree = thinned(*(np.concatenate(c) for c in zip(*held, strict=True)))
-    return u, v, tree
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    u, v = (np.concatenate(c) for c in list(zip(*held, strict=True))[:2])
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = _merged(np.arange(len(nodes)), at[: len(u)], at[len(u) :])
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
 
 
 def proposed(found: DataFrame) -> DataFrame:
-    """Pairs ``(u, v, tree)`` of items to be compared, of distinct rows ``item, prints``; ``tree`` marks
-    those of the first print's trees."""
+    """Pairs ``(u, v)`` of items whose components are the clusters, of distinct rows ``item, prints``."""
     names = [f"print{j}" for j in range(COMPARED)]
     bands = [(k, first, mask) for k in range(PRINTS) for first, mask in _bands(BANDS)]
     total = found.count()
@@ -217,83 +220,120 @@ def proposed(found: DataFrame) -> DataFrame:
         fp = table.column("fp").combine_chunks()
         items, values = fp.field("item").to_numpy(), np.stack([fp.field(c).to_numpy() for c in names], axis=1).view(np.uint64)
         points, queries = (table.column(c).to_numpy(zero_copy_only=False) for c in ("point", "query"))
-        k, first, mask = bands[key[0].as_py() // (shards + 1)]
-        u, v, tree = proposals(values[points], items[points], values[queries], items[queries], first, mask)
-        # What the first print's trees join needs no other search's pairs.
-        return pa.table({"u": u, "v": v, "tree": tree & (k == 0)})
+        _, first, mask = bands[key[0].as_py() // (shards + 1)]
+        u, v = proposals(values[points], items[points], values[queries], items[queries], first, mask)
+        return pa.table({"u": u, "v": v})
 
     held = ",".join(f"{n}:bigint" for n in ["item", *names])
     spread = found.select("item", "prints").mapInArrow(deal, f"shard bigint, fp struct<{held}>, home boolean")
     spread = in_blocks(written(spread, "shards"))
-    pairs = spread.groupBy("shard", "block").applyInArrow(search, "u bigint, v bigint, tree boolean")
-    return pairs.groupBy("u", "v").agg(F.bool_or("tree").alias("tree"))
+    return spread.groupBy("shard", "block").applyInArrow(search, "u bigint, v bigint").distinct()
 
 
 def shingled(texts: DataFrame) -> DataFrame:
-    """``item, shingles``: the packed shingle set of every row ``item, body``, written to the shared folder."""
+    """``cluster, item, shingles``: the packed shingle set of every row ``cluster, item, body``, written
+    to the shared folder."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, bodies in pieces(batch, "body"):
-                made = [shingles(b).astype("<u8").tobytes() for b in bodies]
-                yield pa.RecordBatch.from_arrays([batch.column("item").slice(first, len(bodies)), pa.array(made, pa.binary())], names=["item", "shingles"])
-
-    return written(texts.mapInArrow(sets, "item bigint, shingles binary"), "shingles")
+                made = pa.array([shingles(b).astype("<u8").tobytes() for b in bodies], pa.binary())
+                named = [batch.column(c).slice(first, len(bodies)) for c in ("cluster", "item")]
+                yield pa.RecordBatch.from_arrays([*named, made], names=["cluster", "item", "shingles"])
+
+    return written(texts.mapInArrow(sets, "cluster bigint, item bigint, shingles binary"), "shingles")
+
+
+def linked(sets: Sequence[np.ndarray], clusters: np.ndarray) -> np.ndarray:
+    """A number for each of the sets: the least set's of those that similarities of 0.8 or more join,
+    within its cluster. Each two sets of a cluster are compared unless links have joined them."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.lexsort((sizes, clusters))
+    sizes, clusters = sizes[order], clusters[order]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    every, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    label, held = np.arange(len(sets)), np.zeros(len(every), np.int32)
+    borders = np.flatnonzero(np.diff(clusters, append=clusters[-1] + 1)) + 1
+    # Smaller sets first: of a set's partners none is larger than its size allows.
+    for a, border in zip(range(len(sets)), np.repeat(borders, np.diff(borders, prepend=0)), strict=True):
+        most = a + 1 + np.searchsorted(sizes[a + 1 : border], sizes[a] / SIMILARITY + 1, side="right")
+        others = a + 1 + np.flatnonzero(label[a + 1 : most] != label[a])
+        if not len(others) or not sizes[a]:
+            continue
+        held[flat[starts[a] : ends[a]]] = 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes[others]) // COUNTED)) + 1
+        for some in np.split(others, cuts):
+            first = np.cumsum(sizes[some]) - sizes[some]
+            if some[-1] - some[0] + 1 == len(some):
+                shown = flat[starts[some[0]] : ends[some[-1]]]
+            else:
+                shown = flat[np.repeat(starts[some] - first, sizes[some]) + np.arange(first[-1] + sizes[some[-1]])]
+            both = np.add.reduceat(held[shown], first)
+            near = some[both / (sizes[a] + sizes[some] - both) >= SIMILARITY]
+            if len(near):
+                names = np.unique(label[np.append(near, a)])
+                label[a:border][np.isin(label[a:border], names)] = names[0]
+                # What is behind keeps its number; the least one of all stands for it.
+                label[names] = names[0]
+        held[flat[starts[a] : ends[a]]] = 0
+    label = _merged(label, np.arange(len(sets)), label.copy())
+    found = np.empty(len(sets), np.int64)
+    found[order] = order[label]
+    return found
+
+
+def in_parts(members: DataFrame) -> DataFrame:
+    """``deal, block, cluster, item, shingles``: what meets in one task, of rows ``cluster, item, shingles``.
+
+    Small clusters are dealt to bins. A large one is cut into parts by its items' hash, and every
+    two of them meet in a block of their own, so all its pairs do and no task holds it.
+    """
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    parts = F.greatest(F.expr(f"(bytes - 1) div {PART_BYTES} + 1"), F.least(F.lit(PARTS), F.expr(f"(n - 1) div {PART} + 1")))
+    sizes = written(sizes.select(F.col("cluster").alias("c"), "bytes", parts.alias("p")), "clusters")
+    total = sizes.filter("p = 1").agg(F.sum("bytes")).first()[0] or 0
+    bins, match = max(BINS, total // BIN_BYTES), F.col("cluster") == F.col("c")
+    small = members.join(sizes.filter("p = 1"), match).selectExpr(
+        f"pmod(xxhash64(cluster), {bins}L) AS deal", "-1L AS block", "cluster", "item", "shingles"
+    )
+    large = members.join(sizes.filter("p > 1"), match).selectExpr("*", "pmod(xxhash64(item, 'part'), p) AS i")
+    met = large.selectExpr("*", "explode(filter(sequence(0L, p - 1), j -> j <> i)) AS j")
+    block = F.expr("least(i, j) * p + greatest(i, j)")
+    return small.unionAll(met.select(F.col("cluster").alias("deal"), block.alias("block"), "cluster", "item", "shingles"))
 
 
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs of items whose shingle sets are similar enough, by the rows ``item, shingles``."""
+def links(members: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` that span what similarities of 0.8 or more join within the clusters."""
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            set_of = lambda c, i: np.frombuffer(c[i].as_py(), "<u8")
-            fine = [similarity(set_of(a, i), set_of(b, i)) >= SIMILARITY for i in range(len(a))]
-            yield batch.select(["u", "v"]).filter(pa.array(fine, pa.bool_()))
+    def compared(table: pa.Table) -> pa.Table:
+        items = table.column("item").to_numpy()
+        sets = [np.frombuffer(s.as_buffer(), "<u8") for s in table.column("shingles")]
+        found = linked(sets, table.column("cluster").to_numpy())
+        moved = np.flatnonzero(found != np.arange(len(items)))
+        return pa.table({"u": items[moved], "v": items[found[moved]]})
 
-    one = held.select(F.col("item").alias("u"), F.col("shingles").alias("a"))
-    two = held.select(F.col("item").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(near, "u bigint, v bigint")
+    return in_parts(members).groupBy("deal", "block").applyInArrow(compared, "u bigint, v bigint").distinct()
 
 
 def similar(docs: DataFrame, keep: Sequence[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``row`` (the columns ``keep``), ``key`` and ``root``, a name of the component of texts linked
     by a similarity of 0.8 or more. Equal shingle sets are one item; NULL and blank texts, too.
 
-    Prints only are dealt; texts move once for the items of proposed pairs, as shingle sets. Of a
-    group of near prints each search proposes spanning trees and each text's nearest ones, not all
-    pairs. Where comparisons fail, the nearest ones that no link has joined are compared, too.
+    Prints only are dealt; texts move once for the items of clusters, as shingle sets. Within a
+    cluster of near prints all that no link has joined is compared, whatever the cluster's size.
     """
     narrow = docs.select(*dict.fromkeys([*keep, key]), F.col(text).alias("_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_digest"))
     found = written(printed(narrow, list(dict.fromkeys([*keep, key, "_digest"])), "_text"), "prints")
     each = written(found.groupBy("item").agg(F.min("row._digest").alias("digest"), F.first("prints").alias("prints")), "distinct")
-    pairs = written(proposed(each), "proposed")
-    ends = pairs.select(F.col("u").alias("item")).union(pairs.select("v")).distinct()
-    wanted = each.join(ends, "item", "left_semi").select("item", "digest")
+    joined = components(proposed(each))
+    # A cluster's least item has no row of its own.
+    clusters = joined.select(F.col("node").alias("item"), F.col("root").alias("cluster"))
+    clusters = clusters.unionAll(joined.select(F.col("root").alias("item"), F.col("root").alias("cluster")).distinct())
+    wanted = each.select("item", "digest").join(clusters, "item")
     texts = narrow.select(F.col("_digest").alias("digest"), F.col("_text").cast("binary").alias("body")).join(wanted, "digest")
-    sets = shingled(texts.select("item", "body").groupBy("item").agg(F.first("body").alias("body")))
-    roots = _linked_further(pairs, sets, components(verified(pairs.filter("tree"), sets)))
+    one = texts.groupBy("item").agg(F.first("cluster").alias("cluster"), F.first("body").alias("body"))
+    roots = components(links(shingled(one)))
     placed = each.select("item").join(roots, F.col("item") == F.col("node"), "left").select(F.col("item").alias("i"), F.coalesce("root", "item").alias("root"))
     row = F.struct(*[F.col("row").getField(c).alias(c) for c in keep])
     return found.join(placed, F.col("item") == F.col("i")).select(row.alias("row"), F.col("row").getField(key).alias("key"), "root")
-
-
-def _linked_further(pairs: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node, root`` with the links among the other pairs, too: of those that the trees' links have
-    not joined."""
-    one, two = (roots.select(F.col("node").alias(f"n{s}"), F.col("root").alias(f"r{s}")) for s in "uv")
-    apart = (
-        pairs.filter("NOT tree")
-        .join(one, F.col("u") == F.col("nu"), "left")
-        .join(two, F.col("v") == F.col("nv"), "left")
-        .select("u", "v", F.coalesce("ru", "u").alias("ru"), F.coalesce("rv", "v").alias("rv"))
-        .filter("ru <> rv")
-    )
-    apart = written(apart, "apart")
-    linked = verified(apart.select("u", "v"), sets)
-    ends = apart.join(linked, ["u", "v"]).select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")).distinct()
-    further = written(components(ends), "roots")
-    moved = roots.join(further.select(F.col("node").alias("n"), F.col("root").alias("r")), F.col("root") == F.col("n"), "left")
-    known = moved.select("node", F.coalesce("r", "root").alias("root"))
-    # Texts that no tree's link had joined are their own roots.
-    return known.unionByName(further.join(known, "node", "left_anti"))

@@ -91,3 +91,48 @@ def test_spanning_trees_join_all_that_pairs_join():
     assert len(u) == 400 - len(set(groups(a, b).tolist()))
     x, y, _, of_trees = similar.thinned(np.maximum(a, b), np.minimum(a, b), away)
     assert groups(x[of_trees], y[of_trees]).tolist() == groups(a, b).tolist()
+
+
+def test_loose_dense_group_loses_no_link(spark):
+    """600 variants, few of them near: every link that brute force finds, beyond each text's nearest ones."""
+    rng = random.Random(7)
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+    texts = []
+    for _ in range(600):
+        other = list(words)
+        for i in rng.sample(range(300), 5):
+            other[i] = f"x{rng.randint(0, 9000)}"
+        texts.append(" ".join(other))
+    sets = [similar.shingles(t.encode()) for t in texts]
+    pairs = [(i, j) for i in range(600) for j in range(i) if similar.similarity(sets[i], sets[j]) >= similar.SIMILARITY]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.key: r.root for r in similar.similar(docs, ["doc_id"]).collect()}
+    assert len(pairs) > 40 and all(found[i] == found[j] for i, j in pairs)
+    names = list(range(600))
+    for i, j in pairs:
+        names = [names[i] if n == names[j] else n for n in names]
+    assert len(set(found.values())) == len(set(names))
+
+
+@pytest.mark.parametrize("counted", [similar.COUNTED, 64])
+def test_linked_compares_all_of_a_cluster(monkeypatch, counted):
+    """Sets of 0 to 40 shingles, chains and copies among them, against all pairs within clusters."""
+    monkeypatch.setattr(similar, "COUNTED", counted)
+    rng = np.random.default_rng(2)
+    sets, clusters = [np.zeros(0, np.uint64)], [0]
+    for cluster in (5, -3, 9):
+        base = rng.choice(1 << 40, 40, replace=False).astype(np.uint64)
+        for _ in range(70):
+            part = base[rng.random(40) < rng.choice([0.55, 0.9])]
+            sets.append(np.unique(part if len(part) else base))
+            clusters.append(cluster)
+    n = len(sets)
+    expected, links = np.arange(n), 0
+    for i in range(n):
+        for j in range(i):
+            if clusters[i] == clusters[j] and similar.similarity(sets[i], sets[j]) >= similar.SIMILARITY:
+                expected[expected == expected[i]] = expected[j]
+                links += 1
+    found = similar.linked(sets, np.array(clusters))
+    assert links > 50 and 10 < len(set(expected.tolist())) < n - 10
+    assert len(set(zip(found.tolist(), expected.tolist()))) == len(set(found.tolist())) == len(set(expected.tolist()))
