@@ -23,6 +23,8 @@ NUMBER = (
     r"(?i)^[\s\p{Cntrl}]*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?[df]?|0x\S+)[\s\p{Cntrl}]*$"
 )
 CHUNK = 16
+#: Bytes of text whose characters are replaced at once; more than two chunks.
+WINDOW = 1 << 19
 
 # The 32 characters of readable labels; the first 24 are letters.
 ALPHABET = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
@@ -84,7 +86,8 @@ def digest_byte(digest: Column, position: int) -> Column:
 
 def _substituted(text: pa.Array, salt: bytes) -> pa.Array:
     """Look-alikes of a batch of texts, on its UTF-8 bytes: only letters and digits of ASCII change,
-    so bytes and offsets stay."""
+    so bytes and offsets stay. Bytes are taken a window at a time, which bounds the working arrays
+    however large a batch or a text is."""
     text = text.cast(pa.large_string()) if text.offset == 0 else pa.concat_arrays([text.cast(pa.large_string())])
     valid, offsets, data = text.buffers()
     count = len(text)
@@ -92,26 +95,35 @@ def _substituted(text: pa.Array, salt: bytes) -> pa.Array:
         return text.cast(pa.string())
     ends = np.frombuffer(offsets, np.int64)[: count + 1]
     raw = np.frombuffer(data, np.uint8)[: ends[-1]]
+    made, view, at = raw.copy(), memoryview(data), 0
+    while at < len(raw):
+        # A window begins with a chunk of whichever text; the others begin inside.
+        end = min(at + WINDOW, len(raw))
+        inside = slice(*np.searchsorted(ends, [at + 1, end]))
+        at += _replaced(raw[at:end], ends[inside] - at, view[at:end], salt, made[at:], end == len(raw))
+    return pa.Array.from_buffers(pa.large_string(), count, [valid, offsets, pa.py_buffer(made)]).cast(pa.string())
+
+
+def _replaced(raw: np.ndarray, texts: np.ndarray, view: memoryview, salt: bytes, made: np.ndarray, last: bool) -> int:
+    """Look-alikes of a window's whole chunks into ``made``; how many bytes these are. ``texts``
+    begin in the window; its last chunk may go on, unless it is the ``last`` window."""
     first = (raw & 0xC0) != 0x80
-    # A character's number in its text, and whether it begins a chunk.
-    number = np.cumsum(first) - 1
-    if not len(raw):
-        return text.cast(pa.string())
-    filled = np.flatnonzero(np.diff(ends))
-    number -= np.repeat(number[ends[filled]], np.diff(ends)[filled])
-    place = number % CHUNK
-    starts = np.flatnonzero(first & (place == 0))
-    view, digest = data.to_pybytes()[: ends[-1]], hashlib.md5
-    cuts = [*starts.tolist(), len(raw)]
-    digests = b"".join([digest(salt + view[a:b]).digest() for a, b in zip(cuts, cuts[1:])])  # noqa: B905
-    chunk = np.cumsum(first & (place == 0)) - 1
-    drawn = np.frombuffer(digests, np.uint8)[chunk * 16 + place].astype(np.int16)
-    drawn = (drawn + 128) % 256
-    made = raw.copy()
+    # A character's number in its text, or since the window's begin, and whether it begins a chunk.
+    place = np.cumsum(first, dtype=np.int32) - 1
+    cuts = np.unique(np.concatenate([[0], texts]))
+    place -= np.repeat(place[cuts], np.diff(cuts, append=len(raw)))
+    place %= CHUNK
+    begins = first & (place == 0)
+    starts = np.flatnonzero(begins)
+    size = len(raw) if last else int(starts[-1])
+    edges, digest = [*starts[starts < size].tolist(), size], hashlib.md5
+    digests = b"".join([digest(salt + view[a:b]).digest() for a, b in zip(edges, edges[1:])])  # noqa: B905
+    place += (np.cumsum(begins, dtype=np.int32) - 1) * 16
+    drawn = np.frombuffer(digests, np.uint8)[place[:size]] ^ 128  # shifted by 128
     for low, high in ((b"a", b"z"), (b"A", b"Z"), (b"0", b"9")):
-        at = np.flatnonzero((raw >= low[0]) & (raw <= high[0]))
+        at = np.flatnonzero((raw[:size] >= low[0]) & (raw[:size] <= high[0]))
         made[at] = low[0] + drawn[at] % (high[0] - low[0] + 1)
-    return pa.Array.from_buffers(pa.large_string(), count, [valid, offsets, pa.py_buffer(made)]).cast(pa.string())
+    return size
 
 
 def look_alike(text: Column, salt: str = "") -> Column:
@@ -121,7 +133,7 @@ def look_alike(text: Column, salt: str = "") -> Column:
     shifted by 128: A-Z and a-z move within their alphabet, 0-9 within the digits, all
     else stays. Equal inputs give equal outputs on every executor. A secret ``salt`` goes
     before every chunk that is digested, so that guessed inputs cannot be confirmed without it.
-    All characters of a batch are replaced at once, in Arrow's own buffers.
+    The characters of a window of bytes are replaced at once, in Arrow's own buffers.
     """
     head = salt.encode()
 

@@ -1,9 +1,13 @@
 import hashlib
+import tracemalloc
 
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ashlar.functions import text
 from ashlar.functions.text import (
     ALPHABET,
     digest_text,
@@ -83,6 +87,25 @@ def test_look_alike_at_chunk_borders(spark):
     assert apply(spark, texts, look_alike) == [plain_look_alike(t) for t in texts]
 
 
+@pytest.mark.parametrize("window", [130, 193, 1 << 19])
+def test_look_alike_at_window_borders(monkeypatch, window):
+    monkeypatch.setattr(text, "WINDOW", window)
+    shapes = ["", "a1B" * 50, None, "\U0001f600" * 41, "É" * 33 + "z9", "x" * 16, "y" * 130, "", "w" * 129, "Q"]
+    texts = [t and t + "k" * (n % 19) for n in range(40) for t in shapes]
+    expected = [None if t is None else plain_look_alike(t) for t in texts]
+    assert text._substituted(pa.array(texts), b"").to_pylist() == expected
+    assert text._substituted(pa.array(["ab", *texts])[1:], b"").to_pylist() == expected
+
+
+def test_look_alike_holds_little_beside_a_batch():
+    batch = pa.array(["some Words and 12 numbers " * 400] * 800)
+    tracemalloc.start()
+    text._substituted(batch, b"")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * batch.nbytes
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=("Cs",), exclude_characters="\x00"), max_size=60), min_size=20, max_size=40))
 def test_text_functions_on_any_text(spark, texts):
