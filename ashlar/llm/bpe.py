@@ -37,11 +37,11 @@ PIECE = regex.compile(
 )
 #: Runs without blanks that a worker remembers, in two generations of half as many each; of
 #: the pieces in them it remembers half as many.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of the longest entry that is remembered.
 ENTRY_BYTES = 400
-#: Bytes of text whose words are looked up together.
-RUN_BYTES = 4 << 20
+#: Bytes of text whose words are looked up together; as separate words they take some ten times that.
+RUN_BYTES = 1 << 19
 #: What ``encode`` can return besides the row.
 OUTPUTS = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -326,6 +326,14 @@ def _memory(name: tuple, vocabulary: Vocabulary) -> Memory:
     return _memories[name]
 
 
+def _in_runs(batch: pa.RecordBatch, memory: Memory) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The ids of a batch's texts, a run of texts at a time, with the run's first row."""
+    for first, bodies in pieces(batch, "body", RUN_BYTES):
+        texts = [b.split() if b else [] for b in bodies]
+        known = memory.learn(texts).__getitem__
+        yield first, [np.frombuffer(b"".join(map(known, t)), np.int32) for t in texts]
+
+
 def encode(docs: DataFrame, path: str, keep: Sequence[str], outputs: Sequence[str] = ("ids",), text: str = "text") -> DataFrame:
     """``keep`` and the wanted ones of ``ids``, ``n_tokens``, ``ids_sha256`` (of the decimal ids
     joined by a blank) and ``decoded_sha256`` (of ``decode``'s text) per row; no shuffle.
@@ -343,11 +351,8 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str], outputs: Sequence[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _memory(mine, shared.value)
         for batch in batches:
-            for first, bodies in pieces(batch, "body", RUN_BYTES):
-                texts = [b.split() if b else [] for b in bodies]
-                known = memory.learn(texts).__getitem__
-                found = [np.frombuffer(b"".join(map(known, t)), np.int32) for t in texts]
-                made = {"row": batch.column("row").slice(first, len(bodies))}
+            for first, found in _in_runs(batch, memory):
+                made = {"row": batch.column("row").slice(first, len(found))}
                 if "ids" in outputs:
                     ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                     made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))

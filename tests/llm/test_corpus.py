@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,17 @@ def test_bpe_memory_is_bounded():
         assert len(known) == 7 and len(m.new) + len(m.old) <= 20
 
 
+def test_bpe_holds_few_separate_words_of_a_batch():
+    """Words of 4 MB of text are looked up in runs, so that they never are separate all at once."""
+    batch = pa.RecordBatch.from_arrays([pa.array([b"some words of a text " * 3000] * 64)], names=["body"])
+    memory = bpe.Memory(bpe.Vocabulary.read(queries.tokenizer_path()))
+    tracemalloc.start()
+    total = sum(len(f) for _, found in bpe._in_runs(batch, memory) for f in found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 64 * 15000 and peak < 5 * batch.nbytes
+
+
 def test_quality_counts(spark, plain):
     found = result(spark, "op2")
     for text, row in zip(plain.text, found.itertuples(), strict=True):
