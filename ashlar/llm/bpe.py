@@ -11,37 +11,43 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
-from array import array
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import pieces
-
 END = "</w>"
+IDS = pa.list_(pa.int32())
 NEVER = np.int64(1 << 40)
 NO_MERGE = (1 << 40, -1)
 #: Symbols up to which a plain search for the best merge is faster than a heap.
 SHORT = 32
 #: White space that separates pieces, as code points.
 SPACES = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
-#: How text is cut into pieces before merging; white space is dropped.
+#: How text is cut into pieces before merging; white space is dropped, but for new lines.
 PIECE = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}" + "".join(map(chr, SPACES)) + "]+"
+    r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}" + "".join(map(chr, SPACES)) + "]+|\n"
 )
+#: The same for lower-case ASCII.
+ASCII_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9\t-\r ]+|\n")
 #: Runs without blanks that a worker remembers, in two generations of half as many each; of
-#: the pieces in them it remembers half as many.
+#: the pieces in them it remembers half as many. Arrow arrays hold them, some 30 bytes each.
 REMEMBERED = 400_000
 #: Bytes of the longest entry that is remembered.
 ENTRY_BYTES = 400
-#: Bytes of text whose words are looked up together; as separate words they take some ten times that.
-RUN_BYTES = 1 << 19
+#: Bytes of text that is cut and looked up together, as Arrow arrays.
+RUN_BYTES = 1 << 22
+#: Unknown runs or pieces that are Python strings at once, and bytes of them.
+STRINGS, STRING_BYTES = 1 << 14, 1 << 18
+#: Tokens whose texts are made at once.
+SHOWN = 1 << 17
 #: What ``encode`` can return besides the row.
 OUTPUTS = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -63,17 +69,13 @@ def _lowered(text: str) -> str:
     return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-def _words_in(lowered: str) -> list[str]:
-    """The pieces of a run as byte letters."""
-    if lowered.isascii():
-        if lowered.isalpha():
-            return [lowered]
-        if lowered.isprintable():
-            return PIECE.findall(lowered)
-    return [
-        w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(LETTERS)
-        for w in PIECE.findall(lowered)
-    ]
+def _pieces_in(lowered: str) -> list[str]:
+    return (ASCII_PIECE if lowered.isascii() else PIECE).findall(lowered)
+
+
+def _letters(piece: str) -> str:
+    """A piece as byte letters."""
+    return piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(LETTERS)
 
 
 @dataclass
@@ -229,90 +231,109 @@ class Vocabulary:
             found[k] = self.merged(self.symbols(words[k]))
         return found
 
-    def pieces_of(self, chunks: Sequence[str]) -> list[list[str | int]]:
-        """Byte-letter words and special tokens of runs of text without ASCII blanks.
+    def pieces_of(self, chunks: Sequence[str]) -> list[str]:
+        """Pieces and special tokens of runs of text without ASCII blanks, a new line after each run.
 
-        All runs are brought to normal form and lower case as one text; a new line between two
-        of them keeps them apart.
+        All runs are brought to normal form and lower case as one text; the new lines keep them
+        apart. A special token has a new line before its text.
         """
-        whole = "\n".join(chunks)
+        whole = "\n".join(chunks) + "\n"
         if any(s in whole for s in self.special):
-            return [self._with_special(c) for c in chunks]
-        return [_words_in(c) for c in _lowered(whole).split("\n")]
+            return [p for c in chunks for p in [*self._with_special(c), "\n"]]
+        return _pieces_in(_lowered(whole))
 
-    def _with_special(self, chunk: str) -> list[str | int]:
-        found: list[str | int] = []
+    def _with_special(self, chunk: str) -> Iterator[str]:
         for part in regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", chunk):
             if part in self.special:
-                found.append(self.special[part])
+                yield "\n" + part
             elif part:
-                found += _words_in(_lowered(part))
-        return found
+                yield from _pieces_in(_lowered(part))
+
+    def tokens_of(self, pieces: Sequence[str]) -> list[list[int]]:
+        """Tokens of pieces and special tokens as ``pieces_of`` gives them."""
+        plain = iter(self.words([_letters(p) for p in pieces if p[0] != "\n"]))
+        return [[self.special[p[1:]]] if p[0] == "\n" else next(plain) for p in pieces]
 
     def decoded(self, ids: Iterable[int]) -> str:
         """Token texts joined by a blank; word ends stay visible, as there is no decoder."""
         return " ".join([self.texts[i] for i in ids])
 
 
-class Recent:
-    """A bounded map in two generations: when the newer is full, the older is forgotten."""
+def _listed(lists: Sequence[Sequence[int]]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    flat = np.fromiter((t for f in lists for t in f), np.int32, ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
-    def __init__(self, most: int):
-        self.half = most // 2
-        self.new: dict = {}
-        self.old: dict = {}
 
-    def get(self, name):
-        found = self.new.get(name)
-        return self.old.get(name) if found is None else found
+def _parts(strings: pa.Array) -> Iterator[pa.Array]:
+    """Slices of few strings and bytes each; a long string is a slice of its own."""
+    ends = np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(strings):
+        most = (ends[first - 1] if first else 0) + STRING_BYTES
+        after = max(first + 1, min(first + STRINGS, int(np.searchsorted(ends, most, side="right"))))
+        yield strings.slice(first, after - first)
+        first = after
 
-    def keep(self, found: dict) -> None:
+
+class Recent:
+    """Strings -> ids, a bounded map in two generations: when the newer is full, the older is
+    forgotten, but for what was looked up meanwhile. Both are Arrow arrays."""
+
+    def __init__(self, most: int, kind: pa.DataType):
+        self.half = most // 2
+        self.none = pa.RecordBatch.from_arrays([pa.array([], kind), pa.array([], IDS)], names=["name", "ids"])
+        self.new = self.old = self.none
+
+    def look_up(self, names: pa.Array, make: Callable[[pa.Array], pa.ListArray]) -> pa.ListArray:
+        """The ids of different strings; ``make`` gives those of unknown ones."""
+        in_new = pc.index_in(names, self.new.column("name"))
+        rest = names.filter(in_new.is_null())
+        in_old = pc.index_in(rest, self.old.column("name"))
+        unknown = rest.filter(in_old.is_null())
+        made = [make(part) for part in _parts(unknown)]
+        found = pa.concat_arrays([self.old.column("ids"), *made])
+        nth = pc.cumulative_sum(in_old.is_null().cast(pa.int32()))
+        found = found.take(pc.if_else(in_old.is_null(), pc.add(nth, len(self.old) - 1), in_old))
+        nth = pc.cumulative_sum(in_new.is_null().cast(pa.int32()))
+        at = pc.if_else(in_new.is_null(), pc.add(nth, len(self.new) - 1), in_new)
+        known = pa.concat_arrays([self.new.column("ids"), found]).take(at)
+        self.keep(rest, found)
+        return known
+
+    def keep(self, names: pa.Array, ids: pa.ListArray) -> None:
+        size = pc.add(pc.binary_length(names), pc.multiply(pc.list_value_length(ids), 4))
+        found = pa.RecordBatch.from_arrays([names, ids], names=["name", "ids"]).filter(pc.less_equal(size, ENTRY_BYTES))
         if len(self.new) + len(found) > self.half:
-            self.old, self.new = self.new, {}
+            self.old, self.new = self.new, self.none
         if len(found) <= self.half:
-            self.new.update((k, v) for k, v in found.items() if len(k) + len(v) <= ENTRY_BYTES)
+            self.new = pa.concat_batches([self.new, found])
 
 
 class Memory(Recent):
-    """Tokens met before, for one worker process: of runs without blanks and of their pieces.
-    Ids are kept as the bytes of 32-bit numbers, so that a text's ids are joined bytes."""
+    """Tokens met before, for one worker process: of runs without blanks and of their pieces."""
 
     def __init__(self, vocabulary: Vocabulary, most: int = REMEMBERED):
-        super().__init__(most)
-        self.vocabulary, self.words = vocabulary, Recent(most // 2)
-        size = len(vocabulary.rank)
-        self.decimals = list(map(str, range(size)))
-        self.texts = [vocabulary.texts.get(i, "") for i in range(size)]
-
-    def learn(self, texts: Iterable[list[bytes]]) -> dict[bytes, bytes]:
-        """Every run in these texts -> its ids."""
-        found, unknown = {}, []
-        for run in set().union(*texts):
-            ids = self.get(run)
-            if ids is None:
-                unknown.append(run)
-            else:
-                found[run] = ids
-        split = self.vocabulary.pieces_of([u.decode() for u in unknown]) if unknown else []
-        known = self._pieces({p for pieces in split for p in pieces})
-        for run, pieces in zip(unknown, split, strict=True):
-            found[run] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
-        self.keep(found)
-        return found
-
-    def _pieces(self, wanted: set[str | int]) -> dict[str | int, bytes]:
-        special = {p: array("i", [p]).tobytes() for p in wanted if isinstance(p, int)}
-        found, unknown = {}, []
-        for piece in wanted.difference(special):
-            ids = self.words.get(piece)
-            if ids is None:
-                unknown.append(piece)
-            else:
-                found[piece] = ids
-        for piece, ids in zip(unknown, self.vocabulary.words(unknown), strict=True):
-            found[piece] = array("i", ids).tobytes()
-        self.words.keep(found)
-        return found | special if special else found
+        super().__init__(most, pa.binary())
+        self.vocabulary, self.words = vocabulary, Recent(most // 2, pa.string())
+        size = range(len(vocabulary.rank))
+        self.decimals = pa.array([f"{i} ".encode() for i in size], pa.large_binary())
+        self.texts = pa.array([(vocabulary.texts.get(i, "") + " ").encode() for i in size], pa.large_binary())
+
+    def learn(self, texts: pa.ListArray | Iterable[list[bytes]]) -> pa.ListArray:
+        """The ids of every run in these texts, in order."""
+        runs = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.list_(pa.binary()))).flatten()
+        coded = runs.view(pa.binary()).dictionary_encode()
+        return self.look_up(coded.dictionary, self._merged).take(coded.indices)
+
+    def _merged(self, runs: pa.Array) -> pa.ListArray:
+        pieces = pa.array(self.vocabulary.pieces_of([r.decode() for r in runs.to_pylist()]), pa.string())
+        closing = pc.equal(pieces, "\n")
+        coded = pieces.filter(pc.invert(closing)).dictionary_encode()
+        ids = self.words.look_up(coded.dictionary, lambda p: _listed(self.vocabulary.tokens_of(p.to_pylist()))).take(coded.indices)
+        last = np.flatnonzero(closing.to_numpy(zero_copy_only=False)) - np.arange(len(runs))
+        ends = ids.offsets.to_numpy()[np.concatenate([[0], last])]
+        return pa.ListArray.from_arrays(pa.array(ends), ids.values)
 
 
 _memories: dict[tuple, Memory] = {}
@@ -327,11 +348,36 @@ def _memory(name: tuple, vocabulary: Vocabulary) -> Memory:
 
 
 def _in_runs(batch: pa.RecordBatch, memory: Memory) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The ids of a batch's texts, a run of texts at a time, with the run's first row."""
-    for first, bodies in pieces(batch, "body", RUN_BYTES):
-        texts = [b.split() if b else [] for b in bodies]
-        known = memory.learn(texts).__getitem__
-        yield first, [np.frombuffer(b"".join(map(known, t)), np.int32) for t in texts]
+    """The ids of a batch's texts, a run of texts at a time, with the run's first row. A long
+    text is a run of its own."""
+    bodies = batch.column("body").cast(pa.binary()).fill_null(b"")
+    ends = np.cumsum(pc.binary_length(bodies).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(bodies):
+        most = (ends[first - 1] if first else 0) + RUN_BYTES
+        after = max(first + 1, int(np.searchsorted(ends, most, side="right")))
+        texts = pc.ascii_split_whitespace(bodies.slice(first, after - first).view(pa.string()))
+        ids = memory.learn(texts)
+        at = ids.offsets.to_numpy()[texts.offsets.to_numpy()]
+        flat = ids.values.to_numpy()
+        yield first, [flat[a:b] for a, b in zip(at, at[1:])]
+        first = after
+
+
+def _hashes(found: Sequence[np.ndarray], shown: pa.Array) -> pa.Array:
+    """SHA-256 of every text's shown tokens without the last one's blank; of few tokens at once,
+    however long a text is."""
+    flat, ends = np.concatenate(found), np.cumsum([0, *map(len, found)])
+    made = [hashlib.sha256() for _ in found]
+    for first in range(0, len(flat), SHOWN):
+        strings = shown.take(pa.array(flat[first : first + SHOWN]))
+        data, at = memoryview(strings.buffers()[2]), np.frombuffer(strings.buffers()[1], np.int64)
+        after = min(first + SHOWN, len(flat))
+        for k in range(np.searchsorted(ends, first, side="right") - 1, np.searchsorted(ends, after)):
+            a, b = max(ends[k], first), min(ends[k + 1], after)
+            if a < b:
+                made[k].update(data[at[a - first] : at[b - first] - (b == ends[k + 1])])
+    return pa.array([m.hexdigest() for m in made], pa.string())
 
 
 def encode(docs: DataFrame, path: str, keep: Sequence[str], outputs: Sequence[str] = ("ids",), text: str = "text") -> DataFrame:
@@ -360,9 +406,9 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str], outputs: Sequence[st
                     made["n_tokens"] = pa.array([len(f) for f in found], pa.int64())
                 for name, shown in (("ids_sha256", memory.decimals), ("decoded_sha256", memory.texts)):
                     if name in outputs:
-                        joined = (" ".join(map(shown.__getitem__, f.tolist())) for f in found)
-                        made[name] = pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined], pa.string())
+                        made[name] = _hashes(found, shown)
                 yield pa.RecordBatch.from_arrays([made["row"], *[made[o] for o in outputs]], names=["row", *outputs])
+                pa.default_memory_pool().release_unused()  # else a worker holds it until it ends
 
     return inputs.mapInArrow(run, schema).select("row.*", *outputs)
 

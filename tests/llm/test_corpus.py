@@ -119,6 +119,38 @@ def test_bpe_holds_few_separate_words_of_a_batch():
     assert total == 64 * 15000 and peak < 5 * batch.nbytes
 
 
+def test_bpe_remembers_runs_in_few_bytes():
+    """Remembered runs and pieces are no Python objects of 100 bytes and more each."""
+    memory = bpe.Memory(bpe.Vocabulary.read(queries.tokenizer_path()))
+    runs = [b"run%dx" % i for i in range(50_000)]
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    assert len(memory.learn([runs])) == len(memory.new) == len(runs)
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 100 * len(runs)
+
+
+def test_bpe_parts_of_any_size_give_the_same(monkeypatch):
+    """Borders of runs, of strings and of shown tokens may lie anywhere."""
+    known, v = library(), bpe.Vocabulary.read(queries.tokenizer_path())
+    special = next(iter(v.special))
+    texts = ["", None, " \n\x0b ", "Don't, don't! ", f"a{special}b {special}{special} \x1c\x7f", "x" * 500 + " é\u2003ÀΣΣ 12٣ e\u0301"]
+    texts = texts * 2 + [" ".join(f"word{i}, {special if i % 9 == 0 else 'İ'}" for i in range(40))]
+    batch = pa.RecordBatch.from_arrays([pa.array([None if t is None else t.encode() for t in texts], pa.binary())], names=["body"])
+    for name, few in (("RUN_BYTES", 60), ("STRINGS", 3), ("STRING_BYTES", 40), ("SHOWN", 7)):
+        monkeypatch.setattr(bpe, name, few)
+    memory, made = bpe.Memory(v, most=12), []
+    for first, found in bpe._in_runs(batch, memory):
+        assert first == len(made)
+        hashes = [bpe._hashes(found, s).to_pylist() for s in (memory.decimals, memory.texts)]
+        made += zip([f.tolist() for f in found], *hashes, strict=True)
+    for text, row in zip(texts, made, strict=True):
+        ids, decoded = expected_tokens(known, text)
+        assert row == (ids, sha(" ".join(map(str, ids))), sha(decoded))
+    assert memory.learn([]).to_pylist() == [] and memory.learn([[]]).to_pylist() == []
+
+
 def test_quality_counts(spark, plain):
     found = result(spark, "op2")
     for text, row in zip(plain.text, found.itertuples(), strict=True):
