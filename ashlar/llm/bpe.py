@@ -302,7 +302,7 @@ class Recent:
         return known
 
     def keep(self, names: pa.Array, ids: pa.ListArray) -> None:
-        size = pc.add(pc.binary_length(names), pc.multiply(pc.list_value_length(ids), 4))
+        size = pc.add(pc.binary_length(names), pc.multiply(pc.list_value_length(ids).cast(pa.int64()), 4))
         found = pa.RecordBatch.from_arrays([names, ids], names=["name", "ids"]).filter(pc.less_equal(size, ENTRY_BYTES))
         if len(self.new) + len(found) > self.half:
             self.old, self.new = self.new, self.none
