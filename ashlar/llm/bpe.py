@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -339,11 +340,12 @@ class Memory(Recent):
 _memories: dict[tuple, Memory] = {}
 
 
-def _memory(name: tuple, vocabulary: Vocabulary) -> Memory:
-    """This worker process's memory; it lasts from task to task."""
+def _memory(name: tuple, shared: Broadcast) -> Memory:
+    """This worker process's memory; it lasts from task to task. A later query's tables are not
+    read beside those it has."""
     if name not in _memories:
         _memories.clear()
-        _memories[name] = Memory(vocabulary)
+        _memories[name] = Memory(shared.value)
     return _memories[name]
 
 
@@ -395,7 +397,7 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str], outputs: Sequence[st
     mine = (spark.sparkContext.applicationId, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _memory(mine, shared.value)
+        memory = _memory(mine, shared)
         for batch in batches:
             for first, found in _in_runs(batch, memory):
                 made = {"row": batch.column("row").slice(first, len(found))}

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import tracemalloc
+from types import SimpleNamespace
 
 import brute
 import duckdb
@@ -131,6 +132,14 @@ def test_bpe_remembers_runs_in_few_bytes():
     assert held < 100 * len(runs)
 
 
+def test_bpe_reads_a_worker_s_tables_once(monkeypatch):
+    """A worker that has the tables of a file does not read a second query's copy of them."""
+    monkeypatch.setattr(bpe, "_memories", {})
+    first, second = (SimpleNamespace(value=bpe.Vocabulary.read(queries.tokenizer_path())), SimpleNamespace())
+    memory = bpe._memory(("app", "path"), first)
+    assert bpe._memory(("app", "path"), second) is memory and memory.vocabulary is first.value
+
+
 def test_bpe_parts_of_any_size_give_the_same(monkeypatch):
     """Borders of runs, of strings and of shown tokens may lie anywhere."""
     known, v = library(), bpe.Vocabulary.read(queries.tokenizer_path())
